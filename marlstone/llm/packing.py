@@ -2,9 +2,10 @@
 
 Documents become token ids and an end id; longer ones are cut into full pieces. Pieces are dealt to
 partitions of bounded size and each partition runs best-fit decreasing. Dual feasible functions give
-a lower bound on the number of sequences a partition needs; where its count is above that
-bound, the partition gives the pieces of its unfilled sequences to a pool, and the pooled pieces,
-dealt anew, are packed again. That is repeated while it saves sequences.
+a lower bound on the number of sequences, of a partition and of all pieces. While all counts
+together are above the bound of all pieces, each partition whose count exceeds its own bound or
+whose bound was rounded up gives the pieces of its unfilled sequences to a pool, and the pooled
+pieces, dealt anew, are packed again.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 
 def _pack(rows: DataFrame, parts: int, turn: int, length: int) -> DataFrame:
-    """Deals rows to parts, packs each; open_: the sequence is unfilled and its partition's count is above its bound."""
+    """Deals rows to parts, packs each; open_: the sequence is unfilled and its partition's count is above its bound or its share of tokens."""
     key = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -129,7 +130,7 @@ def _pack(rows: DataFrame, parts: int, turn: int, length: int) -> DataFrame:
         fill = np.bincount(bins, weights=sizes, minlength=n)
         part = int(t["part"][0].as_py())
         t = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        for name, v in (("sequence_id", ((turn << 54) | (part << 26)) + bins), ("offset", offsets), ("open_", (fill[bins] < length) & (gap > 0))):
+        for name, v in (("sequence_id", ((turn << 54) | (part << 26)) + bins), ("offset", offsets), ("open_", (fill[bins] < length) & (gap > 0 or n * length > sizes.sum()))):
             t = t.append_column(name, pa.array(v))
         return t
 
@@ -139,22 +140,22 @@ def _pack(rows: DataFrame, parts: int, turn: int, length: int) -> DataFrame:
 
 def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Packs pieces (see pieces()); adds sequence_id and offset. An empty table gives an empty result; repeated rows are packed each."""
-    spark, rows = rows.sparkSession, stored(rows, "pieces")
-    tokens = int(rows.agg(F.sum("length")).first()[0] or 0)
-    done, parts = None, max(1, -(-tokens // PARTITION_TOKENS))
-    saved_from = None
+    rows = stored(rows, "pieces")
+    counts = np.zeros(length + 1, np.int64)
+    for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most as many rows as a sequence has tokens
+        counts[r.length] = r.n
+    bound, tokens = lower_bound(counts, length), int((counts * np.arange(length + 1)).sum())
+    done, filled = None, 0
     for turn in range(ROUNDS):
-        packed = stored(_pack(rows, parts, turn, length), f"packed{turn}")
-        closed, pool = packed.where("not open_").drop("open_"), packed.where("open_")
-        # partitions overlap no more: what each gap costs shows in the number of unfilled sequences
-        tokens, before = pool.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
-        saves = bool(tokens) and before > -(-tokens // length)
-        final = not saves or turn == ROUNDS - 1 or (saved_from is not None and before >= saved_from and parts == 1)
-        done = (packed.drop("open_") if final else closed) if done is None else done.unionByName(packed.drop("open_") if final else closed)
+        packed = stored(_pack(rows, max(1, -(-tokens // PARTITION_TOKENS)), turn, length), f"packed{turn}")
+        n_closed, n_open, tokens = packed.agg(F.count_distinct(F.when(~F.col("open_"), F.col("sequence_id"))), F.count_distinct(F.when(F.col("open_"), F.col("sequence_id"))), F.sum(F.when(F.col("open_"), F.col("length")))).first()
+        final = turn == ROUNDS - 1 or not tokens or filled + n_closed + n_open <= bound or tokens <= length
+        taken = packed if final else packed.where("not open_")
+        done = taken.drop("open_") if done is None else done.unionByName(taken.drop("open_"))
         if final:
             break
-        rows, saved_from = pool.drop("sequence_id", "offset", "open_"), before
-        parts = max(1, -(-tokens // PARTITION_TOKENS))
+        filled += n_closed
+        rows = packed.where("open_").drop("sequence_id", "offset", "open_")
     return done
 
 
