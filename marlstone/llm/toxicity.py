@@ -16,7 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .shared import remainder, sampled, table
 
@@ -302,20 +302,24 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -
     return out
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null and empty texts have no hits; repeated rows each get a row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def judged(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with all its columns and _score (0 to 1) of the whole text; null and empty texts have no hits; repeated rows each get a row."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         m = held.value
         scorer = Scorer(m["lm"], m["words"])
         for b in batches:
-            x = np.array([scorer.features(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, 4)
+            x = np.array([scorer.features(t) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, 4)
             p = np.full(len(x), m["share"]) if m["theta"] is None else 1 / (1 + np.exp(-(x @ m["theta"][:-1] + m["theta"][-1]).clip(-30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+            yield b.append_column("_score", pa.array(p))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id and score of every whole text."""
+    return judged(docs.select("doc_id", "text"), model).select("doc_id", F.col("_score").alias("score"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
