@@ -32,14 +32,13 @@ def fingerprint(text: str, k: int = SHINGLE) -> Column:
          transform(sequence(0, size(h) - {k}), i -> xxhash64({", ".join(f"h[i + {j}]" if j else "h[i]" for j in range(k))}))))"""
     firsts = f"filter(s, (x, i) -> i = 0 or shiftrightunsigned(x, {top}) != shiftrightunsigned(s[i - 1], {top}))"
     low = (1 << BITS) - 1
-    # f is in signed order: bins with the top bit set come first; for an empty bin, the filled bin that comes first in its own order of bins
-    own = f"shiftrightunsigned(v, {top})"
-    order = f"xxhash64({own}, b) & 9223372036854775807L"
+    # d holds the filled bins; an empty bin takes the bits of the filled bin that comes first in its own order of bins
+    bin_of = f"cast(shiftrightunsigned(v, {top}) as int)"
+    borrowed = f"array_min(transform(f, v -> (xxhash64({bin_of}, b) & {2**63 - 1 - low}L) | (v & {low}L)))"
     packed = f"""
-      array_join(transform(sequence(0, {BINS - 1}), b -> lpad(hex(
-        if(size(f) = {BINS}, f[(b + {BINS // 2}) % {BINS}], array_min(transform(f, v -> struct(if({own} = b, -1L, {order}) as o, v as v))).v) & {low}), {BITS // 4}, '0')), '')"""
+      array_join(transform(sequence(0, {BINS - 1}), b -> lpad(hex(coalesce(d[b], {borrowed}) & {low}L), {BITS // 4}, '0')), '')"""
     named = lambda var, value, body: f"transform(array({value}), {var} -> {body})[0]"
-    return F.lower(F.expr(named("h", f"transform({words}, w -> xxhash64(w))", named("s", f"sort_array({shingles})", named("f", firsts, f"if(size(f) = 0, '', {packed})")))))
+    return F.lower(F.expr(named("h", f"transform({words}, w -> xxhash64(w))", named("s", f"sort_array({shingles})", named("f", firsts, named("d", f"map_from_arrays(transform(f, v -> {bin_of}), f)", f"if(size(f) = 0, '', {packed})"))))))
 
 
 def likeness(a: str, b: str) -> Column:
