@@ -1 +1,58 @@
-QUERIES: dict = {}
+"""Queries over small sources given here, for operators whose input no table holds."""
+
+from pyspark.sql import functions as F
+
+from ..functions import jsonx
+from ..operators import patch, pyast
+
+_SOURCE = """import os
+from pkg.mod import f as g
+LIMIT = 3
+class C:
+    def m(self, a):
+        def inner():
+            pass
+        if a:
+            return 1
+        elif LIMIT:
+            return 2
+        else:
+            return 3
+def h():
+    try:
+        g()
+    except ValueError:
+        return None
+    except Exception as e:
+        log.error(e)
+"""
+
+
+def _files(spark):
+    return spark.createDataFrame([("a.py", _SOURCE), ("bad.py", "def ("), ("none.py", None)], "path string, text string")
+
+
+def _kinds(*kinds):
+    return lambda spark, sf_dir: pyast.python_facts(_files(spark)).where(F.col("kind").isin(*kinds))
+
+
+def patch_locate(spark, sf_dir):
+    anchors = spark.createDataFrame([("a", 1, "x = 1", "x = 2"), ("a", 2, "y", "z"), ("a", 3, "none", "q"), ("b", 1, "p", "q")], "file string, ix int, old string, new string")
+    return patch.locate(anchors, spark.createDataFrame([("a", "x = 1\ny\ny\n")], "file string, text string"))
+
+
+def tool_call_strict(spark, sf_dir):
+    rows = spark.createDataFrame([('{"name":"t","arguments":{}}',), ('{"name":"t","arguments":{},"x":1}',), ('see {"name":"t"}',), (None,)], "reply string")
+    return rows.select("reply", jsonx.is_tool_call(rows.reply).alias("accepted"))
+
+
+QUERIES = {
+    "ast_functions": _kinds("module", "method", "local", "class"),
+    "ast_depth": _kinds("module", "method", "local"),
+    "ast_imports": _kinds("import"),
+    "ast_handlers": _kinds("handler"),
+    "ast_bindings": _kinds("binding"),
+    "ast_symbols": _kinds("constant", "class", "module"),
+    "patch_locate": patch_locate,
+    "tool_call_strict": tool_call_strict,
+}
