@@ -10,7 +10,7 @@
 
 Within a band, members are first compared with one hub each, so that a large group costs as many comparisons
 as it has members. Members that are then still in different components meet in full: each member outside the
-band's main component with all others. No pair of one band is left out, and none within a component is made.
+band's main component with all others, in blocks that compare full sets. No pair of one band is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BANDS, ROWS = 42, 6
 REGISTERS, BASE, TOP = 256, 1.001, 65535
 #: Pairs whose estimate is this far below the threshold are not verified: over six standard errors of the estimate.
 MARGIN = 0.17
+#: Shingles of the members that a block compares, and of the partners that a cell compares them with, about.
+BLOCK_HASHES, CELL_HASHES = 100_000, 1_000_000
 _LIMIT = 300_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,6 +205,70 @@ def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, per
     return exact.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _forest(t: pa.Table, percent: int) -> pa.Table:
+    """Exact links (a, b) between the minor members and all members of one cell, as many as join their components."""
+    t = t.combine_chunks()
+    ids, roots, minor = t["id"].to_pylist(), t["root"].to_pylist(), t["minor"].to_numpy(zero_copy_only=False)
+    lists = t["hashes"].chunk(0)
+    values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    sizes, xs = np.diff(ends), np.flatnonzero(minor)
+    pool, owner = np.concatenate([values[ends[i] : ends[i + 1]] for i in xs]), np.repeat(np.arange(len(xs)), sizes[xs])
+    order = np.argsort(pool, kind="stable")
+    pool, owner = pool[order], owner[order]
+    up = {}
+
+    def top(r):
+        while (above := up.get(r, r)) != r:
+            up[r] = r = up.get(above, above)
+        return r
+
+    links = []
+    for y in range(len(ids)):
+        own = values[ends[y] : ends[y + 1]]
+        low, high = np.searchsorted(pool, own), np.searchsorted(pool, own, "right")
+        runs = high - low
+        total = int(runs.sum())
+        if not total:
+            continue
+        at = np.arange(total) + np.repeat(low - np.cumsum(runs) + runs, runs)
+        both = np.bincount(owner[at], minlength=len(xs))
+        for i in xs[100 * both >= percent * (sizes[xs] + sizes[y] - both)].tolist():
+            p, q = top(roots[i]), top(roots[y])
+            if p != q:
+                up[p] = q
+                links.append((ids[i], ids[y]))
+    return pa.table([pa.array([x[c] for x in links], t.schema.field("id").type) for c in (0, 1)], ["a", "b"])
+
+
+def _across(rooted: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a band whose components the hubs left apart.
+
+    Each member outside a band's main component meets all members of other components that may reach the threshold by size.
+    Those members form blocks of bounded size, a block's partners cells of bounded size; a cell is one group, compares full
+    shingle sets through an index of the block and returns only a spanning forest. So no pair is ever a row.
+    """
+    kind = rooted.schema["id"].dataType.simpleString()
+    per_root = rooted.groupBy("band", "root").agg(F.count("*").alias("c"))
+    split = per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1 and size > 2")
+    open_ = stored(rooted.join(split.select(F.col("band").alias("_band"), "main"), F.col("band") == F.col("_band")).where("id != hub").drop("_band"), "open")
+    minor = open_.where("root != main")
+    blocks = minor.select("main", "id", "n").distinct().groupBy(F.col("main").alias("_main")).agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("_blocks"))
+    minor = minor.join(blocks, F.col("main") == F.col("_main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_main", "_blocks")
+    spans = minor.groupBy("band", "main", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.max("root").alias("r1")).withColumnsRenamed({"band": "_band", "main": "_main"})
+    fits = (100 * F.col("n") >= percent * F.col("n0")) & (percent * F.col("n") <= 100 * F.col("n1")) & ((F.col("root") != F.col("r0")) | (F.col("root") != F.col("r1")))
+    partners = stored(open_.join(spans, (F.col("band") == F.col("_band")) & fits).select("main", "block", "id", "root", "n").distinct(), "partners")
+    cells = stored(partners.groupBy(F.col("main").alias("_main"), F.col("block").alias("_block")).agg(F.ceil(F.sum("n") / CELL_HASHES).alias("_cells")), "cells")
+    in_block = (F.col("main") == F.col("_main")) & (F.col("block") == F.col("_block"))
+    xs = minor.select("main", "block", "id", "root").distinct().join(cells, in_block).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).withColumn("minor", F.lit(True))
+    ys = partners.join(cells, in_block).withColumn("cell", F.pmod(F.xxhash64("id", F.lit("cell")), F.col("_cells"))).withColumn("minor", F.lit(False))
+    columns = ("main", "block", "cell", "id", "root", "minor")
+    rows = stored(xs.select(*columns).unionByName(ys.select(*columns)), "rows")
+    wanted = rows.select(F.col("id").alias("_w")).distinct()
+    sets = _sets(texts.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi"), k).dropDuplicates(["doc_id"])
+
+    return rows.join(sets, F.col("id") == F.col("doc_id")).select(*columns, "hashes").groupBy("main", "block", "cell").applyInArrow(lambda t: _forest(t, percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -220,15 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = stored(banded.join(shared.select(F.col("band").alias("_band"), "hub"), F.col("band") == F.col("_band")).select("band", "id", "n", "hub"), "members")
     pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     edges = stored(_verified(pairs, nodes, texts, k, percent), "links")
-    # what the hubs left apart: members outside the band's main component meet all members of other components
     rooted = stored(_labels(members, edges), "rooted")
-    per_root = rooted.groupBy("band", "root").agg(F.count("*").alias("c"))
-    split = per_root.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
-    open_ = rooted.join(split.select(F.col("band").alias("_band"), "main"), F.col("band") == F.col("_band")).drop("_band")
-    minor = open_.where("root != main").select(F.col("band").alias("mb"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("main").alias("mm"))
-    near = (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")) & (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("x"))) & (F.col("id") != F.col("hub")) & (F.col("x") != F.col("hub"))
-    rest = minor.join(open_, (F.col("mb") == F.col("band")) & near).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    more = stored(_verified(rest, nodes, texts, k, percent), "links")
+    more = stored(_across(rooted, texts, k, percent), "links")
     ends = components(edges.union(more)) if not more.isEmpty() else components(edges)
     by_class = classes.join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("same").alias("_same"), F.coalesce("root", "id").alias("_root"))
     out = sketch.select("doc_id", "n", "same").join(by_class, F.col("same") == F.col("_same"), "left")

@@ -78,6 +78,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[i].kept == (root[i] == i) for i in got)
 
 
+def test_near_duplicates_just_below_the_threshold(spark, monkeypatch):
+    """One group whose pairs lie on both sides of the threshold, compared in several blocks and cells."""
+    monkeypatch.setattr(neardup, "BLOCK_HASHES", 700)
+    monkeypatch.setattr(neardup, "CELL_HASHES", 3000)
+    rng, base, texts = np.random.default_rng(5), [f"b{i}" for i in range(60)], []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.choice(60, rng.integers(2, 6), replace=False):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    sets, root = [_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 5 < len(set(root)) < 145
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_near_duplicates_of_awkward_rows(docs, empty):
     assert Counter(r.component_id for r in neardup.near_duplicates(docs, k=2).collect()) == {1: 2, 3: 1, 4: 1, 5: 1, 6: 2}
     assert neardup.near_duplicates(empty).count() == 0
