@@ -11,6 +11,8 @@ pieces, dealt anew, are packed again.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,30 +28,54 @@ PARTITION_TOKENS = 8_000_000
 ROUNDS = 4
 
 
+#: Words whose ids a worker keeps, at most about 200 bytes each, and new words that are tokenized in one call.
+KNOWN_WORDS, BLOCK_WORDS = 600_000, 200
+#: Between an ASCII letter and an ASCII mark other than the apostrophe the splitting rule always cuts.
+_CUT = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+
+
 @functools.cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
 class Ids:
-    """Token ids of whole texts as little-endian unsigned 32-bit values. Words between ASCII white space are tokenized on their own, which the vocabulary's splitting rule allows, and kept."""
+    """Token ids of whole texts as little-endian unsigned 32-bit values.
+
+    Words between ASCII white space, in ASCII lower case and without the marks after a letter, are tokenized on their own and kept:
+    the vocabulary ignores case and its splitting rule cuts at these places.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        split = [_CUT.sub(rb"\1 \2", t.encode("utf-8", "surrogatepass").lower()).split() for t in texts]
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        found = [list(map(known.get, ws)) for ws in split]
+        holes = [[i for i, x in enumerate(f) if x is None] for f in found]
+        new = list({ws[i] for ws, h in zip(split, holes, strict=True) for i in h})
+        blocks = [new[at : at + BLOCK_WORDS] for at in range(0, len(new), BLOCK_WORDS)]
+        for part in blocks:
+            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for ws, f, h in zip(split, found, holes, strict=True):
+            for i in h:
+                f[i] = known[ws[i]]
+        return list(map(b"".join, found))
+
+
+@functools.cache
+def _ids(path: str) -> Ids:
+    """One a worker process, so that known words last across its tasks."""
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -58,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = Ids(tokenizer_path)
+        ids = _ids(tokenizer_path)
         for b in batches:
             for at in range(0, len(b), 200):
                 keys, rows = b.column(0).slice(at, 200), ([], [], [], [], [])
