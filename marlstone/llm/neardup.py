@@ -162,26 +162,34 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): root is the smallest id reachable. Alternates large-star and small-star steps until nothing moves; each step is stored."""
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    stats = None
+    """(id, root) of all ids that are not roots: root is the smallest id reachable. Alternates large-star and small-star steps until only stars are left; each step is stored."""
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("below")), F.struct(F.col("b").alias("id"), F.lit(1).alias("below")))).alias("e"))
+        chained = ends.groupBy("e.id").agg(F.sum("e.below").alias("below"), F.count("*").alias("n")).where("below > 0 and n > 1")
+        if chained.isEmpty():  # every id is a root or has one edge, to a root
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_c"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("_c")).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.join(low, F.col("a") == F.col("_c")).where("b > a").select(F.col("m").alias("a"), "b").where("a < b")  # at most a row an edge, repeats go below
         low = large.groupBy(F.col("b").alias("_c")).agg(F.min("a").alias("m"))
         joined = large.join(low, F.col("b") == F.col("_c"))
         small = joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct()
         edges = stored(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == stats:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
-        stats = now
 
 
-def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined(first: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, root) of the links behind first and of more (a, b) together: only links between roots are followed."""
+    root = lambda x: first.select(F.col("id").alias(f"_{x}"), F.col("root").alias(f"r{x}"))
+    links = more.join(root("a"), F.col("a") == F.col("_a"), "left").join(root("b"), F.col("b") == F.col("_b"), "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    last = components(links)
+    moved = first.join(last.select(F.col("id").alias("_id"), F.col("root").alias("_root")), F.col("root") == F.col("_id"), "left").select("id", F.coalesce("_root", "root").alias("root"))
+    return moved.unionByName(last)
+
+
+def _labels(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """nodes (id, ...) with the root of each."""
-    return nodes.join(components(edges).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
+    return nodes.join(roots.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -286,9 +294,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = stored(banded.join(shared.select(F.col("band").alias("_band"), "hub"), F.col("band") == F.col("_band")).select("band", "id", "n", "hub"), "members")
     pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     edges = stored(_verified(pairs, nodes, texts, k, percent), "links")
-    rooted = stored(_labels(members, edges), "rooted")
-    more = stored(_across(rooted, texts, k, percent), "links")
-    ends = components(edges.union(more)) if not more.isEmpty() else components(edges)
+    first = components(edges)
+    more = stored(_across(stored(_labels(members, first), "rooted"), texts, k, percent), "links")
+    ends = _joined(first, more) if not more.isEmpty() else first
     by_class = classes.join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("same").alias("_same"), F.coalesce("root", "id").alias("_root"))
     out = sketch.select("doc_id", "n", "same").join(by_class, F.col("same") == F.col("_same"), "left")
     root = F.coalesce("_root", "doc_id")
