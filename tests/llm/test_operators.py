@@ -141,7 +141,7 @@ def test_packing_is_gapless_and_whole(docs, empty):
 
 
 def test_tokens_equal_the_tokenizer():
-    texts = ["It's <|endoftext|> a b, c\x1cd 12 été!", "", "a  b\n"]
+    texts = ["It's <|endoftext|> a b, c\x1cd 12 été!", "", "a  b\n", "DON'T it's. a.'s A,'T x'S", "İstanbul ΣΑΣ", "á.b e.́ a≠b", "x`{y}[z]@*** ...e"]
     ids = packing.Ids(packing.vocabulary())
     whole = packing._tokenizer(packing.vocabulary())
     assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
