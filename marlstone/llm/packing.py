@@ -53,7 +53,9 @@ class Ids:
         self.tokenizer, self.known = _tokenizer(path), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.sub(rb"\1 \2", t.encode("utf-8", "surrogatepass").lower()).split() for t in texts]
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        # the vocabulary's special tokens are found in the text as it stands: such texts are not changed
+        split = [(t if b"<|" in t else _CUT.sub(rb"\1 \2", t.lower())).split() for t in raws]
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
