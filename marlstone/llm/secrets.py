@@ -8,7 +8,6 @@ the random model by more than a threshold is a secret, whatever its prefix.
 from __future__ import annotations
 
 import bisect
-import functools
 import hashlib
 import random
 import re
@@ -30,6 +29,8 @@ _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 _SIZE = len(_ALPHABET) + 2
 #: Threshold on the mean ratio in nats a character, and on the total.
 MIN_MEAN, MIN_TOTAL = 0.55, 16.0
+#: The corpus's words weigh at most as much as so many of them.
+WORDS_WEIGHT = 4_000
 #: Ordinary words that identifiers are made of, for the labelled sample.
 _WORDS = """access account action active add address alias all any api app apply array async auth back base batch begin block body bool buffer build
 byte cache call cancel cell change char check child class clean clear client clock close cluster code collect color column command commit config
@@ -58,37 +59,61 @@ def labelled_samples(n: int = 6_000, seed: int = 11) -> tuple[list[str], list[st
     return secret, plain
 
 
+def trigrams(samples) -> np.ndarray:
+    """Counts of a character after two, by their codes; 0 stands before each sample."""
+    counts = np.zeros((_SIZE,) * 3)
+    for s in samples:
+        c = [0, 0, *(_CODE.get(x, _SIZE - 1) for x in s)]
+        np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    return counts
+
+
 class Markov:
     """Second-order character model with interpolated lower orders; natural logarithms."""
 
-    def __init__(self, samples: list[str], strength: float = 4.0):
-        counts = np.zeros((_SIZE,) * 3)
-        for s in samples:
-            c = [0, 0, *(_CODE.get(x, _SIZE - 1) for x in s)]
-            np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    def __init__(self, counts: np.ndarray, strength: float = 4.0):
         p = np.full(_SIZE, 1 / _SIZE)
         for n in (counts.sum((0, 1)), counts.sum(0), counts):
             p = (n + strength * p) / (n.sum(-1, keepdims=True) + strength)
         self.log = np.log(p)
 
 
-@functools.cache
-def models(words: tuple[str, ...] = ()) -> np.ndarray:
-    """The table of log-likelihood ratios, random over ordinary; words: further ordinary identifiers."""
+def models(words: np.ndarray | None = None) -> np.ndarray:
+    """The table of log-likelihood ratios, random over ordinary; words: counts of further ordinary words."""
     secret, plain = labelled_samples()
-    return Markov(secret).log - Markov([*plain, *words]).log
+    counts = trigrams(plain)
+    return Markov(trigrams(secret)).log - Markov(counts if words is None else counts + words).log
 
 
-def ratio(token: str, words: tuple[str, ...] = ()) -> float:
+def ratio(token: str, table: np.ndarray) -> float:
     """Sum of the log-likelihood ratios of a token's characters."""
     c = np.array([0, 0, *(_CODE.get(x, _SIZE - 1) for x in token)])
-    return float(models(words)[c[:-2], c[1:-1], c[2:]].sum())
+    return float(table[c[:-2], c[1:-1], c[2:]].sum())
+
+
+def ordinary(docs: DataFrame) -> np.ndarray:
+    """Trigram counts of the distinct words of letters only, of 4 or more, of all documents, for the ordinary side.
 
+    More than WORDS_WEIGHT words weigh together as much as so many, so that the generated sample keeps its share.
+    """
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w rlike '^[A-Za-z]{4,}$'").distinct()
+
+    def run(batches):
+        total = np.zeros(_SIZE**3)
+        for b in batches:
+            codes = np.zeros(256, np.int64)
+            codes[[ord(c) for c in _ALPHABET]] = [_CODE[c] for c in _ALPHABET]
+            code = codes[np.frombuffer("".join(f"  {w}" for w in b.column(0).to_pylist()).encode("ascii"), np.uint8)]
+            code = (code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:]
+            total += np.bincount(code[code % _SIZE > 0], minlength=_SIZE**3)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["gram", "n"])
 
-def ordinary(docs: DataFrame, bound: int = 4_000) -> tuple[str, ...]:
-    """A bounded sample of words of letters only, of 4 or more, for the ordinary side; in a fixed order."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w rlike '^[A-Za-z]{4,}$'").limit(20 * bound).distinct()
-    return tuple(sorted(r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(bound).collect()))
+    total = np.zeros(_SIZE**3)
+    for batch in words.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most 70 ** 3 rows
+        total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    total = total.reshape((_SIZE,) * 3)
+    return total * min(1.0, WORDS_WEIGHT / max(1.0, total[0, 0].sum()))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -103,7 +128,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], words: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], table: np.ndarray) -> list[tuple[str, int, int]]:
     """Tokens that the models call random and that overlap no base span."""
     out = []
     taken = sorted((s, e) for _, s, e in base)
@@ -115,7 +140,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], words: tuple[str, .
         at = bisect.bisect_left(taken, (e, 0))
         if any(x < e and s < y for x, y in taken[max(0, at - 3) : at]):
             continue
-        got = ratio(m[0], words)
+        got = ratio(m[0], table)
         if got >= MIN_TOTAL and got / len(m[0]) >= MIN_MEAN:
             out.append(("random", s, e))
     return out
@@ -125,15 +150,14 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
-def scan(docs: DataFrame, words: tuple[str, ...] | None = None) -> DataFrame:
+def scan(docs: DataFrame, words: np.ndarray | None = None) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are in code points, end exclusive. Null text counts as empty; a text without findings has the
     hash of the empty string and empty spans. Repeated rows each get a row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = ordinary(docs) if words is None else words
-    held = docs.sparkSession.sparkContext.broadcast(words)
+    held = docs.sparkSession.sparkContext.broadcast(models(ordinary(docs) if words is None else words))
 
     def run(batches):
         extra = held.value
@@ -153,8 +177,8 @@ def scan(docs: DataFrame, words: tuple[str, ...] | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the same columns, secrets in text replaced by [SECRET]."""
-    schema, words, at = docs.schema, ordinary(docs), docs.columns.index("text")
-    held = docs.sparkSession.sparkContext.broadcast(words)
+    schema, at = docs.schema, docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(models(ordinary(docs)))
 
     def run(batches):
         for b in batches:

@@ -187,6 +187,18 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(docs).where("spans != ''").count() == 0 and secrets.scan(empty).count() == 0
 
 
+def test_ordinary_words_are_those_of_all_documents(spark):
+    """More words than any bound: the counts are of all distinct ones, whatever the order of rows."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(90_000)]
+    texts = [(i, " ".join([*words[i : i + 900], "x1", "abc", words[0]])) for i in range(0, len(words), 900)]
+    want = secrets.trigrams(words)
+    for rows in (texts, texts[::-1]):
+        got = secrets.ordinary(spark.createDataFrame([*rows, (-1, None)], "doc_id long, text string"))
+        assert np.allclose(got, want * secrets.WORDS_WEIGHT / len(words))
+    few = secrets.ordinary(spark.createDataFrame([(1, "some words some"), (2, "other words")], "doc_id long, text string"))
+    assert (few == secrets.trigrams(["some", "words", "other"])).all()
+
+
 def test_disguised_words_are_restored():
     model = toxicity.smoothed(toxicity.gram_counts(["the idiot and the moron are stupid, such a pathetic loser " * 50]).astype(float))
     read = toxicity.Decoder(model)
