@@ -2,7 +2,8 @@
 
 Each source's documents are dealt to blocks of about equal numbers by a hash. Full passes over a source are taken first;
 the last, partial pass takes whole blocks in a permuted order up to the source's quota, and of the block that the quota
-ends in it takes the documents that fit. The exact block counts of all sources are then split among output shards
+ends in it takes the documents that fit. The room that is left goes on to the blocks after it, in the same way among documents
+no longer than the room, until none fits: what a walk over all documents in permuted order would take. The exact block counts of all sources are then split among output shards
 by a tree: at each node the left half's blocks are a multivariate hypergeometric draw from the node's.
 Shards take disjoint ranges of each source's permuted blocks and order their documents by a hash.
 
@@ -20,6 +21,8 @@ from .shared import WORD, stored, table
 BLOCK_DOCS, SHARD_WORDS = 128, 50_000_000
 #: A bound on the number of sources, whose totals the driver reads.
 MAX_SOURCES = 100_000
+#: Stands for a round's end that no block is.
+NO_BLOCK = 1 << 60
 
 
 def sizes(text: Column) -> Column:
@@ -78,6 +81,48 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = 5) -> np.ndarray:
     return out
 
 
+def _fitted(ranked: DataFrame, cells: list[tuple[str | None, int, int]], seed: int) -> DataFrame:
+    """source, _rank, _fh, _fits, _words: in each cell (source, block's rank, room) the documents that fit, in permuted order, by hash."""
+    small = ranked.sparkSession.createDataFrame(cells, "_ps string, _pr long, _room long")
+    fits = F.aggregate(
+        F.sort_array(F.collect_list(F.struct(F.xxhash64("_h", F.lit(seed + 2)).alias("o"), "_h", "size"))),
+        F.struct(F.first("_room").alias("room"), F.array().cast("array<struct<h:bigint,n:bigint>>").alias("got")),
+        lambda s, x: F.when((x["size"] > 0) & (x["size"] <= s["room"]), F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["got"], F.array(F.struct(x["_h"].alias("h"), x["size"].alias("n")))).alias("got"))).otherwise(s),
+        lambda s: s["got"],
+    )
+    there = ranked.join(F.broadcast(small) if len(cells) <= 10_000 else small, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_rank") == F.col("_pr")))
+    got = there.groupBy("source", "_rank").agg(fits.alias("_got")).select("source", "_rank", F.explode("_got").alias("g"))
+    return got.groupBy("source", "_rank", F.col("g.h").alias("_fh")).agg(F.count("*").alias("_fits"), F.sum("g.n").alias("_words"))
+
+
+def fill(ranked: DataFrame, quotas: dict[str | None, int], seed: int) -> dict[str | None, list[tuple[int, int, int, int]]]:
+    """Per source its rounds (room, first, end, rest): of the blocks first to end - 1 all documents up to room words are taken, in block end those that fit into rest.
+
+    A document longer than the room can no longer fit, so a round looks at the others alone. The next one starts behind block end with the room
+    that is left; the last one has no such block. A block's documents that were left are longer than the room, so rounds are few.
+    """
+    out: dict = {}
+    live = [(s, q, 0) for s, q in quotas.items() if q > 0]
+    while live:
+        now = ranked.sparkSession.createDataFrame(live, "_ls string, _room long, _first long")
+        left = ranked.join(F.broadcast(now) if len(live) <= 10_000 else now, F.col("source").eqNullSafe(F.col("_ls"))).where("_rank >= _first and size > 0 and size <= _room")
+        ends = left.groupBy("source", "_rank").agg(F.sum("size").alias("_words"), F.first("_room").alias("_room"))
+        ends = ends.withColumn("_end", F.sum("_words").over(Window.partitionBy("source").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)))
+        cut = {r.source: r for r in ends.groupBy("source").agg(F.max(F.expr("if(_end <= _room, _end, 0)")).alias("full"), F.min(F.expr("if(_end > _room, _rank, null)")).alias("at")).collect()}
+        cells, firsts = {}, {}
+        for s, room, first in live:
+            if s in cut:
+                at = NO_BLOCK if cut[s]["at"] is None else int(cut[s]["at"])
+                out.setdefault(s, []).append((room, first, at, room - int(cut[s].full)))
+                if at < NO_BLOCK and room > cut[s].full:
+                    cells[s], firsts[s] = room - int(cut[s].full), at
+        if not cells:
+            break
+        words = {r.source: int(r.n) for r in _fitted(ranked, [(s, firsts[s], n) for s, n in cells.items()], seed).groupBy("source").agg(F.sum("_words").alias("n")).collect()}
+        live = [(s, n - words.get(s, 0), firsts[s] + 1) for s, n in cells.items() if n > words.get(s, 0)]
+    return out
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), seed: int = 5) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, copies, shards.
 
@@ -99,34 +144,31 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     facts = spark.createDataFrame(plan, "_s string, source_size long, target double, _passes int, _quota long, _blocks long")
     same = F.col("source").eqNullSafe(F.col("_s"))
     dealt = rows.join(F.broadcast(facts) if len(plan) <= 10_000 else facts, same).withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")))
-    # permuted blocks of each source, the words before each
-    blocks = dealt.groupBy("_s", "_block").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"), F.first("_passes").alias("_passes"))
+    # permuted blocks of each source, then the rounds that fill its quota
+    blocks = dealt.groupBy("_s", "_block").agg(F.count("*").alias("_n"))
     order = Window.partitionBy("_s").orderBy(F.xxhash64("_block", F.lit(seed + 1)), "_block")
-    blocks = blocks.withColumn("_end", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(order) - 1)
-    # a quota ends within one block of each source: there the documents that still fit are taken, in permuted order
-    blocks = blocks.withColumn("_room", F.col("_quota") - F.col("_end") + F.col("_words")).withColumn("_state", F.when(F.col("_end") <= F.col("_quota"), 2).when(F.col("_room") > 0, 1).otherwise(0))
-    drawn = blocks.where("_state > 0").groupBy("_s").agg(F.count("*").alias("d")).collect() if plan else []
+    blocks = blocks.withColumn("_rank", F.row_number().over(order) - 1)
+    ranked = stored(dealt.join(blocks.select(F.col("_s").alias("_bs"), F.col("_block").alias("_bb"), "_rank"), F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))).drop("_bs", "_bb", "_s"), "blocks") if plan else None
+    filled = fill(ranked, {p[0]: p[4] for p in plan}, seed) if plan else {}
+    # what fills a quota's rest goes where the block that the quota ends in goes
+    partial = {s: (min(r[0][2] + 1, n) if r else 0) for (s, n) in ((p[0], p[5]) for p in plan) for r in [filled.get(s)]}
     n_blocks = {p[0]: p[5] for p in plan}
-    partial = {r["_s"]: r.d for r in drawn}
     quotas = [p[3] * n_blocks[p[0]] + partial.get(p[0], 0) for p in plan]
     shards = max(1, round(sum(p[2] for p in plan) / SHARD_WORDS))
     ends = np.cumsum(splitting_tree(quotas, shards, seed), axis=0) if plan else np.zeros((1, 0), np.int64)
-    cuts = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]]) for i, p in enumerate(plan)], "_c string, _cuts array<long>")
-
-    at_quota = dealt.join(blocks.where("_state = 1").select(F.col("_s").alias("_ps"), F.col("_block").alias("_pb"), "_room"), F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb")))
-    fits = F.aggregate(
-        F.sort_array(F.collect_list(F.struct(F.xxhash64("_h", F.lit(seed + 2)).alias("o"), "_h", "size"))),
-        F.struct(F.first("_room").alias("room"), F.array().cast("array<struct<h:bigint,n:bigint>>").alias("got")),
-        lambda s, x: F.when((x["size"] > 0) & (x["size"] <= s["room"]), F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["got"], F.array(F.struct(x["_h"].alias("h"), F.lit(1).cast("long").alias("n")))).alias("got"))).otherwise(s),
-        lambda s: s["got"],
-    )
-    fitted = at_quota.groupBy("_s", "_block").agg(fits.alias("_got")).select(F.explode("_got").alias("g")).groupBy(F.col("g.h").alias("_fh")).agg(F.count("*").alias("_fits"))
-    placed = dealt.join(blocks.select(F.col("_s").alias("_bs"), F.col("_block").alias("_bb"), "_rank", "_state"), F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
-    partly = placed.where("_state = 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_s", "_block", "_h").orderBy("size")))
-    partly = partly.join(fitted, F.col("_h") == F.col("_fh"), "left").withColumn("_more", F.when(F.col("_nth") <= F.coalesce("_fits", F.lit(0)), 1).otherwise(0)).drop("_nth", "_fh", "_fits")
-    done = placed.where("_state != 1").withColumn("_more", F.when(F.col("_state") == 2, 1).otherwise(0)).unionByName(partly)
-    done = done.withColumn("copies", F.col("_passes") + F.col("_more")).join(F.broadcast(cuts) if len(plan) * shards <= 1_000_000 else cuts, F.col("_s").eqNullSafe(F.col("_c")))
-    nth = lambda c: c * F.col("_blocks") + F.col("_rank")  # noqa: E731  of the source's drawn blocks, pass by pass
+    cuts = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]], [r[:3] for r in filled.get(p[0], [])], partial[p[0]]) for i, p in enumerate(plan)], "_c string, _cuts array<long>, _rounds array<struct<room:bigint,first:bigint,end:bigint>>, _drawn long")
+    if not plan:
+        return dealt.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.array().cast("array<int>").alias("shards"))
+
+    placed = ranked.join(F.broadcast(cuts) if len(plan) * shards <= 1_000_000 else cuts, F.col("source").eqNullSafe(F.col("_c")))
+    placed = placed.withColumn("_in", F.exists("_rounds", lambda r: r["end"] == F.col("_rank")))
+    cells = [(s, r[2], r[3]) for s, rounds in filled.items() for r in rounds if r[2] < NO_BLOCK]
+    fitted = _fitted(ranked, cells, seed).select(F.col("source").alias("_fs"), F.col("_rank").alias("_fr"), "_fh", "_fits")
+    partly = placed.where("_in").withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_rank", "_h").orderBy("size")))
+    partly = partly.join(fitted, F.col("source").eqNullSafe(F.col("_fs")) & (F.col("_rank") == F.col("_fr")) & (F.col("_h") == F.col("_fh")), "left").withColumn("_more", F.when(F.col("_nth") <= F.coalesce("_fits", F.lit(0)), 1).otherwise(0)).drop("_nth", "_fs", "_fr", "_fh", "_fits")
+    whole = F.exists("_rounds", lambda r: (F.col("_rank") >= r["first"]) & (F.col("_rank") < r["end"]) & (F.col("size") <= r["room"])) & (F.col("size") > 0)
+    done = placed.where("not _in").withColumn("_more", F.when(whole, 1).otherwise(0)).unionByName(partly).withColumn("copies", F.col("_passes") + F.col("_more"))
+    nth = lambda c: c * F.col("_blocks") + F.when(c < F.col("_passes"), F.col("_rank")).otherwise(F.least(F.col("_rank"), F.col("_drawn") - 1))  # noqa: E731  of the source's drawn blocks, pass by pass
     shard = lambda c: F.size(F.filter("_cuts", lambda x: x <= nth(c)))
     shard_list = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", shard_list.alias("shards"))
