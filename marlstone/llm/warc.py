@@ -1,7 +1,7 @@
 """WARC derivatives: each response becomes a metadata record and a plain-text conversion record.
 
 Both name the response they derive from in WARC-Refers-To; the metadata record keeps the source record's headers
-and digests, the conversion record holds the text without markup. Identifiers and digests are
+and digests (those of its WARC header as they are declared), the conversion record holds the text without markup. Identifiers and digests are
 functions of the content, so a rerun makes the same records.
 """
 
@@ -17,7 +17,8 @@ from .shared import table
 
 #: Time stamp of responses that carry none.
 NO_DATE = "1970-01-01T00:00:00Z"
-RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload string"
+#: raw holds the payload's bytes, payload their text; warc_headers the record's whole WARC header, the digests what it declares ("" if nothing).
+RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload string, raw binary, warc_headers string, payload_digest string, block_digest string"
 
 #: Rewrites from HTML to text, in order; each is valid in both Java's and RE2's syntax.
 TO_TEXT = [
@@ -54,19 +55,21 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("page_id"), F.expr(_uuid("'response'", "coalesce(cast(page_id as string), '')", "coalesce(url, '')", "sha2(coalesce(html, ''), 256)")).alias("record_id"),
         F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(NO_DATE).alias("date"), F.lit("Content-Type: text/html; charset=utf-8").alias("http_headers"), F.coalesce("html", F.lit("")).alias("payload"),
+        F.coalesce("html", F.lit("")).cast("binary").alias("raw"), *(F.lit("").alias(c) for c in ("warc_headers", "payload_digest", "block_digest")),
     )
 
 
 def derivatives(found: DataFrame, *keys: str) -> DataFrame:
     """Two records per response: keys, record_type, record_id, refers_to, target_uri, date, content_type, source_headers, source_digest, block_digest, content_length, block.
 
-    Digests are SHA-256 of the UTF-8 block. Empty payloads have an empty conversion block; null fields count as empty, a null date as NO_DATE;
+    source_digest is the SHA-256 of the payload's bytes, block_digest that of the UTF-8 block; what the source's WARC header declares is in the metadata block. Empty payloads have an empty conversion block; null fields count as empty, a null date as NO_DATE;
     responses that repeat give records that repeat.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
-    base = found.select(*keys, *(text(c).alias(c) for c in ("record_id", "target_uri", "http_headers", "payload")), F.coalesce("date", F.lit(NO_DATE)).alias("date"))
-    base = base.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2(F.col("payload").cast("binary"), 256))).withColumn("_text", plain_text("payload"))
-    fields = F.concat(F.lit("source-record: "), "record_id", F.lit("\nsource-uri: "), "target_uri", F.lit("\nsource-digest: "), "source_digest", F.lit("\nsource-length: "), F.octet_length("payload").cast("string"), F.lit("\ntext-length: "), F.octet_length("_text").cast("string"), F.lit("\nsource-headers: "), F.regexp_replace("http_headers", "\r?\n", " | "), F.lit("\n"))
+    declared = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(c, "\r?\n", " | "), F.lit("\n"))).otherwise(F.lit(""))
+    base = found.select(*keys, *(text(c).alias(c) for c in ("record_id", "target_uri", "http_headers", "payload", "warc_headers")), text(F.col("payload_digest")).alias("_payload_digest"), text(F.col("block_digest")).alias("_block_digest"), F.coalesce("raw", text(F.col("payload")).cast("binary")).alias("raw"), F.coalesce("date", F.lit(NO_DATE)).alias("date"))
+    base = base.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2("raw", 256))).withColumn("_text", plain_text("payload"))
+    fields = F.concat(F.lit("source-record: "), "record_id", F.lit("\nsource-uri: "), "target_uri", F.lit("\nsource-digest: "), "source_digest", F.lit("\nsource-length: "), F.octet_length("raw").cast("string"), F.lit("\ntext-length: "), F.octet_length("_text").cast("string"), F.lit("\nsource-headers: "), F.regexp_replace("http_headers", "\r?\n", " | "), F.lit("\n"), declared("source-payload-digest", "_payload_digest"), declared("source-block-digest", "_block_digest"), declared("source-warc-headers", "warc_headers"))
     record = lambda kind, mime, block: F.struct(F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     rows = base.select("*", F.explode(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("_text")))).alias("r"))
     return rows.select(
@@ -81,14 +84,16 @@ def _parsed(stream) -> list[dict]:
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
-        head = {}
+        head, lines = {}, [line]
         while (line := stream.readline()).strip():
+            lines.append(line)
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         body = stream.read(int(head.get("content-length", "0")))
         if head.get("warc-type") == "response":
             http, _, payload = body.partition(b"\r\n\r\n")
-            out.append({"record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", NO_DATE), "http_headers": http.decode("utf-8", "replace"), "payload": payload.decode("utf-8", "replace")})
+            out.append({"record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", NO_DATE), "http_headers": http.decode("utf-8", "replace"), "payload": payload.decode("utf-8", "replace"),
+                        "raw": payload, "warc_headers": b"".join(lines).decode("utf-8", "replace").rstrip("\r\n"), "payload_digest": head.get("warc-payload-digest", ""), "block_digest": head.get("warc-block-digest", "")})
     return out
 
 
@@ -100,7 +105,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for raw in b.column(0).to_pylist():
                 rows = _parsed(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
                 for at in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 500], pa.schema([(c, pa.string()) for c in ("record_id", "target_uri", "date", "http_headers", "payload")]))
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 500], pa.schema([(c, pa.binary() if kind == "binary" else pa.string()) for c, kind in map(str.split, RESPONSE.split(", "))]))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
 

@@ -236,3 +236,20 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u>\r\nWARC-Target-URI: http://b/\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n")
     r = warc.read_warc(spark, str(tmp_path)).first()
     assert (r.record_id, r.target_uri, r.payload) == ("<u>", "http://b/", "<p>a</p>") and re.match("HTTP/1.1 200", r.http_headers)
+
+
+def test_warc_headers_and_digests_are_kept(spark, tmp_path):
+    payload, sha1 = b"<p>caf\xe9 \xff</p>", "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\n" + payload
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u>\r\nWARC-IP-Address: 192.0.2.7\r\nWARC-Payload-Digest: {sha1}\r\nWARC-Block-Digest: sha1:B\r\nContent-Length: {len(body)}"
+    (tmp_path / "x.warc").write_bytes(head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+    found = warc.read_warc(spark, str(tmp_path))
+    r = found.first()
+    assert (bytes(r.raw), r.payload_digest, r.block_digest, r.warc_headers) == (payload, sha1, "sha1:B", head)
+    meta = warc.derivatives(found).where("record_type = 'metadata'").first()
+    assert meta.source_digest == "sha256:" + hashlib.sha256(payload).hexdigest()
+    lines = dict(x.split(": ", 1) for x in meta.block.splitlines())
+    assert (lines["source-length"], lines["source-payload-digest"], lines["source-block-digest"]) == (str(len(payload)), sha1, "sha1:B")
+    assert lines["source-digest"] == meta.source_digest and lines["source-warc-headers"] == head.replace("\r\n", " | ")
+    plain = warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"))).where("record_type = 'metadata'").first()
+    assert "warc-headers" not in plain.block and "payload-digest" not in plain.block
