@@ -30,10 +30,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    """A row for each copy of a document that the mix takes, with its output shard and the key that orders it there."""
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.arrays_zip("shards", "orders").alias("_places"))
     rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return rows.withColumn("_place", F.explode("_places")).select(*docs.columns, F.col("_place.shards").alias("shard"), F.col("_place.orders").alias("shard_order"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

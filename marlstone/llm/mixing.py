@@ -124,9 +124,10 @@ def fill(ranked: DataFrame, quotas: dict[str | None, int], seed: int) -> dict[st
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), seed: int = 5) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, copies, shards.
+    """Per document: doc_id, size, source_size, target, taken, copies, shards, orders.
 
-    copies is how often the mix takes the whole document (0 to 2), shards the output shard of each copy. Null texts and
+    copies is how often the mix takes the whole document (0 to 2), shards the output shard of each copy, orders the seeded
+    hash by which that copy is ordered within its shard. Null texts and
     texts without words have size 0 and are taken as often as their source's full passes. Rows that repeat an id are
     documents of their own. An empty table gives an empty result.
     """
@@ -158,7 +159,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     ends = np.cumsum(splitting_tree(quotas, shards, seed), axis=0) if plan else np.zeros((1, 0), np.int64)
     cuts = spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]], [r[:3] for r in filled.get(p[0], [])], partial[p[0]]) for i, p in enumerate(plan)], "_c string, _cuts array<long>, _rounds array<struct<room:bigint,first:bigint,end:bigint>>, _drawn long")
     if not plan:
-        return dealt.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.array().cast("array<int>").alias("shards"))
+        return dealt.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.array().cast("array<int>").alias("shards"), F.array().cast("array<bigint>").alias("orders"))
 
     placed = ranked.join(F.broadcast(cuts) if len(plan) * shards <= 1_000_000 else cuts, F.col("source").eqNullSafe(F.col("_c")))
     placed = placed.withColumn("_in", F.exists("_rounds", lambda r: r["end"] == F.col("_rank")))
@@ -170,8 +171,9 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     done = placed.where("not _in").withColumn("_more", F.when(whole, 1).otherwise(0)).unionByName(partly).withColumn("copies", F.col("_passes") + F.col("_more"))
     nth = lambda c: c * F.col("_blocks") + F.when(c < F.col("_passes"), F.col("_rank")).otherwise(F.least(F.col("_rank"), F.col("_drawn") - 1))  # noqa: E731  of the source's drawn blocks, pass by pass
     shard = lambda c: F.size(F.filter("_cuts", lambda x: x <= nth(c)))
-    shard_list = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", shard_list.alias("shards"))
+    each = lambda f, kind: F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), f)).otherwise(F.array().cast(f"array<{kind}>"))
+    place = lambda c: F.xxhash64("_h", "source", c, F.lit(seed + 3))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", each(shard, "int").alias("shards"), each(place, "bigint").alias("orders"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
