@@ -2,8 +2,9 @@
 
 1. Each distinct shingle set becomes a sketch of REGISTERS registers: every shingle draws exponentially
    spaced values into registers in an order of its own, a register keeps the smallest and stores its
-   truncated base-BASE logarithm. Sketches of parts merge by the larger register value.
-2. Runs of ROWS registers form BANDS bands; sets that share a band are candidates.
+   truncated logarithm. Sketches of parts merge by the larger register value.
+2. Runs of ROWS registers, as levels to base FINE, form BANDS bands; sets that share a band are candidates.
+   For the estimate a register is kept as its level to base BASE, which fits a byte.
 3. A candidate pair's similarity is estimated from the counts of larger, smaller and equal
    registers by maximum likelihood; what is far below the threshold goes.
 4. The rest is confirmed on the full shingle sets; confirmed links join documents to components.
@@ -11,6 +12,9 @@
 Within a band, members are first compared with one hub each, so that a large group costs as many comparisons
 as it has members. Members that are then still in different components meet in full: each member outside the
 band's main component with all others, in blocks that compare full sets. No pair of one band is left out.
+
+Texts are never shuffled. What a join needs of them or of the bands is chosen first by a bit table of fixed size over the
+hashes of the keys that the join asks for: it may let others through, which the join then drops, and loses none.
 """
 
 from __future__ import annotations
@@ -20,15 +24,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import stored, table
+from .shared import bit_table, bounded_broadcast, in_bit_table, stored, table
 
 BANDS, ROWS = 42, 6
-REGISTERS, BASE, TOP = 256, 1.001, 65535
+REGISTERS, FINE, BASE, TOP = 256, 1.001, 1.09, 65535
 #: Pairs whose estimate is this far below the threshold are not verified: over six standard errors of the estimate.
 MARGIN = 0.17
+#: Shingles, about, and texts that are sketched or sent at a time; a larger set is sketched in parts.
+BATCH_HASHES, BATCH_TEXTS, PART_HASHES = 100_000, 400, 200_000
 #: Shingles of the members that a block compares, and of the partners that a cell compares them with, about.
 BLOCK_HASHES, CELL_HASHES = 100_000, 1_000_000
-_LIMIT = 300_000
+#: Bytes of the words whose hashes a task keeps, about, with what the table itself takes for each.
+_KNOWN_BYTES, _ENTRY_BYTES = 40_000_000, 150
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,21 +49,23 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text, ASCII letters in lower case."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
+        self.k, self.known, self.held = k, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > _LIMIT:
+        if self.held > _KNOWN_BYTES:
             known.clear()
+            self.held = 0
         try:
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
+                    self.held += len(w) + _ENTRY_BYTES
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - self.k + 1)
         out = np.full(n, len(h) if len(h) < self.k else self.k, np.uint64)
@@ -70,7 +79,17 @@ _ENDS = np.concatenate([[0.0], np.log1p(np.arange(1, REGISTERS) / (REGISTERS - n
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of non-empty sets, all together: round j gives each element of the sets that still need it its j-th value."""
+    """Registers of non-empty sets, as levels to base FINE; those of parts of a large set merge by the larger value."""
+    out = np.empty((len(sets), REGISTERS), np.uint16)
+    small = [i for i, s in enumerate(sets) if len(s) <= PART_HASHES]
+    out[small] = _sketches([sets[i] for i in small])
+    for i in set(range(len(sets))).difference(small):
+        out[i] = np.maximum.reduce([_sketches([sets[i][at : at + PART_HASHES]])[0] for at in range(0, len(sets[i]), PART_HASHES)])
+    return out
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers of sets, all together: round j gives each element of the sets that still need it its j-th value."""
     sizes = np.array([len(s) for s in sets])
     best = np.full((len(sets), REGISTERS), np.inf)
     if not len(sets):
@@ -88,10 +107,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         keep = more[owner]
         if not keep.all():
             element, owner, start, stride = element[keep], owner[keep], start[keep], stride[keep]
-    level = np.floor(1 - np.log(best / 20.0) / np.log(BASE))  # 20: above this value a register counts as never reached
+    level = np.floor(1 - np.log(best / 20.0) / np.log(FINE))  # 20: above this value a register counts as never reached
     return np.clip(level, 0, TOP).astype(np.uint16)
 
 
+def coarse(levels: np.ndarray) -> np.ndarray:
+    """Levels to base BASE, one byte each, of levels to base FINE."""
+    return np.clip(np.ceil(levels * (np.log(FINE) / np.log(BASE))), 0, 255).astype(np.uint8)
+
+
 def bands(registers: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of ROWS registers."""
     out = np.empty((len(registers), BANDS), np.uint64)
@@ -122,43 +146,76 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (low + high) / 2
 
 
+def _batched(texts: list[str | None], shingler: Shingler):
+    """(first, sets) of runs of texts, each of bounded number and about bounded size."""
+    first, sets, held = 0, [], 0
+    for i, t in enumerate(texts):
+        sets.append(shingler(t))
+        held += len(sets[-1])
+        if held >= BATCH_HASHES or len(sets) >= BATCH_TEXTS:
+            yield first, sets
+            first, sets, held = i + 1, [], 0
+    if sets:
+        yield first, sets
+
+
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_hash, n, same, bands, registers of each row; same, bands and registers are null for texts without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         shingler = Shingler(k)
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for at in range(0, len(ids), 400):
-                sets = [shingler(t) for t in texts.slice(at, 400).to_pylist()]
-                filled = [s for s in sets if len(s)]
-                regs = sketches(filled)
-                keys = bands(regs).view(np.int64)
-                row = np.cumsum([len(s) > 0 for s in sets]) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, 400),
+            for at in range(0, len(b), BATCH_TEXTS):
+                part = b.slice(at, BATCH_TEXTS)
+                for first, sets in _batched(part.column(2).to_pylist(), shingler):
+                    filled = [s for s in sets if len(s)]
+                    levels = sketches(filled)
+                    keys, regs = bands(levels).view(np.int64), coarse(levels)
+                    row = np.cumsum([len(s) > 0 for s in sets]) - 1
+                    columns = [
+                        part.column(0).slice(first, len(sets)),
+                        part.column(1).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([keys[i] if len(s) else None for s, i in zip(sets, row, strict=True)], pa.list_(pa.int64())),
                         pa.array([regs[i].tobytes() if len(s) else None for s, i in zip(sets, row, strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "n", "same", "bands", "registers"],
-                )
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "same", "bands", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, same string, bands array<long>, registers binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, same binary, bands array<long>, registers binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id and full shingle set of the documents whose id is in ids (one column), and of a few others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = bit_table(ids.toDF("id").select(F.xxhash64("id")))
 
     def run(batches):
         shingler = Shingler(k)
         for b in batches:
-            for at in range(0, len(b), 400):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 400), pa.array([shingler(t).view(np.int64) for t in b.column(1).slice(at, 400).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "hashes"])
+            b = b.filter(in_bit_table(wanted.value, b.column(1)))
+            for at in range(0, len(b), BATCH_TEXTS):
+                part = b.slice(at, BATCH_TEXTS)
+                for first, sets in _batched(part.column(2).to_pylist(), shingler):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hashes array<long>")
+    return docs.select("doc_id", F.xxhash64("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, hashes array<long>")
+
+
+def _banded(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(band, id, n) of each node's bands that are in wanted (one column), and a few others."""
+    kind, held = nodes.schema["id"].dataType.simpleString(), bit_table(wanted)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(2)
+            flat, lengths = keys.flatten(), keys.value_lengths().to_numpy(zero_copy_only=False)
+            hit = in_bit_table(held.value, flat)
+            owner = np.repeat(np.arange(len(b)), lengths)[hit.to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([flat.filter(hit), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner))], ["band", "id", "n"])
+
+    return nodes.select("id", "n", "bands").mapInArrow(run, f"band long, id {kind}, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,24 +249,25 @@ def _labels(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("_id")
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    side = lambda x: sketch.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold; pairs: a, b and the size nb of b."""
+    side = lambda x: nodes.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}_"), F.col("registers").alias(f"r{x}"))
     kinds = pairs.schema["a"].dataType.simpleString()
 
     def likely(batches):
         for t in batches:
             if len(t):
-                regs = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (4, 5)]
+                regs = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in (4, 5)]
                 got = estimate(*regs, t.column(2).to_numpy().astype(float), t.column(3).to_numpy().astype(float))
                 yield pa.RecordBatch.from_arrays(t.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(got >= percent / 100 - MARGIN))
 
-    found = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    # the hub's side first: sizes that rule a pair out are seen before a register of b is sent
+    found = pairs.join(side("a"), F.col("a") == F.col("_a")).where(100 * F.least("na_", "nb") >= percent * F.greatest("na_", "nb"))
+    found = found.select("a", "b", F.col("na_").alias("na"), "nb", "ra").join(side("b"), F.col("b") == F.col("_b"))
     found = stored(found.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, f"a {kinds}, b {kinds}, na long, nb long"), "likely")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("_w")).distinct()
-    sets = stored(_sets(texts.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
+    sets = _sets(texts, found.select(F.explode(F.array("a", "b"))), k)
     s = lambda x: sets.select(F.col("doc_id").alias(f"_{x}"), F.col("hashes").alias(f"h{x}"))
-    exact = found.join(s("a"), F.col("a") == F.col("_a")).join(s("b"), F.col("b") == F.col("_b")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
+    exact = found.join(s("b"), F.col("b") == F.col("_b")).join(s("a"), F.col("a") == F.col("_a")).withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return exact.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -260,8 +318,8 @@ def _across(rooted: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     split = per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1 and size > 2")
     open_ = stored(rooted.join(split.select(F.col("band").alias("_band"), "main"), F.col("band") == F.col("_band")).where("id != hub").drop("_band"), "open")
     minor = open_.where("root != main")
-    blocks = minor.select("main", "id", "n").distinct().groupBy(F.col("main").alias("_main")).agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("_blocks"))
-    minor = minor.join(blocks, F.col("main") == F.col("_main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_main", "_blocks")
+    blocks = stored(minor.select("main", "id", "n").distinct().groupBy(F.col("main").alias("_main")).agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("_blocks")), "block_counts")
+    minor = minor.join(bounded_broadcast(blocks), F.col("main") == F.col("_main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_main", "_blocks")
     spans = minor.groupBy("band", "main", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.max("root").alias("r1")).withColumnsRenamed({"band": "_band", "main": "_main"})
     fits = (100 * F.col("n") >= percent * F.col("n0")) & (percent * F.col("n") <= 100 * F.col("n1")) & ((F.col("root") != F.col("r0")) | (F.col("root") != F.col("r1")))
     partners = stored(open_.join(spans, (F.col("band") == F.col("_band")) & fits).select("main", "block", "id", "root", "n").distinct(), "partners")
@@ -271,37 +329,39 @@ def _across(rooted: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     ys = partners.join(cells, in_block).withColumn("cell", F.pmod(F.xxhash64("id", F.lit("cell")), F.col("_cells"))).withColumn("minor", F.lit(False))
     columns = ("main", "block", "cell", "id", "root", "minor")
     rows = stored(xs.select(*columns).unionByName(ys.select(*columns)), "rows")
-    wanted = rows.select(F.col("id").alias("_w")).distinct()
-    sets = _sets(texts.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi"), k).dropDuplicates(["doc_id"])
-
+    sets = _sets(texts, rows.select("id"), k)
     return rows.join(sets, F.col("id") == F.col("doc_id")).select(*columns, "hashes").groupBy("main", "block", "cell").applyInArrow(lambda t: _forest(t, percent), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashed: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept; with hashed also text_hash, the xxhash64 of the text.
 
     A document without words (null text included) has no shingles and is linked with nothing. Documents with equal
-    shingle sets are one class, represented by its smallest id. Repeated ids: ids are taken to be unique; rows that repeat
-    one get the same component if their texts are equal. Null ids stay alone, with a null component, kept.
+    shingle sets are one class, represented by its smallest id. Rows that repeat an id and a text have the same
+    component and are kept or not together; if an id has several texts, each row has the component of its own text. Null
+    ids stay alone, with a null component, kept. An empty table gives an empty result; other columns are not read.
     """
     texts = docs.select("doc_id", "text")
     sketch = stored(_sketched(texts, k), "sketch")
-    classes = stored(sketch.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    nodes = sketch.join(classes.select(F.col("id").alias("_id"), F.col("same").alias("_same")), (F.col("doc_id") == F.col("_id")) & (F.col("same") == F.col("_same")), "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "registers").dropDuplicates(["id"])
+    # equal sets have equal sketches, so any row's will do; copies meet before the shuffle
+    nodes = sketch.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("id", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = stored(banded.join(shared.select(F.col("band").alias("_band"), "hub"), F.col("band") == F.col("_band")).select("band", "id", "n", "hub"), "members")
-    pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    shared = nodes.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub != last").select(F.col("band").alias("_band"), "hub")
+    shared = stored(shared, "shared")
+    members = _banded(nodes, shared.select("_band")).join(shared, F.col("band") == F.col("_band")).select("band", "id", "n", "hub")
+    members = stored(members, "members")
+    pairs = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
     edges = stored(_verified(pairs, nodes, texts, k, percent), "links")
     first = components(edges)
     more = stored(_across(stored(_labels(members, first), "rooted"), texts, k, percent), "links")
     ends = _joined(first, more) if not more.isEmpty() else first
-    by_class = classes.join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("same").alias("_same"), F.coalesce("root", "id").alias("_root"))
-    out = sketch.select("doc_id", "n", "same").join(by_class, F.col("same") == F.col("_same"), "left")
+    by_class = nodes.select("same", "id").join(ends.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("same").alias("_same"), F.coalesce("root", "id").alias("_root"))
+    out = sketch.select("doc_id", "text_hash", "n", "same").join(by_class, F.col("same") == F.col("_same"), "left")
     root = F.coalesce("_root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), root).alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), root).alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
+    return out if hashed else out.drop("text_hash")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of the whole table `documents` by two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)

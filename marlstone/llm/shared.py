@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Code points that end a word in the contracts: space and U+0009 to U+000D.
@@ -54,3 +56,29 @@ def remainder(doc_id: Column, mod: int) -> Column:
 def sampled(doc_id: Column, share: float) -> Column:
     """True for about this share of ids, the same ones on each run."""
     return F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+
+
+#: Slots of a bit table: 8 MB whatever it holds. With more keys it lets more rows through, and still loses none.
+SLOTS = 1 << 26
+#: Rows of a table that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 200_000
+
+
+def bit_table(hashes: DataFrame):
+    """Broadcast bits of the remainders of 64-bit hashes, a table of one column."""
+    words = hashes.toDF("h").select((F.col("h").bitwiseAND(SLOTS - 1)).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits"))
+    bits = np.zeros(SLOTS >> 6, np.uint64)
+    for b in words.toArrow().to_batches():  # at most SLOTS / 64 rows
+        bits[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bit_table(bits: np.ndarray, hashes: pa.Array) -> pa.Array:
+    """Which hashes have their bit set."""
+    s = hashes.to_numpy(zero_copy_only=False).astype(np.int64) & (SLOTS - 1)
+    return pa.array((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows; else joins shuffle, and skewed ones are split at run time. df is stored: it is counted."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
