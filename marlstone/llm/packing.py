@@ -25,11 +25,9 @@ from .shared import stored, table
 LENGTH, END = 4096, 1
 #: Tokens that one partition packs, about; it holds at least so many lengths in memory at a time.
 PARTITION_TOKENS = 8_000_000
-ROUNDS = 4
 
-
-#: Words whose ids a worker keeps, at most about 200 bytes each, and new words that are tokenized in one call.
-KNOWN_WORDS, BLOCK_WORDS = 600_000, 200
+#: Bytes of words and their ids that a worker keeps, about, with what the table itself takes for each, and new words that are tokenized in one call.
+KNOWN_BYTES, ENTRY_BYTES, BLOCK_WORDS = 60_000_000, 180, 200
 #: Between an ASCII letter and an ASCII mark other than the apostrophe the splitting rule always cuts.
 _CUT = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 
@@ -50,28 +48,24 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.held = _tokenizer(path), {}, 0
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __call__(self, raws: list[bytes]) -> list[bytes]:
         # the vocabulary's special tokens are found in the text as it stands: such texts are not changed
         split = [(t if b"<|" in t else _CUT.sub(rb"\1 \2", t.lower())).split() for t in raws]
         known = self.known
-        if len(known) > KNOWN_WORDS:
+        if self.held > KNOWN_BYTES:
             known.clear()
-        found = [list(map(known.get, ws)) for ws in split]
-        holes = [[i for i, x in enumerate(f) if x is None] for f in found]
-        new = list({ws[i] for ws, h in zip(split, holes, strict=True) for i in h})
-        blocks = [new[at : at + BLOCK_WORDS] for at in range(0, len(new), BLOCK_WORDS)]
-        for part in blocks:
+            self.held = 0
+        new = list(set().union(*split).difference(known))
+        for at in range(0, len(new), BLOCK_WORDS):
+            part = new[at : at + BLOCK_WORDS]
             got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
             known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        for ws, f, h in zip(split, found, holes, strict=True):
-            for i in h:
-                f[i] = known[ws[i]]
-        return list(map(b"".join, found))
+            self.held += sum(map(len, part)) + len(raw) + ENTRY_BYTES * len(part)
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 @functools.cache
@@ -90,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
         for b in batches:
             for at in range(0, len(b), 200):
                 keys, rows = b.column(0).slice(at, 200), ([], [], [], [], [])
-                for i, raw in enumerate(ids([t or "" for t in b.column(1).slice(at, 200).to_pylist()])):
+                for i, raw in enumerate(ids([t or b"" for t in b.column(1).slice(at, 200).cast(pa.binary()).to_pylist()])):
                     raw += last
                     for p, start in enumerate(range(0, len(raw), 4 * length)):
                         part = raw[start : start + 4 * length]
@@ -147,44 +141,52 @@ def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 
 def _pack(rows: DataFrame, parts: int, turn: int, length: int) -> DataFrame:
-    """Deals rows to parts, packs each; open_: the sequence is unfilled and its partition's count is above its bound or its share of tokens."""
+    """Deals rows to parts, packs each. tight: the partition's count is its bound; open_: the sequence is unfilled, and its partition is not tight or its share of tokens was rounded up."""
     key = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sizes = t["length"].to_numpy()
         bins, offsets, n = best_fit(sizes, length)
-        gap = n - lower_bound(np.bincount(sizes, minlength=length + 1), length)
+        tight = n == lower_bound(np.bincount(sizes, minlength=length + 1), length)
         fill = np.bincount(bins, weights=sizes, minlength=n)
         part = int(t["part"][0].as_py())
         t = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        for name, v in (("sequence_id", ((turn << 54) | (part << 26)) + bins), ("offset", offsets), ("open_", (fill[bins] < length) & (gap > 0 or n * length > sizes.sum()))):
+        for name, v in (("sequence_id", ((turn << 54) | (part << 26)) + bins), ("offset", offsets), ("tight", np.full(len(sizes), tight)), ("open_", (fill[bins] < length) & (not tight or n * length > sizes.sum()))):
             t = t.append_column(name, pa.array(v))
         return t
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return key.groupBy("part").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open_ boolean")
+    return key.groupBy("part").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, tight boolean, open_ boolean")
 
 
 def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Packs pieces (see pieces()); adds sequence_id and offset. An empty table gives an empty result; repeated rows are packed each."""
+    """Packs pieces (see pieces()); adds sequence_id, offset and certified.
+
+    Rounds go on while all sequences together are more than the bound of all pieces, until the pool of unfilled sequences fits into
+    one partition (which is then packed as one) or no longer shrinks. certified: the count of all sequences equals the bound of
+    all pieces, or the partition that packed the piece meets its own bound. An empty table gives an empty result; rows that repeat are packed each,
+    null ids like others.
+    """
     rows = stored(rows, "pieces")
     counts = np.zeros(length + 1, np.int64)
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most as many rows as a sequence has tokens
         counts[r.length] = r.n
     bound, tokens = lower_bound(counts, length), int((counts * np.arange(length + 1)).sum())
-    done, filled = None, 0
-    for turn in range(ROUNDS):
-        packed = stored(_pack(rows, max(1, -(-tokens // PARTITION_TOKENS)), turn, length), f"packed{turn}")
-        n_closed, n_open, tokens = packed.agg(F.count_distinct(F.when(~F.col("open_"), F.col("sequence_id"))), F.count_distinct(F.when(F.col("open_"), F.col("sequence_id"))), F.sum(F.when(F.col("open_"), F.col("length")))).first()
-        final = turn == ROUNDS - 1 or not tokens or filled + n_closed + n_open <= bound or tokens <= length
+    done, filled, turn = None, 0, 0
+    while True:
+        parts = max(1, -(-tokens // PARTITION_TOKENS))
+        packed = stored(_pack(rows, parts, turn, length), f"packed{turn}")
+        starts = F.col("offset") == 0  # one a sequence
+        n_closed, n_open, pool = packed.agg(F.count_if(starts & ~F.col("open_")), F.count_if(starts & F.col("open_")), F.sum(F.when(F.col("open_"), F.col("length")))).first()
+        exact = filled + n_closed + n_open <= bound
+        final = exact or parts == 1 or not pool or pool >= tokens or turn == 255
         taken = packed if final else packed.where("not open_")
-        done = taken.drop("open_") if done is None else done.unionByName(taken.drop("open_"))
+        done = taken if done is None else done.unionByName(taken)
         if final:
-            break
-        filled += n_closed
-        rows = packed.where("open_").drop("sequence_id", "offset", "open_")
-    return done
+            return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", (F.col("tight") | F.lit(exact)).alias("certified"))
+        filled, tokens, turn = filled + n_closed, pool, turn + 1
+        rows = packed.where("open_").drop("sequence_id", "offset", "tight", "open_")
 
 
 def vocabulary() -> str:
@@ -194,4 +196,5 @@ def vocabulary() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`, packed into sequences of at most LENGTH tokens."""
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary()))
