@@ -3,7 +3,7 @@ masked, sources are mixed to their weights, and the result is packed into sequen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marlstone.llm import mixing, neardup, packing, secrets, toxicity
 
@@ -11,17 +11,28 @@ from marlstone.llm import mixing, neardup, packing, secrets, toxicity
 ORACLE_SQL = None
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, with as many underscores as it takes to be none of the table's."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below the threshold; labels come from the corpus's table of labels."""
+    """Documents with a toxicity score below the threshold; labels come from the corpus's table of labels. Rows that repeat go or stay together."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = toxicity.judged(docs, model)
-    return scores.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    name = _free("toxicity_score", docs)
+    return toxicity.judged(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five-word shingles, 0.8 or more); documents without words stay."""
-    gone = neardup.near_duplicates(docs, k=5).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, 0.8 or more); documents without words or without an id stay.
+
+    Rows that repeat an id and a text go or stay together; of an id with several texts only the rows go whose text is a copy.
+    """
+    gone = neardup.near_duplicates(docs, k=5, hashed=True).where("not kept").select("doc_id", "text_hash").distinct().toDF("gone_id", "gone_hash")
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +41,16 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes, with its output shard and the key that orders it there."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.arrays_zip("shards", "orders").alias("_places"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_place", F.explode("_places")).select(*docs.columns, F.col("_place.shards").alias("shard"), F.col("_place.orders").alias("shard_order"))
+    """A row for each copy of a document that the mix takes, with its output shard and the key that orders it there.
+
+    Rows that repeat an id and a text share the places of all of them in turn, whatever their other columns.
+    """
+    at, nth, places, place = (_free(x, docs) for x in ("row_at", "row_nth", "row_places", "row_place"))
+    taken = mixing.mix(docs, hashed=True).select("row_hash", F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("shard_order")).alias("p"))
+    taken = taken.groupBy(F.col("row_hash").alias(at)).agg(F.sort_array(F.collect_list("p")).alias(places))
+    rows = docs.withColumn(nth, F.row_number().over(Window.partitionBy(mixing.row_hash()).orderBy(F.lit(1)))).withColumn(f"{at}_", mixing.row_hash())
+    rows = rows.join(taken, F.col(f"{at}_") == F.col(at)).withColumn(place, F.explode(F.get(places, F.col(nth) - 1)))
+    return rows.select(*docs.columns, F.col(f"{place}.shard").alias(_free("shard", docs)), F.col(f"{place}.shard_order").alias(_free("shard_order", docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +62,7 @@ STAGES = [("toxicity", drop_toxic), ("near-dedup", drop_copies), ("secrets", mas
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table `documents`: each works on what the one before kept, written and read again."""
     from marlstone.llm.shared import stored
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
