@@ -1,19 +1,107 @@
-"""Where the blocks of a patch stand in their files, and whether they can be applied."""
+"""Patch deliveries: their parser, where their blocks stand in the files, and the files after them.
 
-from pyspark.sql import DataFrame, functions as F
+Blocks are compared with plain lines (see functions.text.plain_lines). The files themselves keep their line ends.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions.text import plain_lines
+
+#: What a delivery is written in.
+DELETE = "#DELETE"
+_MARKED = {k: re.compile(rf"<<<{k}>>>[ \t]*\n(.*?)\n[ \t]*<<<{k}_END>>>", re.S) for k in ("ALT", "NEU")}
+_FENCED = re.compile(r"^(`{3,})[^\n]*\n(.*?)^\1[ \t]*$", re.S | re.M)
+_HEADS = re.compile(r"^### (ALT|NEU)", re.M)
+
+
+def _block(section: str, kind: str) -> str | None:
+    """A block between its marks, else between fences of equal length."""
+    if found := _MARKED[kind].search(section):
+        return found[1]
+    found = _FENCED.search(section)
+    return found[2] if found else None
+
+
+def anchors_of(text: str) -> list[tuple]:
+    """(file, ix, old, new, error) of a delivery; ix counts from 1; an error row has no blocks, and a delivery with one is not applied."""
+    out: list[tuple] = []
+    for section in re.split(r"^## FILE:\s*", text, flags=re.M):
+        if not section.strip():
+            continue
+        file, _, body = section.partition("\n")
+        heads = [(m[1], m.start()) for m in _HEADS.finditer(body)]
+        olds, news = ([at for k, at in heads if k == kind] for kind in ("ALT", "NEU"))
+        if len(olds) != len(news):
+            out.append((file.strip(), None, None, None, "blocks do not pair"))
+            continue
+        for old_at, new_at in zip(olds, news, strict=True):
+            old = _block(body[old_at:new_at], "ALT")
+            new = _block(body[new_at : next((at for at in olds if at > new_at), len(body))], "NEU")
+            wrong = "no old block" if old is None else "no new block" if new is None else "empty new block" if not new.strip() else None
+            blocks = (None, None) if wrong else (old, DELETE if new.strip() == DELETE else new)
+            out.append((file.strip(), None, *blocks, wrong))
+    return [(f, n, *rest) for n, (f, _, *rest) in enumerate(out, 1)]
+
+
+def deliveries(texts: DataFrame) -> DataFrame:
+    """delivery, file, ix, old, new, error of delivery texts (delivery, text); a null text has no rows."""
+    names = ["delivery", "file", "ix", "old", "new", "error"]
+
+    def run(batches):
+        for b in batches:
+            rows = [(d, *a) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a in anchors_of(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.string()) for i in range(6)], names)
+
+    return texts.select(F.col("delivery").cast("string"), "text").mapInArrow(run, "delivery string, file string, ix int, old string, new string, error string")
 
 
 def locate(anchors: DataFrame, files: DataFrame) -> DataFrame:
-    """anchors: file, ix, old, new; files: file, text. Adds hits, at (0-based, null unless one) and status.
+    """anchors: file, ix, old, new; files: file, text. Adds hits, line (0-based, of the first place where whole lines are equal), n_lines and status.
 
-    FILE_NOT_FOUND, ALREADY_APPLIED, NOT_FOUND, AMBIGUOUS, OVERLAP or OK: the first that applies.
+    FILE_NOT_FOUND, ALREADY_APPLIED, NOT_FOUND, AMBIGUOUS, OVERLAP or OK: the first that applies. hits counts the old block as text, so that a
+    block that is only part of a line has a hit and no line. A block without text is in no file.
     """
-    count = lambda part: (F.length("text") - F.length(F.replace("text", F.col(part), F.lit("")))) / F.length(part)
-    found = anchors.join(files, "file", "left").withColumn("hits", count("old").cast("int"))
-    done = F.col("text").contains(F.col("new")) & (F.col("new").contains(F.col("old")) | (F.col("hits") == 0)) & (F.col("new") != "")
-    found = found.withColumn("status", F.when(F.col("text").isNull(), "FILE_NOT_FOUND").when(done, "ALREADY_APPLIED").when(F.col("hits") == 0, "NOT_FOUND").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("OK"))
-    found = found.withColumn("at", F.when(F.col("status") == "OK", F.instr("text", F.col("old")) - 1)).withColumn("end", F.col("at") + F.length("old"))
-    ok = found.where("status = 'OK'")
-    a, b = (ok.select("file", F.col("ix").alias(f"{x}_ix"), F.col("at").alias(f"{x}_at"), F.col("end").alias(f"{x}_end")) for x in "ab")
-    hit = a.join(b, "file").where("a_ix != b_ix and a_at < b_end and b_at < a_end").select("file", F.col("a_ix").alias("ix")).distinct().withColumn("overlaps", F.lit(True))
-    return found.join(hit, ["file", "ix"], "left").withColumn("status", F.when(F.col("overlaps"), "OVERLAP").otherwise(F.col("status"))).select("file", "ix", "hits", "at", "status")
+    rows = anchors.join(files.select(F.col("file").alias("_file"), plain_lines(F.col("text")).alias("_text"), F.regexp_replace("text", "\r\n?", "\n").alias("_raw")), F.col("file") == F.col("_file"), "left")
+    rows = rows.withColumn("_old", plain_lines(F.col("old"))).withColumn("_new", plain_lines(F.col("new")))
+    hits = lambda part: F.when(F.length(part) == 0, 0).otherwise((F.length("_text") - F.length(F.replace("_text", F.col(part), F.lit("")))) / F.greatest(F.length(part), F.lit(1))).cast("int")
+    rows = rows.withColumn("hits", hits("_old"))
+    there = (F.col("new") != DELETE) & (hits("_new") > 0) & (F.contains("_new", F.col("_old")) | (F.col("hits") == 0))
+    status = F.when(F.col("_file").isNull(), "FILE_NOT_FOUND").when(there, "ALREADY_APPLIED").when(F.col("hits") == 0, "NOT_FOUND").when(F.col("hits") > 1, "AMBIGUOUS").otherwise("OK")
+    lines, block = F.transform(F.split("_raw", "\n", -1), lambda x: F.rtrim(x, F.lit(" \t"))), F.split("_old", "\n", -1)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - F.size(block), F.lit(0))), lambda i: F.slice(lines, i + 1, F.size(block)) == block)
+    rows = rows.withColumn("status", status).withColumn("line", F.when(F.col("status") == "OK", F.get(starts, 0))).withColumn("n_lines", F.when(F.col("line").isNotNull(), F.size(block)))
+    # places of one file in order: one overlaps another if it starts before the furthest end so far, or ends after the next start
+    by_file = Window.partitionBy("file", F.col("line").isNull()).orderBy("line", "ix")
+    before = F.max(F.col("line") + F.col("n_lines")).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("line").over(by_file.rowsBetween(1, 1))
+    overlaps = F.col("line").isNotNull() & (F.coalesce(before > F.col("line"), F.lit(False)) | F.coalesce(after < F.col("line") + F.col("n_lines"), F.lit(False)))
+    rows = rows.withColumn("status", F.when(overlaps, "OVERLAP").otherwise(F.col("status")))
+    return rows.select(*anchors.columns, "hits", "line", "n_lines", "status")
+
+
+def applied(anchors: DataFrame, files: DataFrame) -> DataFrame:
+    """file, text, n_applied, ok of every file: with all its anchors applied, or as it was where any anchor of the delivery is in the way.
+
+    All or nothing: an anchor whose status is neither OK nor ALREADY_APPLIED leaves all files as they are. New lines take the file's line ends; #DELETE removes the block.
+    """
+    placed = locate(anchors, files)
+    bad = placed.agg(F.count_if(~F.col("status").isin("OK", "ALREADY_APPLIED")).alias("_bad"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "n_lines", "new"))))
+    edits = placed.groupBy(F.col("file").alias("_file")).agg(listed.alias("_edits"))  # as many as one file has anchors
+    rows = files.join(edits, F.col("file") == F.col("_file"), "left").crossJoin(F.broadcast(bad))  # one row
+    crlf = 2 * F.regexp_count("text", F.lit("\r\n")) >= F.regexp_count("text", F.lit("\n"))
+    rows = rows.withColumn("_end", F.when(crlf, "\r\n").otherwise("\n")).withColumn("_lines", F.split("text", "(?<=\n)", -1))
+
+    def step(s, e):
+        new = F.regexp_replace(F.regexp_replace(e["new"], "\r\n?", "\n"), "\n$", "")
+        put = F.when(e["new"] == DELETE, F.array().cast("array<string>")).otherwise(F.transform(F.split(new, "\n", -1), lambda x: F.concat(x, F.col("_end"))))
+        return F.struct((e["line"] + e["n_lines"]).alias("at"), F.concat(s["out"], F.slice("_lines", s["at"] + 1, e["line"] - s["at"]), put).alias("out"))
+
+    done = F.aggregate("_edits", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: F.concat(s["out"], F.slice("_lines", s["at"] + 1, F.greatest(F.size("_lines") - s["at"], F.lit(0)))))
+    go = (F.col("_bad") == 0) & (F.size(F.coalesce("_edits", F.array().cast("array<struct<line:int,n_lines:int,new:string>>"))) > 0)
+    return rows.select("file", F.when(go, F.array_join(done, "")).otherwise(F.col("text")).alias("text"), F.when(go, F.size("_edits")).otherwise(0).alias("n_applied"), (F.col("_bad") == 0).alias("ok"))

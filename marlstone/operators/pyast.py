@@ -1,6 +1,25 @@
-"""Tables of facts about Python sources, one parse a file: imports, functions, nesting, handlers, symbols.
-
-A file that does not parse gives one row of kind "error" and nothing else.
+"""Facts about Python sources as one long table, one parse a file.
+
+A file that does not parse, or nests too deeply to be read, gives one row of kind "error" and nothing else; an
+empty or null text gives no row. What a kind keeps in which column:
+
+=========  ==================  ==========================  ============================  ===================================
+kind       name                mode                        detail                        other
+=========  ==================  ==========================  ============================  ===================================
+import     full module         import or from              top-level module              names: symbols, value: level
+alias      local name          original name               full module                   value: level, flags: top, used
+dynamic    function            -                           literal argument
+io         operation           literal mode string         literal argument
+call       function            attribute or direct         receiver
+handler    exception type      -                           -                             flags: see HANDLER_FLAGS
+function   name                module, method or local     signature                     value: depth, doc: first line, flags: top
+class      name                -                           -                             names: attributes, flags: top
+assign     target              -                           value                         names: literal strings in it
+binding    signal              kind of handler             handler                       doc: signal expression
+interface  module or name      import, public or private   -
+=========  ==================  ==========================  ============================  ===================================
+
+owner is the qualified name of what encloses the row, "<module>" at the top; class_name the class it counts to.
 """
 
 from __future__ import annotations
@@ -8,81 +27,227 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-SCHEMA = "path string, kind string, name string, owner string, lineno long, end_lineno long, value long, detail string"
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
+from pyspark.sql import DataFrame, functions as F
+
+_TEXT, _LONG, _LIST = pa.string(), pa.int64(), pa.list_(pa.string())
+_COLUMNS = {
+    "path": _TEXT, "kind": _TEXT, "name": _TEXT, "owner": _TEXT, "class_name": _TEXT, "lineno": _LONG, "end_lineno": _LONG,
+    "value": _LONG, "mode": _TEXT, "detail": _TEXT, "doc": _TEXT, "names": _LIST, "flags": _LIST,
+}
+SCHEMA = ", ".join(f"{c} {'long' if t == _LONG else 'string' if t == _TEXT else 'array<string>'}" for c, t in _COLUMNS.items())
+#: What the reports count.
+BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
+DYNAMIC = ("import_module", "spec_from_file_location", "__import__", "find_spec")
+DUNDERS = ("__init__", "__str__", "__repr__", "__len__", "__eq__", "__hash__", "__enter__", "__exit__", "__iter__", "__next__", "__getitem__", "__setitem__", "__delitem__", "__contains__")
+WRITES = ("write_text", "write_bytes", "open", "dump", "dumps", "move", "copy", "copy2", "copytree", "rename", "replace", "unlink", "rmdir", "mkdir")
+READS = ("read_text", "read_bytes", "load", "loads", "open", "glob", "rglob", "iterdir", "exists", "is_file", "is_dir", "stat")
+LOGS = ("error", "warning", "exception", "critical", "debug", "info", "log")
+HANDLER_FLAGS = ("is_broad", "has_pass", "silent_return", "has_log", "has_raise", "has_reraise")
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_LOGS = {"debug", "info", "warning", "error", "exception", "critical", "print", "log"}
-
-
-def depth(node: ast.AST) -> int:
-    """Deepest nesting of blocks below a function, without those of nested functions; an elif counts as a level."""
-    below = [depth(c) for c in ast.iter_child_nodes(node) if not isinstance(c, _DEFS)]
-    return max(below, default=0) + isinstance(node, _BLOCKS)
 
 
-def risk(handler: ast.ExceptHandler) -> str:
-    """critical, silent, broad or ok: the first that applies."""
-    kinds = [handler.type] if not isinstance(handler.type, ast.Tuple) else handler.type.elts
-    broad = handler.type is None or any(isinstance(k, ast.Name) and k.id in ("Exception", "BaseException") for k in kinds)
-    inner = [n for s in handler.body for n in ast.walk(s)]
-    logs = any(isinstance(n, ast.Call) and (getattr(n.func, "attr", None) or getattr(n.func, "id", None)) in _LOGS for n in inner)
-    raises = any(isinstance(n, ast.Raise) for n in inner)
-    passes = any(isinstance(s, ast.Pass) for s in handler.body)
-    quiet = any(isinstance(n, ast.Return) and (n.value is None or isinstance(n.value, ast.Constant) and not n.value.value) for n in inner)
-    if not raises and not logs and (passes or quiet):
-        return "critical"
-    if broad and not raises:
-        return "silent" if logs else "broad"
-    return "silent" if logs and not raises else "ok"
-
-
-def facts(path: str, source: str | None) -> list[tuple]:
+def _shown(node: ast.AST | None) -> str | None:
+    try:
+        return None if node is None else ast.unparse(node)
+    except RecursionError:
+        return "..."
+
+
+def _literal(node: ast.AST | None) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def _strings(node: ast.AST) -> list[str] | None:
+    """The strings of a literal list, tuple, set or of the keys of a literal dict."""
+    items = node.keys if isinstance(node, ast.Dict) else node.elts if isinstance(node, (ast.List, ast.Tuple, ast.Set)) else None
+    return None if items is None else [x for x in map(_literal, items) if x is not None]
+
+
+def _signature(f) -> str:
+    returns = f" -> {_shown(f.returns)}" if f.returns is not None else ""
+    return f"{'async ' * isinstance(f, ast.AsyncFunctionDef)}def {f.name}({_shown(f.args)}){returns}"
+
+
+def _doc(f) -> str | None:
+    text = (ast.get_docstring(f) or "").strip()
+    return text.splitlines()[0].strip() if text else None
+
+
+def _inside(body) -> list[ast.AST]:
+    return [n for s in body for n in ast.walk(s)]
+
+
+def _handler(h: ast.ExceptHandler) -> tuple[str, list[str]]:
+    """The handled type as text and the flags that hold."""
+    wide = lambda t: isinstance(t, ast.Name) and t.id in ("Exception", "BaseException")
+    kind = h.type
+    if kind is None:
+        name, broad = "bare", True
+    elif isinstance(kind, ast.Tuple):
+        name, broad = f"({', '.join(map(str, map(_shown, kind.elts)))})", any(map(wide, kind.elts))
+    elif isinstance(kind, (ast.Name, ast.Attribute)):
+        name, broad = _shown(kind), wide(kind) or getattr(kind, "attr", None) in ("Exception", "BaseException")
+    else:
+        name, broad = "unknown", False
+    found = _inside(h.body)
+    raised = [n.exc is None for n in found if isinstance(n, ast.Raise)]
+    returned = [n.value for n in found if isinstance(n, ast.Return)]
+    holds = (
+        broad,
+        any(isinstance(s, ast.Pass) for s in h.body),
+        any(v is None or isinstance(v, ast.Constant) and (v.value is None or v.value in (0, "")) for v in returned),
+        any(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in LOGS for n in found),
+        False in raised,
+        True in raised,
+    )
+    return name, [f for f, yes in zip(HANDLER_FLAGS, holds, strict=True) if yes]
+
+
+def _attributes(c: ast.ClassDef) -> list[str]:
+    """Names assigned in the class body and self.x of __init__, sorted."""
+    found = {t.id for s in c.body if isinstance(s, ast.Assign) for t in s.targets if isinstance(t, ast.Name)}
+    for s in c.body:
+        if isinstance(s, _DEFS) and s.name == "__init__":
+            single = (n.targets[0] for n in ast.walk(s) if isinstance(n, ast.Assign) and len(n.targets) == 1)
+            found |= {f"self.{t.attr}" for t in single if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"}
+    return sorted(found)
+
+
+def _bound(arg: ast.AST | None) -> tuple[str, str]:
+    """A connected handler as text, and its kind."""
+    if arg is None:
+        return "<no argument>", "unresolved"
+    if isinstance(arg, ast.Lambda):
+        return f"lambda: {_shown(arg.body)}", "lambda"
+    kinds = {ast.Attribute: "method", ast.Name: "local_func_or_dynamic", ast.Call: "call_expression"}
+    return _shown(arg), kinds.get(type(arg), "unresolved")
+
+
+def _of_call(c: ast.Call):
+    """(kind, name, mode, detail, doc) of what a call says."""
+    f, first = c.func, c.args[0] if c.args else None
+    direct = isinstance(f, ast.Name)
+    name = f.id if direct else f.attr if isinstance(f, ast.Attribute) else None
+    if name is None:
+        return
+    if name in DYNAMIC:
+        yield "dynamic", name, None, _literal(first), None
+    if name in WRITES or name in READS:
+        given = _literal(c.args[1]) if len(c.args) > 1 else None
+        named = next((_literal(k.value) for k in c.keywords if k.arg == "mode"), None)
+        yield "io", name, given if given is not None else named, _literal(first), None
+    if name not in DUNDERS:
+        on = None if direct else f.value.id if isinstance(f.value, ast.Name) else f.value.attr if isinstance(f.value, ast.Attribute) else None
+        if direct or on is not None:
+            yield "call", name, "direct" if direct else "attribute", on, None
+    if not direct and name == "connect":
+        shown, kind = _bound(first)
+        yield "binding", f.value.attr if isinstance(f.value, ast.Attribute) else "<unknown>", kind, shown, _shown(f.value)
+
+
+def facts(path: str, source: str | None) -> list[dict]:
+    """All facts of one source, in document order."""
     try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError) as e:
-        return [(path, "error", type(e).__name__, None, getattr(e, "lineno", None), None, None, None)]
-    out: list[tuple] = []
-
-    def visit(node: ast.AST, owner: str, inside: str) -> None:
-        for c in ast.iter_child_nodes(node):
-            at = (getattr(c, "lineno", None), getattr(c, "end_lineno", None))
-            if isinstance(c, _DEFS):
-                kind = {"class": "method", "def": "local", "module": "module"}[inside]
-                out.append((path, kind, c.name, owner, *at, max((depth(s) for s in c.body), default=0), ", ".join(a.arg for a in c.args.args)))
-                visit(c, f"{owner}.{c.name}".lstrip("."), "def")
-                continue
-            if isinstance(c, ast.ClassDef):
-                out.append((path, "class", c.name, owner, *at, None, None))
-                visit(c, f"{owner}.{c.name}".lstrip("."), "class")
-                continue
-            if isinstance(c, ast.Import):
-                out.extend((path, "import", a.name, owner, *at, None, a.asname) for a in c.names)
-            elif isinstance(c, ast.ImportFrom) and c.module:
-                out.append((path, "import", c.module, owner, *at, None, ", ".join(a.name for a in c.names)))
-            elif isinstance(c, ast.ExceptHandler):
-                out.append((path, "handler", ast.unparse(c.type) if c.type else None, owner or "<module>", *at, None, risk(c)))
-            elif isinstance(c, ast.Assign) and inside == "module":
-                out.extend((path, "constant", t.id, owner, *at, None, None) for t in c.targets if isinstance(t, ast.Name) and t.id.isupper())
-            elif isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr == "connect" and c.args:
-                a = c.args[0]
-                kind = "lambda" if isinstance(a, ast.Lambda) else "method" if isinstance(a, ast.Attribute) else "local" if isinstance(a, ast.Name) else "call" if isinstance(a, ast.Call) else "unresolved"
-                out.append((path, "binding", getattr(c.func.value, "attr", None), owner, *at, None, kind))
-            visit(c, owner, inside)
-
-    visit(tree, "", "module")
+        return _facts(path, ast.parse(source or ""))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [{"path": path, "kind": "error", "name": type(e).__name__, "lineno": getattr(e, "lineno", None)}]
+
+
+def _facts(path: str, tree: ast.Module) -> list[dict]:
+    out: list[dict] = []
+    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
+    seen: set = set()
+
+    def put(kind, node, owner, **more):
+        out.append({"path": path, "kind": kind, "owner": owner or "<module>", "lineno": node.lineno, "end_lineno": node.end_lineno} | more)
+        return out[-1]
+
+    # node, qualified owner, class for functions, class for bindings, what it stands in, the function it counts to, blocks above it there
+    stack = [(c, "", None, None, "module", None, 0) for c in reversed(tree.body)]
+    top = set(map(id, tree.body))
+    while stack:
+        node, owner, class_name, bound_to, inside, function, level = stack.pop()
+        at_top = ["top"] if id(node) in top else []
+        if isinstance(node, BLOCKS):
+            level += 1
+            if function is not None:
+                function["value"] = max(function["value"], level)
+        if isinstance(node, _DEFS):
+            kind = {"class": "method", "def": "local", "module": "module"}[inside]
+            listed = at_top or (["top"] if inside == "class" and "." not in owner else [])
+            function = put("function", node, owner, name=node.name, mode=kind, class_name=class_name, value=0, detail=_signature(node), doc=_doc(node), flags=listed)
+            owner, class_name, inside, level = f"{owner}.{node.name}".lstrip("."), None, "def", 0
+        elif isinstance(node, ast.ClassDef):
+            put("class", node, owner, name=node.name, names=_attributes(node), flags=at_top)
+            owner, class_name, bound_to, inside, function, level = f"{owner}.{node.name}".lstrip("."), node.name, node.name, "class", None, 0
+        elif isinstance(node, ast.Import):
+            for a in node.names:
+                put("import", node, owner, name=a.name, mode="import", detail=a.name.split(".")[0], names=[], value=0)
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            put("import", node, owner, name=node.module, mode="from", detail=node.module.split(".")[0], names=[a.name for a in node.names], value=node.level)
+            for a in node.names:
+                local = a.asname or a.name
+                put("alias", node, owner, name=local, mode=a.name, detail=node.module, value=node.level, flags=at_top + ["used"] * (local in used))
+        elif isinstance(node, ast.ExceptHandler):
+            name, flags = _handler(node)
+            put("handler", node, owner, name=name, flags=flags)
+        elif isinstance(node, ast.Assign) and at_top:
+            for t in node.targets:
+                if isinstance(t, ast.Name):
+                    put("assign", node, owner, name=t.id, detail=_shown(node.value), names=_strings(node.value))
+        elif isinstance(node, ast.Call):
+            for kind, name, mode, detail, doc in _of_call(node):
+                if kind == "io":  # once a line
+                    if (name, node.lineno) in seen:
+                        continue
+                    seen.add((name, node.lineno))
+                put(kind, node, owner, name=name, mode=mode, detail=detail, doc=doc, class_name=bound_to if kind == "binding" else None)
+        if at_top:
+            if isinstance(node, ast.Import):
+                shown = [(a.name, "import") for a in node.names]
+            elif isinstance(node, ast.ImportFrom):
+                shown = [(f"{node.module or '.' * node.level} ({', '.join(a.name for a in node.names)})", "import")]
+            else:
+                shown = [(node.name, "private" if node.name.startswith("_") else "public")] if isinstance(node, (*_DEFS, ast.ClassDef)) else []
+            for name, mode in shown:
+                put("interface", node, owner, name=name, mode=mode)
+        stack.extend((c, owner, class_name, bound_to, inside, function, level) for c in reversed(list(ast.iter_child_nodes(node))))
     return out
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """files: path, text. All facts of each file; filter by kind."""
+    """files: path, text. All facts of each file; filter by kind. Repeated files give repeated facts."""
 
     def run(batches):
-        types = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.string()]
         for b in batches:
-            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in facts(p, t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _NAMES)
+            for at in range(0, len(b), 100):
+                part = b.slice(at, 100)
+                rows = [r for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in facts(p, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in _COLUMNS.items()], list(_COLUMNS))
 
     return files.select("path", "text").mapInArrow(run, SCHEMA)
+
+
+def _has(flag: str):
+    return F.array_contains("flags", flag)
+
+
+def handlers(facts_: DataFrame) -> DataFrame:
+    """Exception handlers with their flags and risk: path, lineno, function, exc_type, the flags, risk.
+
+    A handler that raises is ok. Else one that passes or returns nothing of value is critical; one for all exceptions is
+    silent if it logs and broad if not; any other is silent if it logs and ok if not.
+    """
+    rows = facts_.where("kind = 'handler'").select("path", "lineno", F.col("owner").alias("function"), F.col("name").alias("exc_type"), *(_has(f).alias(f) for f in HANDLER_FLAGS))
+    raises = F.col("has_raise") | F.col("has_reraise")
+    risk = F.when(raises, "ok").when(F.col("has_pass") | F.col("silent_return"), "critical").when(F.col("has_log"), "silent").when(F.col("is_broad"), "broad").otherwise("ok")
+    return rows.withColumn("risk", risk)
+
+
+def file_io(facts_: DataFrame) -> DataFrame:
+    """File operations: path, lineno, function, op, io, arg; io is write, read or read/write. A mode string decides for open."""
+    op, given = F.col("name"), F.col("mode")
+    both = op.isin(*WRITES) & op.isin(*READS)
+    by_mode = F.when(given.rlike("[wax]"), "write").when(given.contains("r"), "read").otherwise("read/write")
+    io = F.when(op == "open", by_mode).when(both, "read/write").when(op.isin(*WRITES), "write").otherwise("read")
+    return facts_.where("kind = 'io'").select("path", "lineno", F.col("owner").alias("function"), op.alias("op"), io.alias("io"), F.col("detail").alias("arg"))
