@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import bit_table, bounded_broadcast, in_bit_table, stored, table
+from .shared import bit_table, bounded_broadcast, in_bit_table, mapped, stored, table
 
 BANDS, ROWS = 42, 6
 REGISTERS, FINE, BASE, TOP = 256, 1.001, 1.09, 65535
@@ -183,7 +183,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "same", "bands", "registers"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, same binary, bands array<long>, registers binary")
+    return mapped(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash long, n long, same binary, bands array<long>, registers binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 for first, sets in _batched(part.column(2).to_pylist(), shingler):
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, hashes array<long>")
+    return mapped(docs.select("doc_id", F.xxhash64("doc_id"), "text"), run, f"doc_id {kind}, hashes array<long>")
 
 
 def _banded(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _banded(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(b)), lengths)[hit.to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([flat.filter(hit), b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner))], ["band", "id", "n"])
 
-    return nodes.select("id", "n", "bands").mapInArrow(run, f"band long, id {kind}, n long")
+    return mapped(nodes.select("id", "n", "bands"), run, f"band long, id {kind}, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
     # the hub's side first: sizes that rule a pair out are seen before a register of b is sent
     found = pairs.join(side("a"), F.col("a") == F.col("_a")).where(100 * F.least("na_", "nb") >= percent * F.greatest("na_", "nb"))
     found = found.select("a", "b", F.col("na_").alias("na"), "nb", "ra").join(side("b"), F.col("b") == F.col("_b"))
-    found = stored(found.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, f"a {kinds}, b {kinds}, na long, nb long"), "likely")
+    found = stored(mapped(found.select("a", "b", "na", "nb", "ra", "rb"), likely, f"a {kinds}, b {kinds}, na long, nb long"), "likely")
     sets = _sets(texts, found.select(F.explode(F.array("a", "b"))), k)
     s = lambda x: sets.select(F.col("doc_id").alias(f"_{x}"), F.col("hashes").alias(f"h{x}"))
     exact = found.join(s("b"), F.col("b") == F.col("_b")).join(s("a"), F.col("a") == F.col("_a")).withColumn("both", F.size(F.array_intersect("ha", "hb")))

@@ -13,23 +13,40 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import stored, table
+from .shared import kept, mapped, stored, table
 
 LENGTH, END = 4096, 1
 #: Tokens that one partition packs, about; it holds at least so many lengths in memory at a time.
 PARTITION_TOKENS = 8_000_000
 
-#: Bytes of words and their ids that a worker keeps, about, with what the table itself takes for each, and new words that are tokenized in one call.
-KNOWN_BYTES, ENTRY_BYTES, BLOCK_WORDS = 60_000_000, 180, 200
-#: Between an ASCII letter and an ASCII mark other than the apostrophe the splitting rule always cuts.
-_CUT = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+#: Bytes of words and their ids that a worker keeps, about, with what the table itself takes for each; texts (or bytes of them) and new words that are tokenized in one go.
+KNOWN_BYTES, ENTRY_BYTES, BLOCK_TEXTS, BLOCK_BYTES, BLOCK_WORDS = 150_000_000, 180, 4_000, 16_000_000, 200
+#: Lower-case letters up to U+00FF, and ASCII marks other than the apostrophe: the splitting rule takes a run of either as one piece, and neither changes when it is normalized.
+_LETTERS, _MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 signs for themselves, the others for the next ones from U+0100 on."""
+    out, spare = {}, 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
+
+
+_BYTES = _byte_letters()
 
 
 @functools.cache
@@ -43,35 +60,74 @@ def _tokenizer(path: str):
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit values.
 
-    Words between ASCII white space, in ASCII lower case and without the marks after a letter, are tokenized on their own and kept:
-    the vocabulary ignores case and its splitting rule cuts at these places.
+    Words between ASCII white space, in ASCII lower case, are tokenized on their own and kept: the vocabulary ignores case and its splitting rule cuts
+    there. Words of plain letters, and marks after them, go straight to the vocabulary's merges; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.held = _tokenizer(path), {}, 0
+        self.merges = self.tokenizer.model.tokenize
 
-    def __call__(self, raws: list[bytes]) -> list[bytes]:
-        # the vocabulary's special tokens are found in the text as it stands: such texts are not changed
-        split = [(t if b"<|" in t else _CUT.sub(rb"\1 \2", t.lower())).split() for t in raws]
-        known = self.known
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), BLOCK_WORDS):
+            part = words[at : at + BLOCK_WORDS]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            out += map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+        return out
+
+    def _letters(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode()))
+        ids = [t.id for t in self.merges(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of new words into the table."""
+        known, others, marks, cut = self.known, [], set(), []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                others.append(w)
+            elif not m[2]:
+                known[w] = self._letters(w)
+            else:
+                cut.append((w, m[1], m[2]))
+                if m[2] not in known:
+                    marks.add(m[2])
+        others += marks.difference(others)
+        known.update(zip(others, self._encoded(others), strict=True))
+        for w, letters, mark in cut:
+            known[w] = (known.get(letters) or self._letters(letters)) + known[mark]
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """One value a text; null is empty. The vocabulary's special tokens are found in the text as it stands: such texts are tokenized as they are."""
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        words = pc.ascii_split_whitespace(pc.if_else(special, "", pc.ascii_lower(pc.fill_null(texts, ""))))
+        coded = words.flatten().dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), self.known
         if self.held > KNOWN_BYTES:
             known.clear()
             self.held = 0
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), BLOCK_WORDS):
-            part = new[at : at + BLOCK_WORDS]
-            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
-            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            self.held += sum(map(len, part)) + len(raw) + ENTRY_BYTES * len(part)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-
-@functools.cache
-def _ids(path: str) -> Ids:
-    """One a worker process, so that known words last across its tasks."""
-    return Ids(path)
+        found = list(map(known.get, distinct))
+        holes = [i for i, x in enumerate(found) if x is None]
+        self._learn([distinct[i] for i in holes])
+        for i in holes:
+            found[i] = known[distinct[i]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        each, starts = lengths[at], (np.cumsum(lengths) - lengths)[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.repeat(starts - (ends - each), each) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -79,20 +135,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
 
+    def cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        for i, raw in enumerate(kept(("ids", tokenizer_path), lambda: Ids(tokenizer_path))(t.column(1).chunk(0) if t.num_rows else pa.array([], pa.string()))):
+            raw += last
+            for p, start in enumerate(range(0, len(raw), 4 * length)):
+                part = raw[start : start + 4 * length]
+                for row, v in zip(rows, (i, p, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    row.append(v)
+        keys = t.column(0).take(pa.array(rows[0], pa.int64())).combine_chunks()
+        keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) and keys.num_chunks else keys if isinstance(keys, pa.Array) else pa.array([], t.schema.field(0).type)
+        return pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches):
-        ids = _ids(tokenizer_path)
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for at in range(0, len(b), 200):
-                keys, rows = b.column(0).slice(at, 200), ([], [], [], [], [])
-                for i, raw in enumerate(ids([t or b"" for t in b.column(1).slice(at, 200).cast(pa.binary()).to_pylist()])):
-                    raw += last
-                    for p, start in enumerate(range(0, len(raw), 4 * length)):
-                        part = raw[start : start + 4 * length]
-                        for row, v in zip(rows, (i, p, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            row.append(v)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BLOCK_TEXTS or sum(x.nbytes for x in held) >= BLOCK_BYTES:
+                yield cut(held)
+                held = []
+        if held:
+            yield cut(held)
+
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", keeps=True)
 
 
 def lower_bound(counts: np.ndarray, length: int = LENGTH) -> int:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import remainder, sampled, table
+from .shared import mapped, remainder, sampled, table
 
 #: Bounds of the samples a fit reads: trusted positives and unlabelled documents.
 MAX_POSITIVES = 12_000
@@ -117,7 +117,7 @@ def _with_features(docs: DataFrame, *keep: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), *b.columns[1:]], ["x", *keep])
 
-    return docs.select("text", *keep).mapInArrow(run, ", ".join(["x array<double>", *(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)]))
+    return mapped(docs.select("text", *keep), run, ", ".join(["x array<double>", *(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             x = np.array([features(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(features("")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(held.value, x) if held.value else np.full(len(x), 0.5))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

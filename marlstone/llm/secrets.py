@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import table
+from .shared import mapped, table
 
 #: Kinds in the order of the contract; "random" spans are those that only the models find.
 KINDS = ("assign", "access", "hex", "random")
@@ -110,7 +110,7 @@ def ordinary(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["gram", "n"])
 
     total = np.zeros(_SIZE**3)
-    for batch in words.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most 70 ** 3 rows
+    for batch in mapped(words, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most 70 ** 3 rows
         total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     total = total.reshape((_SIZE,) * 3)
     return total * min(1.0, WORDS_WEIGHT / max(1.0, total[0, 0].sum()))
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, words: np.ndarray | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 texts.append(text if not clean else "".join([*clean, text[end:]]))
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ any executor.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -82,3 +83,40 @@ def in_bit_table(bits: np.ndarray, hashes: pa.Array) -> pa.Array:
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it has few rows; else joins shuffle, and skewed ones are split at run time. df is stored: it is counted."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: Rows that a Python worker gets at a time, at most: texts are long, and a batch is held several times over on its way.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+#: What a worker process keeps from one task to the next, for one purpose at a time.
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps under a key, made when it is not there; what it kept for another purpose goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _forget() -> None:
+    _KEPT.clear()
+
+
+def mapped(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow by batches of BATCH_ROWS rows at most (a setting of the session from then on); workers give memory back after each task, and what they kept before, unless run keeps something."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+    def tidy(batches):
+        if not keeps:
+            _forget()
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .shared import sampled, remainder, stored, table
+from .shared import mapped, remainder, sampled, stored, table
 
 THRESHOLD = 0.3
 #: Entries need this log-likelihood ratio statistic, and this many toxic occurrences.
@@ -81,7 +81,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     total = np.zeros(_GRAMS)
     for batch in counted.toArrow().to_batches():  # at most 2 ** 20 rows
         total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -224,7 +224,7 @@ def lexicon(rows: DataFrame, model: np.ndarray) -> dict[str, float]:
                     yield found()
         yield found()
 
-    words = stored(rows.mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
+    words = stored(mapped(rows, run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
     w = F.col("word")
     parts = F.array_union(F.array(F.concat(F.lit("^"), w, F.lit("$"))), F.filter(F.transform(F.array(*map(F.lit, (4, 5, 6))), lambda k: F.when(F.length(w) > k, F.concat(F.lit("^"), F.substring(w, F.lit(1), k)))), lambda x: x.isNotNull()))
     n_clean, n_toxic = (int(x or 0) for x in words.agg(F.sum("clean"), F.sum("toxic")).first())
@@ -310,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, m
                 yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
         # rows with the same features count together: few numbers, whatever the sample
-        got = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+        got = mapped(rows, run, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
         if got:
             out["theta"] = _logistic(np.array([r.x for r in got]), np.array([float(r.y) for r in got]), np.array([float(r.n) for r in got]), share)
     return out
@@ -330,7 +330,7 @@ def judged(docs: DataFrame, model: dict, name: str = "toxicity_score") -> DataFr
             p = np.full(len(x), m["share"]) if m["theta"] is None else 1 / (1 + np.exp(-(x @ m["theta"][:-1] + m["theta"][-1]).clip(-30, 30)))
             yield b.append_column(name, pa.array(p))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -13,7 +13,7 @@ import io
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import table
+from .shared import mapped, table
 
 #: Time stamp of responses that carry none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -107,7 +107,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 500], pa.schema([(c, pa.binary() if kind == "binary" else pa.string()) for c, kind in map(str.split, RESPONSE.split(", "))]))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+    return mapped(spark.read.format("binaryFile").load(path).select("content"), run, RESPONSE)
 
 
 def as_warc(records: DataFrame):
