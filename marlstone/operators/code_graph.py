@@ -86,3 +86,21 @@ def import_relations(facts: DataFrame, files: DataFrame) -> DataFrame:
     found = placed.join(defined, (F.col("target") == F.col("_p")) & (F.col("original") == F.col("_n")), "left")
     relation = F.when(F.col("_p").isNull(), "unresolved").when(F.col("used"), "neighbour").otherwise("facade")
     return found.select("path", "name", relation.alias("relation"), F.col("_p").alias("source"), "shown")
+
+
+def signatures(wanted: DataFrame, files: DataFrame, facts: DataFrame) -> DataFrame:
+    """wanted (path, signature) with status: file_missing, ok or missing.
+
+    "def name" and "class name" are looked up among all functions and classes of a file, anything else in its text; nothing is found in a file that does not parse.
+    """
+    s = F.trim("signature")
+    kind = F.when(s.startswith("def "), "function").when(s.startswith("class "), "class").otherwise("text")
+    name = F.trim(F.regexp_extract(s, r"^(?:def|class) ([^(:]*)", 1))
+    rows = wanted.withColumn("_kind", kind).withColumn("_name", name)
+    named = facts.where("kind in ('function', 'class')").select(F.col("path").alias("_p"), F.col("kind").alias("_k"), F.col("name").alias("_n")).distinct()
+    broken = facts.where("kind = 'error'").select(F.col("path").alias("_b")).distinct()
+    rows = rows.join(files.select(F.col("path").alias("_file"), F.col("text").alias("_text")), F.col("path") == F.col("_file"), "left")
+    rows = rows.join(named, (F.col("path") == F.col("_p")) & (F.col("_kind") == F.col("_k")) & (F.col("_name") == F.col("_n")), "left").join(broken, F.col("path") == F.col("_b"), "left")
+    there = F.when(F.col("_kind") == "text", F.coalesce(F.contains("_text", s), F.lit(False))).otherwise(F.col("_p").isNotNull())
+    status = F.when(F.col("_file").isNull(), "file_missing").when(F.col("_b").isNull() & there, "ok").otherwise("missing")
+    return rows.select(*wanted.columns, status.alias("status"))

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, landed, relational
+from . import code, landed, physical, relational
 from .dialect import Duck, Spark
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -18,5 +18,5 @@ def run(statement: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(statement, **used)
 
 
-QUERIES: dict = {name: partial(run, f(Spark)) for name, f in relational.PLANS.items()} | code.QUERIES | landed.QUERIES
+QUERIES: dict = {name: partial(run, f(Spark)) for name, f in relational.PLANS.items()} | physical.QUERIES | code.QUERIES | landed.QUERIES
 ORACLE_SQL: dict = {name: f(Duck) for name, f in relational.PLANS.items()} | code.ORACLE_SQL | landed.ORACLE_SQL

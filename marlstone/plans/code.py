@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import code_graph, pyast
+from ..operators import code_graph, pyast, reports
 
 #: One module; @x@ marks stand for columns of `part`.
 MODULE = '''import os, json as js
@@ -277,3 +277,20 @@ _FOUND = "i > 0 AND i % 10 <> 3 AND i NOT IN (23, 29)"
 def import_relations(spark, sf_dir):
     files = modules(spark, sf_dir)
     return code_graph.import_relations(pyast.python_facts(files), files)
+
+
+@query("SELECT path, CAST(code AS BIGINT) AS code, CAST(prose AS BIGINT) AS prose, CASE WHEN code + prose = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(code AS DOUBLE) * 100 / (code + prose) END AS code_pct FROM (SELECT path, CASE v WHEN 'good' THEN 41 WHEN 'facade' THEN 3 WHEN 'broken' THEN 1 ELSE 0 END AS code, CASE v WHEN 'good' THEN 3 ELSE 0 END AS prose FROM src)")
+def code_and_prose(spark, sf_dir):
+    rows = reports.code_and_prose(modules(spark, sf_dir))
+    every = F.col("code") + F.col("prose")
+    return rows.withColumn("code_pct", F.when(every == 0, F.lit(0.0)).otherwise(F.col("code").cast("double") * 100 / every))
+
+
+@query("""SELECT path, signature, CASE WHEN v = 'gone' THEN 'file_missing' WHEN v = 'good' AND signature IN (' def main(', 'class Widget(Base):', 'def inner', 'LIMIT_' || k || ' =') THEN 'ok' ELSE 'missing' END AS status FROM (
+  SELECT k, CASE WHEN k % 19 = 0 THEN 'gone/' || path ELSE path END AS path, CASE WHEN k % 19 = 0 THEN 'gone' ELSE v END AS v, unnest([' def main(', 'class Widget(Base):', 'def inner', 'LIMIT_' || k || ' =', 'def Widget()', 'class Nope', 'nothing like it']) AS signature FROM src)""")
+def signature_check(spark, sf_dir):
+    files = modules(spark, sf_dir)
+    k = F.regexp_extract("path", r"mod(\d+)\.py$", 1)
+    listed = F.array(*map(F.lit, (" def main(", "class Widget(Base):", "def inner")), F.concat(F.lit("LIMIT_"), k, F.lit(" =")), *map(F.lit, ("def Widget()", "class Nope", "nothing like it")))
+    wanted = files.select(F.when(k.cast("long") % 19 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")).alias("path"), F.explode(listed).alias("signature"))
+    return code_graph.signatures(wanted, files, pyast.python_facts(files))

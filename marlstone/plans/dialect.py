@@ -4,7 +4,7 @@
 class Spark:
     nl, null_safe, day = "'\\n'", "<=>", "to_date"
     table = staticmethod(lambda name: "{" + name + "}")
-    words = staticmethod(lambda x: f"cast(regexp_count({x}, '\\\\S+') as bigint)")
+    words = staticmethod(lambda x: f"cast(regexp_count({x}, '[^\\t-\\r\\u001c- \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+') as bigint)")
     bytes = staticmethod(lambda x: f"octet_length({x})")
     sha1_blob = staticmethod(lambda x: f"sha1(concat(encode(concat('blob ', octet_length({x})), 'utf-8'), X'00', encode({x}, 'utf-8')))")
     sha256 = staticmethod(lambda x: f"sha2({x}, 256)")
@@ -16,7 +16,6 @@ class Spark:
     joined = staticmethod(lambda order, x, sep: f"array_join(transform(array_sort(collect_list(struct({order} as o, {x} as x))), s -> s.x), {sep})")
     json_long = staticmethod(lambda x, k: f"cast(get_json_object({x}, '$.{k}') as bigint)")
     day_of = staticmethod(lambda x: f"to_date({x})")
-    day_gap = staticmethod(lambda a, b: f"datediff({b}, {a})")
     last_before = staticmethod(lambda x, part, order: f"last_value({x}) ignore nulls over (partition by {part} order by {order} rows between unbounded preceding and 1 preceding)")
     recursive = "with recursive"
     seconds = staticmethod(lambda x: f"unix_seconds(cast({x} as timestamp))")
@@ -24,14 +23,12 @@ class Spark:
     max_by = staticmethod(lambda x, o: f"max_by({x}, {o})")
     week_days = staticmethod(lambda a, b: f"explode(sequence(date_trunc('week', {a}), cast({b} as timestamp), interval 7 days))")
     week = staticmethod(lambda x: f"weekofyear({x})")
-    as_date = staticmethod(lambda x: f"to_date({x})")
-    short = staticmethod(lambda x, n: f"substring({x}, 1, {n})")
 
 
 class Duck:
     nl, null_safe = "chr(10)", "IS NOT DISTINCT FROM"
     table = staticmethod(lambda name: name)
-    words = staticmethod(lambda x: f"len(regexp_extract_all({x}, '\\S+'))")
+    words = staticmethod(lambda x: f"len(regexp_extract_all({x}, '[^\\t-\\r\\x1c- \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'))")
     bytes = staticmethod(lambda x: f"strlen({x})")
     sha1_blob = staticmethod(lambda x: f"sha1(encode('blob ' || strlen({x})) || '\\x00'::blob || encode({x}))")
     sha256 = staticmethod(lambda x: f"sha256({x})")
@@ -43,7 +40,6 @@ class Duck:
     joined = staticmethod(lambda order, x, sep: f"string_agg({x}, {sep} order by {order})")
     json_long = staticmethod(lambda x, k: f"cast(json_extract_string({x}, '$.{k}') as bigint)")
     day_of = staticmethod(lambda x: f"cast({x} as date)")
-    day_gap = staticmethod(lambda a, b: f"date_diff('day', {a}, {b})")
     last_before = staticmethod(lambda x, part, order: f"last_value({x} ignore nulls) over (partition by {part} order by {order} rows between unbounded preceding and 1 preceding)")
     recursive = "with recursive"
     seconds = staticmethod(lambda x: f"cast(epoch({x}) as bigint)")
@@ -51,5 +47,3 @@ class Duck:
     max_by = staticmethod(lambda x, o: f"max_by({x}, {o})")
     week_days = staticmethod(lambda a, b: f"unnest(generate_series(date_trunc('week', {a}), cast({b} as timestamp), interval 7 days))")
     week = staticmethod(lambda x: f"cast(weekofyear({x}) as integer)")
-    as_date = staticmethod(lambda x: f"cast({x} as date)")
-    short = staticmethod(lambda x, n: f"substring({x}, 1, {n})")

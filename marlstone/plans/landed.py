@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import sinks
 from ..functions import jsonx, text
-from ..operators import chat, deltas, patch, reports, rules
+from ..operators import audit, chat, deltas, patch, reports, rules
+from ..sources import files
 from ..streaming import progress
 
 QUERIES: dict = {}
@@ -436,24 +437,24 @@ def _deliveries(spark, sf_dir):
 @query("""SELECT 'm' || p_partkey || '.py' AS file, ix, CASE WHEN p_partkey % 7 = 6 THEN 'blocks do not pair' END AS error, CASE WHEN p_partkey % 7 = 6 THEN NULL WHEN p_partkey % 17 = 0 THEN 'FILE_NOT_FOUND' ELSE ['OK', 'AMBIGUOUS', 'NOT_FOUND', 'ALREADY_APPLIED', 'OK', 'OVERLAP'][CAST(p_partkey % 7 AS INTEGER) + 1] END AS status,
   CASE WHEN p_partkey % 17 <> 0 THEN CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 4 THEN 2 WHEN 5 THEN ix - 1 END END AS line FROM part, (VALUES (CAST(1 AS INTEGER)), (CAST(2 AS INTEGER))) i(ix) WHERE ix = 1 OR p_partkey % 7 = 5""")
 def patch_locate(spark, sf_dir):
-    texts, files = _deliveries(spark, sf_dir)
+    texts, sources = _deliveries(spark, sf_dir)
     anchors = patch.deliveries(texts).select("file", "ix", "old", "new", "error")
-    good = patch.locate(anchors.where("error is null"), files).select("file", "ix", "error", "status", "line")
+    good = patch.locate(anchors.where("error is null"), sources).select("file", "ix", "error", "status", "line")
     return good.unionByName(anchors.where("error is not null").select("file", "ix", "error", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("line")))
 
 
 @query("""SELECT 'm' || p_partkey || '.py' AS file, CASE p_partkey % 7 WHEN 0 THEN replace('```|x|```|c = 3|b = 2|d = 4', '|', e) WHEN 4 THEN replace('a = ' || p_partkey || '|b = 2  |b = 2|d = 4', '|', e) ELSE replace('a = ' || p_partkey || '|b = 2  |c = 3|b = 2|d = 4', '|', e) END AS text, CAST(CASE WHEN p_partkey % 7 IN (0, 4) THEN 1 ELSE 0 END AS INTEGER) AS n_applied, true AS ok
   FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS e FROM part WHERE p_partkey % 17 <> 0)""")
 def patch_apply(spark, sf_dir):
-    texts, files = _deliveries(spark, sf_dir)
+    texts, sources = _deliveries(spark, sf_dir)
     wanted = texts.where("cast(delivery as bigint) % 17 != 0 and cast(delivery as bigint) % 7 in (0, 3, 4)")
-    return patch.applied(patch.deliveries(wanted).select("file", "ix", "old", "new"), files)
+    return patch.applied(patch.deliveries(wanted).select("file", "ix", "old", "new"), sources)
 
 
 @query("SELECT 'm' || p_partkey || '.py' AS file, CAST(0 AS INTEGER) AS n_applied, false AS ok FROM part WHERE p_partkey % 17 <> 0")
 def patch_refused(spark, sf_dir):
-    texts, files = _deliveries(spark, sf_dir)
-    return patch.applied(patch.deliveries(texts).where("error is null").select("file", "ix", "old", "new"), files).select("file", "n_applied", "ok")
+    texts, sources = _deliveries(spark, sf_dir)
+    return patch.applied(patch.deliveries(texts).where("error is null").select("file", "ix", "old", "new"), sources).select("file", "n_applied", "ok")
 
 
 # Snapshots
@@ -588,3 +589,38 @@ def run_folder(spark, sf_dir):
     names = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("lauf_"), "s_suppkey", F.lit("_20251231_old_run")).alias("name"))
     last = names.agg((F.coalesce(F.max(F.regexp_extract("name", r"^lauf_(\d+)_(\d{8})_(.*)$", 1).try_cast("int")), F.lit(0)) + 1).alias("number"))
     return last.select(F.concat_ws("_", F.lit("lauf"), F.col("number").cast("string"), F.lit("20260101"), F.lit(None).cast("string"), F.lit("next")).alias("name"), "number")
+
+
+# Files and audits
+
+
+@query("SELECT 'n_regionkey=' || n_regionkey AS folder, CAST(sum(len(n_name) + 1) AS BIGINT) AS bytes, string_agg(n_name, ',' ORDER BY n_name) AS names, 40 AS sha_length FROM nation WHERE n_regionkey <> 3 GROUP BY n_regionkey")
+def source_tree(spark, sf_dir):
+    """A folder of text files, read back with one folder left out."""
+    root = sinks.landing(spark, "tree")
+    _table(spark, sf_dir, "nation").repartition("n_regionkey").select("n_regionkey", F.col("n_name").alias("value")).write.partitionBy("n_regionkey").text(root)
+    found = files.text_files(spark, root, "*.txt", skip_dirs=("n_regionkey=3",), skip_names=("_SUCCESS",))
+    names = F.array_join(F.array_sort(F.filter(F.split("text", "\n"), lambda x: x != "")), ",")
+    return found.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.col("length").alias("bytes"), names.alias("names"), F.length("sha1").alias("sha_length"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_brand NOT IN ('Brand#1', 'Brand#2') THEN 'unlisted' WHEN f IS NULL THEN 'clear' ELSE 'affected' END AS status, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN f END AS "function"
+  FROM (SELECT *, CASE WHEN p_brand = 'Brand#1' AND p_name = 'small ring' THEN 'Small_ring' WHEN contains(p_name, 'ring') THEN 'ring' WHEN p_brand = 'Brand#2' AND contains(p_name, 'widget') THEN 'widget' END AS f FROM part)""")
+def audit_findings(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    vuln = F.struct(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("Bug in "), "p_name", F.lit("()")).alias("description"))
+    audits = p.groupBy(F.col("p_size").cast("string").alias("path"), F.col("p_brand").alias("name")).agg(F.collect_list(vuln).alias("vulns"))
+    audits = audits.groupBy("path").agg(F.to_json(F.struct(F.collect_list(F.struct("name", F.lit("1.0").alias("version"), "vulns")).alias("dependencies"))).alias("text"))
+    used = spark.createDataFrame([("brand#1", "Small_ring"), ("Brand#1", "ring"), ("Brand#2", "ring"), ("Brand#2", "widget"), ("Brand#2", None)], "package string, function string")
+    return audit.in_use(audit.vulnerabilities(audits), used).select(F.col("id").cast("long").alias("id"), "status", "function")
+
+
+@query("SELECT u.id, u.score, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type AS id, event_id % 5 AS score FROM events WHERE event_id % 9 <> 4) u GROUP BY ALL")
+def tolerant_lines(spark, sf_dir):
+    """JSON lines, some of them broken or blank; those that are records count."""
+    e = _table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 9 == 4, F.when(F.col("event_id") % 2 == 0, '{"id": "x", "sco').otherwise("  ")).otherwise(F.to_json(F.struct(F.col("event_type").alias("id"), (F.col("event_id") % 5).alias("score"))))
+    path = sinks.landing(spark, "lines")
+    e.select(line.alias("value")).write.text(path)
+    good, _ = files.tolerant_json_lines(spark, path, "id string, score long")
+    return good.groupBy("id", "score").agg(F.count("*").alias("n"))

@@ -269,7 +269,9 @@ def sync_plan(d):
 
 @plan
 def hash_status(d):
-    both = lambda t: f"(select source, {d.sha256(d.joined('doc_id', d.sha256('text'), chr(39) + '|' + chr(39)))} as h from {t} join (select doc_id as i, source from {d.table('documents')}) s on {t}.doc_id = s.i group by source)"
+    bar = "'|'"
+    buckets = lambda t: f"(select source, doc_id // 64 as b, {d.sha256(d.joined('doc_id', d.sha256('text'), bar))} as h from {t} join (select doc_id as i, source from {d.table('documents')}) s on {t}.doc_id = s.i group by source, doc_id // 64)"
+    both = lambda t: f"(select source, {d.sha256(d.joined('b', 'h', bar))} as h from {buckets(t)} k group by source)"
     return f"{_snapshots(d)} select coalesce(x.source, y.source) as source, case when x.h is null then 'new' when y.h is null then 'unreadable' when x.h = y.h then 'unchanged' else 'changed' end as status from {both('a')} x full outer join {both('b')} y on x.source = y.source"
 
 
@@ -356,8 +358,8 @@ def backfill_candidates(d):
 
 @plan
 def silo_gaps(d):
-    u = lambda t: f"select distinct user_id from {d.table('events')} where event_type = '{t}'"
-    gap = lambda a, b: f"select '{a}_without_{b}' as gap, user_id from ({u(a)}) x where user_id not in ({u(b)})"
+    u = lambda t: f"select distinct user_id from {d.table('events')} where event_type = '{t}' and event_id % 20 = 0"
+    gap = lambda a, b: f"select '{a}_without_{b}' as gap, user_id from ({u(a)} except {u(b)}) x"
     return " union all ".join(gap(a, b) for a, b in (("view", "click"), ("click", "view"), ("purchase", "click"), ("click", "purchase")))
 
 

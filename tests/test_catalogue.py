@@ -1,5 +1,6 @@
 """Every relational query against its SQL in DuckDB, and the operators on small inputs."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -145,6 +146,9 @@ def test_files_and_json_lines(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x\xff")
     (tmp_path / "skip" / "b.py").write_text("y")
     assert [(r.path, r.text) for r in files.text_files(spark, str(tmp_path), "*.py", ("skip",)).collect()] == [("a.py", "x\ufffd")]
+    r = files.text_files(spark, str(tmp_path), extensions=(".PY",)).orderBy("path").first()
+    assert (r.path, r.length, r.sha1) == ("a.py", 2, hashlib.sha1(b"blob 2\x00x\xff").hexdigest())
+    assert files.newest(files.text_files(spark, str(tmp_path)), r"\.py$").count() == 1 and files.newest(files.text_files(spark, str(tmp_path)), "nope").count() == 0
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{"a": \n\n{"a": 2}\n')
     good, bad = files.tolerant_json_lines(spark, str(tmp_path / "l.jsonl"), "a long")
     assert (good.count(), bad.count()) == (2, 1)
