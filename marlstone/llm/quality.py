@@ -1,13 +1,15 @@
 """Quality classifier: positive-unlabelled learning with the non-negative risk.
 
-Trusted positives (label 1) are set against unlabelled text. With the class prior p
-and the logistic loss l, the risk that is minimised is
+Trusted positives (label 1) are set against unlabelled text: all documents of the learning fold, whatever their labels. With
+the class prior p and the logistic loss l, the risk that is minimised is
 
     p * mean_P l(g) + max(0, mean_U l(-g) - p * mean_P l(-g))
 
-and when the bracket falls below zero the step undoes the over-fitting instead.
-g is a small network with one hidden layer over per-document text statistics; a bounded
-sample of labelled rows of the learning fold then scales g to a probability.
+g is linear in hinges over per-document text statistics, so that without the maximum the risk is convex: Newton steps
+minimise it, and a step that takes the bracket below zero is shortened. Every pass reads all documents' statistics and
+returns sums of fixed size. The prior is not read from labels: it is the smallest ratio, over thresholds of g, of the
+unlabelled documents' share above to the positives' share above, with bounds of the sampling error; fits with the
+old and the new prior alternate. Labels other than 1 are never used.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import mapped, remainder, sampled, table
+from .shared import mapped, remainder, stored, table
 
-#: Bounds of the samples a fit reads: trusted positives and unlabelled documents.
-MAX_POSITIVES = 12_000
-MAX_UNLABELLED = 24_000
-#: Bound of the labelled sample that turns the network's output into a probability.
-MAX_CALIBRATION = 4_000
 THRESHOLD = 0.3
+#: Standardized statistics are cut at LIMIT; hinges rise from these values on.
+LIMIT, HINGES = 6.0, (0.5, 1.5, 3.0)
+RIDGE, PASSES, PRIORS = 0.03, 25, 3
+#: Thresholds of the prior's estimate: bins of g, the least share of positives above one, and standard errors that are added.
+BINS, RANGE, LEAST, ERRORS = 6_000, 30.0, 0.05, 1.65
 _SYMBOLS = b"#$%&*@^~=<>{}[]\\/_+"
 
 
@@ -50,123 +52,168 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def _forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = np.maximum(0, ((x - model["mean"]) / model["scale"]).clip(-8, 8) @ model["w"] + model["c"])
-    return hidden, hidden @ model["v"] + model["d"]
+SIZE = len(features(""))
+_TERMS = SIZE * (1 + len(HINGES)) + 1
 
 
-def scores(model: dict, x: np.ndarray) -> np.ndarray:
-    a, b = model.get("platt", (1.0, 0.0))
-    return 1 / (1 + np.exp(-(a * _forward(model, x)[1] + b).clip(-30, 30)))
-
-
-def calibrated(model: dict, x: np.ndarray, y: np.ndarray) -> dict:
-    """Platt scaling of g on labelled rows by Newton steps; rows of one class only leave g as it is."""
-    if not len(y) or y.min() == y.max():
-        return model
-    g, theta = _forward(model, x)[1], np.array([1.0, 0.0])
-    design, target = np.stack([g, np.ones(len(g))], 1), np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    loss = lambda t: np.logaddexp(0, z := design @ t).sum() - (target * z).sum()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-(design @ theta).clip(-30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (p - target))
-        size = 1.0
-        while size > 1e-4 and loss(theta - size * step) > loss(theta):
-            size /= 2
-        theta = theta - size * step
-        if np.abs(size * step).max() < 1e-7:
+def terms(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardized statistics, their hinges and a constant."""
+    z = ((x - mean) / scale).clip(-LIMIT, LIMIT)
+    return np.hstack([z, *(np.maximum(0, z - t) for t in HINGES), np.ones((len(z), 1))])
+
+
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+
+def sums(x: np.ndarray, positive: np.ndarray, model: dict) -> np.ndarray:
+    """What a pass adds up over some rows: of all rows the number, losses, gradient and curvature, of the positives the number, both losses and terms."""
+    phi = terms(x, model["mean"], model["scale"])
+    g = phi @ model["w"]
+    s, own = _sigmoid(g), positive
+    return np.concatenate([[len(g), _softplus(g).sum()], s @ phi, ((phi * (s * (1 - s))[:, None]).T @ phi).ravel(), [own.sum(), _softplus(-g[own]).sum(), _softplus(g[own]).sum()], phi[own].sum(0)])
+
+
+def _state(total: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Risk, bracket and Newton step at w of the sums there."""
+    n, loss, rest = total[0], total[1], total[2:]
+    slope, curve = rest[:_TERMS] / n, rest[_TERMS : _TERMS + _TERMS**2].reshape(_TERMS, _TERMS) / n
+    m, good, bad, phi = *rest[_TERMS + _TERMS**2 :][:3], rest[_TERMS + _TERMS**2 + 3 :]
+    bracket = loss / n - prior * bad / m
+    risk = prior * good / m + max(0.0, bracket) + RIDGE * float(w @ w) / 2
+    return float(risk), float(bracket), np.linalg.solve(curve + RIDGE * np.eye(_TERMS), slope - prior * phi / m + RIDGE * w)
+
+
+def descend(evaluate, w: np.ndarray, prior: float) -> np.ndarray:
+    """Newton steps from w on the non-negative risk; evaluate(w) gives the sums of all rows at w."""
+    risk, _, step = _state(evaluate(w), w, prior)
+    size = 1.0
+    for _ in range(PASSES):
+        tried = w - size * step
+        new, bracket, next_step = _state(evaluate(tried), tried, prior)
+        if bracket >= 0 and new < risk:
+            gain, w, risk, step, size = risk - new, tried, new, next_step, 1.0
+            if gain < 1e-5:
+                break
+        elif size < 0.02:
             break
-    return model | {"platt": tuple(theta)}
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, rate: float = 0.01, seed: int = 7) -> dict:
-    """Minimises the non-negative risk by Adam over mini-batches."""
-    rng, both = np.random.default_rng(seed), np.vstack([positive, unlabelled])
-    model = {"mean": both.mean(0), "scale": both.std(0) + 1e-6, "w": rng.normal(0, 0.3, (both.shape[1], hidden)), "c": np.zeros(hidden), "v": rng.normal(0, 0.3, hidden), "d": np.array(np.log(prior / (1 - prior)))}
-    names = ("w", "c", "v", "d")
-    moment = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in names}
-    batches, step = max(1, len(unlabelled) // 512), 0
-    sig = lambda z: 1 / (1 + np.exp(-z.clip(-30, 30)))
-    for epoch in range(epochs):
-        p_order, u_order = np.array_split(rng.permutation(len(positive)), batches), np.array_split(rng.permutation(len(unlabelled)), batches)
-        for p_at, u_at in zip(p_order, u_order, strict=True):
-            if not len(p_at) or not len(u_at):
-                continue
-            x = np.vstack([positive[p_at], unlabelled[u_at]])
-            h, g = _forward(model, x)
-            np_, nu = len(p_at), len(u_at)
-            gp, gu = g[:np_], g[np_:]
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            slope = np.concatenate([-prior * sig(-gp) / np_, np.zeros(nu)])
-            back = np.concatenate([-prior * sig(gp) / np_, sig(gu) / nu])
-            slope = slope + back if negative >= 0 else -back
-            z = ((x - model["mean"]) / model["scale"]).clip(-8, 8)
-            up = np.outer(slope, model["v"]) * (h > 0)
-            grads = {"w": z.T @ up + 1e-4 * model["w"], "c": up.sum(0), "v": h.T @ slope + 1e-4 * model["v"], "d": np.array(slope.sum())}
-            step += 1
-            for k in names:
-                m, s = moment[k]
-                m[...] = 0.9 * m + 0.1 * grads[k]
-                s[...] = 0.999 * s + 0.001 * grads[k] ** 2
-                model[k] = model[k] - rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return model
-
-
-def _with_features(docs: DataFrame, *keep: str) -> DataFrame:
+        else:
+            size /= 4
+    return w
+
+
+def class_prior(positive: np.ndarray, every: np.ndarray) -> float:
+    """The prior from counts of g by bins, in rising order, of positives and of all rows."""
+    p, u = (np.cumsum(c[::-1]) / c.sum() for c in (positive, every))
+    high = u + ERRORS * np.sqrt(u * (1 - u) / every.sum())
+    low = p - ERRORS * np.sqrt(p * (1 - p) / positive.sum())
+    fits = (p >= LEAST) & (low > 0)
+    return float(np.clip((high[fits] / low[fits]).min(initial=1.0), 0.02, 0.98))
+
+
+def bins_of(g: np.ndarray) -> np.ndarray:
+    return ((g.clip(-RANGE, RANGE) + RANGE) * (BINS / (2 * RANGE))).astype(np.int64)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the statistics of the whole text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), *b.columns[1:]], ["x", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return mapped(docs.select("text", *keep), run, ", ".join(["x array<double>", *(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)]))
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fits on bounded samples: MAX_POSITIVES documents with quality 1, MAX_UNLABELLED without a label.
+def _matrix(x: pa.ListArray) -> np.ndarray:
+    return x.flatten().to_numpy().reshape(-1, SIZE)
 
-    The prior is the share of 1 among the given labels. None if there is no positive or nothing unlabelled.
-    docs and labels are the learning fold: rows to hold out are not in them.
+
+def train(rows: DataFrame, labels: DataFrame) -> dict | None:
+    """A model from all rows (see featured) of the learning fold and its labels (doc_id, quality); None without any labelled 1.
+
+    A document with several labels is positive if any is 1. Labels of other documents and null labels count for nothing.
     """
-    labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_id is not null and _q is not null").dropDuplicates(["_id"])
-    n, ones = labels.agg(F.count("*"), F.sum((F.col("_q") == 1).cast("long"))).first()
-    total = docs.select("doc_id").count()
-    if not ones or total <= n:
-        return None
-    prior = min(max(ones / n, 0.02), 0.98)
-    share_p, share_u = min(1.0, MAX_POSITIVES / ones), min(1.0, MAX_UNLABELLED / (total - n))
-
-    def rows(found: DataFrame, bound: int) -> np.ndarray:
-        return np.array([r.x for r in _with_features(found.limit(bound)).collect()], dtype=float).reshape(-1, len(features("")))
-
-    some = docs.select("doc_id", "text")
-    ids = labels.where("_q = 1").where(sampled(F.col("_id"), share_p)).limit(MAX_POSITIVES)
-    positive = rows(some.where(sampled(F.col("doc_id"), share_p)).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi"), MAX_POSITIVES)
-    known = labels.where(sampled(F.col("_id"), share_u))
-    unlabelled = rows(some.where(sampled(F.col("doc_id"), share_u)).join(known, F.col("doc_id") == F.col("_id"), "left_anti"), MAX_UNLABELLED)
-    if not len(positive) or not len(unlabelled):
+    known = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    rows = stored(rows.join(known, F.col("doc_id") == F.col("_id"), "left").select("x", F.col("_id").isNotNull().alias("positive")), "learn")
+    moments = [f(F.get("x", i)) for i in range(SIZE) for f in (F.avg, F.stddev_pop)]
+    first = rows.agg(F.count_if("positive"), *moments).first()
+    if not first[0]:
         return None
-    model, share_c = fit(positive, unlabelled, prior), min(1.0, MAX_CALIBRATION / n)
-    ids = labels.where(sampled(F.col("_id"), share_c)).limit(MAX_CALIBRATION)
-    both = some.where(sampled(F.col("doc_id"), share_c)).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).limit(MAX_CALIBRATION)
-    got = _with_features(both, "_q").collect()
-    return calibrated(model, np.array([r.x for r in got], dtype=float).reshape(-1, len(features(""))), np.array([r["_q"] for r in got], dtype=float))
+    model = {"mean": np.array(first[1::2], float), "scale": np.array(first[2::2], float) + 1e-6}
 
+    def evaluate(w: np.ndarray) -> np.ndarray:
+        held = rows.sparkSession.sparkContext.broadcast(model | {"w": w})
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, score (0 to 1) of every whole text; without a model each score is 0.5. Null and empty texts are scored like any other; repeated rows each get a row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)
+        def run(batches):
+            total = np.zeros(2 + 2 * _TERMS + _TERMS**2 + 3)
+            for b in batches:
+                total += sums(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), held.value)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
+
+        out = np.zeros(2 + 2 * _TERMS + _TERMS**2 + 3)
+        for b in mapped(rows, run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().to_batches():  # as many rows as sums
+            out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        return out
+
+    def counted(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = rows.sparkSession.sparkContext.broadcast(model | {"w": w})
+
+        def run(batches):
+            every, own = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
+            for b in batches:
+                at = bins_of(terms(_matrix(b.column(0)), held.value["mean"], held.value["scale"]) @ held.value["w"])
+                every += np.bincount(at, minlength=BINS + 1)
+                own += np.bincount(at[b.column(1).to_numpy(zero_copy_only=False)], minlength=BINS + 1)
+            at = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(own[at])], ["bin", "every", "own"])
+
+        every, own = np.zeros(BINS + 1), np.zeros(BINS + 1)
+        for b in mapped(rows, run, "bin long, every long, own long").groupBy("bin").agg(F.sum("every").alias("every"), F.sum("own").alias("own")).toArrow().to_batches():  # at most BINS rows
+            every[b.column(0).to_numpy()], own[b.column(0).to_numpy()] = b.column(1).to_numpy(), b.column(2).to_numpy()
+        return own, every
+
+    return fit(evaluate, counted, model)
+
+
+def fit(evaluate, counted, model: dict) -> dict:
+    """Alternates fits and estimates of the prior, from one half on; evaluate(w) and counted(w) read all rows."""
+    w, prior = np.zeros(_TERMS), 0.5
+    for turn in range(PRIORS):
+        w = descend(evaluate, w, prior)
+        if turn < PRIORS - 1:
+            prior = class_prior(*counted(w))
+    return model | {"w": w, "prior": prior}
+
+
+def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    return _sigmoid(terms(x, model["mean"], model["scale"]) @ model["w"])
+
+
+def score(rows: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, score (0 to 1) of rows (see featured); without a model each score is 0.5.
+
+    Null and empty texts are scored like any other; repeated rows and null ids each get a row; an empty table gives an empty result.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(features("")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(held.value, x) if held.value else np.full(len(x), 0.5))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(held.value, _matrix(b.column(1))) if held.value else np.full(len(b), 0.5))], ["doc_id", "score"])
 
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    return mapped(rows, run, f"doc_id {kind}, score double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of rows with remainder 0 modulo 5 are never read by the fit."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = stored(featured(table(spark, sf_dir, "documents")), "features")
     learn = lambda df: df.where(remainder(F.col("doc_id"), 5) != 0)
-    out = score(docs, train(learn(docs), learn(labels)))
+    out = score(rows, train(learn(rows), learn(table(spark, sf_dir, "labels"))))
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,24 +1,75 @@
-"""Held-out accuracy of the two classifiers on generated text."""
+"""The two classifiers: held-out accuracy on the given tables, and awkward rows."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from marlstone.llm import quality
+from marlstone.llm import quality, shared, toxicity
 
+SF = "/root/testdata/sf0.01"
 
-def test_positive_unlabelled_fit_separates():
-    rng = np.random.default_rng(0)
-    good, bad = (lambda n: rng.normal(1, 0.5, (n, 4))), (lambda n: rng.normal(-1, 0.5, (n, 4)))
-    model = quality.fit(good(500), np.vstack([good(800), bad(200)]), 0.8)
-    s = quality.scores(model, np.vstack([good(200), bad(200)]))
-    assert s[:200].mean() > s[200:].mean() + 0.4
+
+def _area(score, y):
+    order = np.argsort(np.argsort(score)) + 1
+    return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+def _held_out(spark, query, label):
+    rows = query(spark, SF).where("held_out").join(shared.table(spark, SF, "labels").select("doc_id", label), "doc_id").toPandas()
+    return rows.score.to_numpy(), (rows[label] == 1).to_numpy(), (rows.predicted == 1).to_numpy()
+
+
+def test_quality_of_held_out_documents(spark):
+    score, y, predicted = _held_out(spark, quality.op1_quality, "quality")
+    assert _area(score, y) > 0.97 and (predicted == y).mean() > 0.95
+
+
+def test_toxicity_of_held_out_documents(spark):
+    score, y, predicted = _held_out(spark, toxicity.op2_toxicity, "toxic")
+    assert _area(score, y) > 0.9 and (predicted == y).mean() > 0.95
+
+
+def test_positive_unlabelled_fit_finds_the_prior():
+    """Two clouds, labels for some of one: the share of that one among all is found, and the clouds are told apart."""
+    rng, n = np.random.default_rng(0), 4_000
+    good = rng.random(n) < 0.7
+    x = rng.normal(0, 1, (n, quality.SIZE)) + np.where(good, 1.2, -1.2)[:, None]
+    own = good & (rng.random(n) < 0.3)
+    base = {"mean": x.mean(0), "scale": x.std(0)}
+    counted = lambda w: tuple(np.bincount(quality.bins_of(quality.terms(x[k], **base) @ w), minlength=quality.BINS + 1) for k in (own, slice(None)))
+    model = quality.fit(lambda w: quality.sums(x, own, base | {"w": w}), counted, base)
+    assert abs(model["prior"] - 0.7) < 0.05
+    assert ((quality.scores(model, x) > 0.5) == good).mean() > 0.99
+
+
+def test_the_risk_stays_non_negative():
+    rng = np.random.default_rng(1)
+    x, own = rng.normal(0, 1, (60, quality.SIZE)), np.arange(60) < 30
+    base = {"mean": x.mean(0), "scale": x.std(0)}
+    w = quality.descend(lambda w: quality.sums(x, own, base | {"w": w}), np.zeros(quality._TERMS), 0.9)
+    assert quality._state(quality.sums(x, own, base | {"w": w}), w, 0.9)[1] >= 0
 
 
 def test_features_of_any_text():
-    n = len(quality.features(""))
-    assert all(len(quality.features(t)) == n and np.isfinite(quality.features(t)).all() for t in (None, " ", "\n", "a" * 100_000, "\ud800"))
+    assert all(len(quality.features(t)) == quality.SIZE and np.isfinite(quality.features(t)).all() for t in (None, " ", "\n", "a" * 100_000, "\ud800"))
+
+
+def test_quality_of_awkward_tables(spark):
+    docs = quality.featured(spark.createDataFrame([(1, "a"), (2, None), (2, None), (None, "")], "doc_id long, text string"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.score for r in quality.score(docs, quality.train(docs, none)).collect()] == [0.5] * 4
+    every = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1), (9, 1), (1, None)], "doc_id long, quality int")
+    rows = quality.score(docs, quality.train(docs, every)).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
+    assert quality.train(docs.limit(0), every) is None and quality.score(docs.limit(0), None).count() == 0
 
 
-def test_without_labels_each_score_is_half(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert [r.score for r in quality.score(docs, quality.train(docs, labels)).collect()] == [0.5] * 3
+def test_fits_do_not_depend_on_partitions(spark):
+    """The same rows in another order and number of partitions: the same labelled sample, lexicon and scores."""
+    docs = shared.table(spark, SF, "documents").where("doc_id % 4 = 0").cache()
+    labels = shared.table(spark, SF, "labels")
+    moved = docs.repartition(7, F.rand(3))
+    words = [toxicity.train(d, labels)["words"] for d in (docs, moved)]
+    assert words[0].keys() == words[1].keys() and all(words[0][k] == pytest.approx(words[1][k]) for k in words[0])
+    a, b = ({r.doc_id: r.score for r in quality.score(x, quality.train(x, labels)).collect()} for x in map(quality.featured, (docs, moved)))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3
