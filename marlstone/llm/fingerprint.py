@@ -51,8 +51,9 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
     """Adds next_<c> for c in carried: the values of the row after this one by key, of the first row after the last.
 
-    Rows go to ranges of the key that hold about equally many; the first row of each range also goes, as an extra
-    row, to the range before it. Only keys are gathered: a few hundred bounds and the first key of each range.
+    Rows go to ranges of the key that hold about equally many, null keys to ranges of the hash of the first carried column; the first row of
+    each range also goes, as an extra row, to the range before it. Rows are ordered by key, nulls first, then by that hash. Only
+    bounds and the first key and hash of each range are gathered: a few hundred.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     ids = docs.select(key).where(F.col(key).isNotNull())
@@ -69,27 +70,30 @@ def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
         )
     else:
         bucket = F.lit(0)
-    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket)
-    heads = docs.select(bucket.alias("_b"), key).groupBy("_b").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).orderBy("_b").collect()
+    at = docs.withColumn("_h", F.xxhash64(carried[0]))
+    by_hash = (F.floor((F.col("_h").cast("double") + 2.0**63) * (n / 2.0**64)).cast("int") - n).cast("int")  # -n to -1
+    at = at.withColumn("_b", F.when(F.col(key).isNull(), F.greatest(F.lit(-n), F.least(by_hash, F.lit(-1)))).otherwise(bucket))
+    heads = at.groupBy("_b").agg(F.min(F.struct(F.col(key).alias("k"), "_h")).alias("first")).orderBy("_b").collect()
     if not heads:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    buckets = [h["_b"] for h in heads]
+    kind, by_bucket = docs.schema[key].dataType.simpleString(), {h["_b"]: h["first"] for h in heads}
+    buckets, places = sorted(by_bucket), range(-n, max(0, max(by_bucket)) + 1)
     before = {b: buckets[i - 1] for i, b in enumerate(buckets)}
-    firsts = F.lit([next((h["_first"] for h in heads if h["_b"] == b), None) for b in range(-1, max(buckets) + 1)]) if any(h["_first"] is not None for h in heads) else None
-    prior = F.lit([before.get(b, b) for b in range(-1, max(buckets) + 1)])
-    at = docs.withColumn("_b", bucket)
-    is_head = F.col("_b") == -1 if firsts is None else (F.coalesce(F.get(firsts, F.col("_b") + 1) == F.col(key), F.col("_b") == -1))
-    copies = F.when(is_head, F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("extra")), F.struct(F.get(prior, F.col("_b") + 1).alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("extra"))))
+    listed = lambda values, kind: F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")
+    of = lambda values, kind: F.get(listed(values, kind), F.col("_b") + n)
+    is_head = F.col(key).eqNullSafe(of([by_bucket[b]["k"] if b in by_bucket else None for b in places], kind)) & (F.col("_h") == of([by_bucket[b]["_h"] if b in by_bucket else None for b in places], "bigint"))
+    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("extra"))
+    copies = F.when(is_head, F.array(own, F.struct(of([before.get(b) for b in places], "int").alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(own))
     rows = at.select("*", F.explode(copies).alias("_at"))
-    w = Window.partitionBy("_at.b").orderBy("_at.extra", F.col(key).asc_nulls_first(), *(F.xxhash64(c) for c in carried))
-    return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where(~F.col("_at.extra")).drop("_at", "_b")
+    w = Window.partitionBy("_at.b").orderBy("_at.extra", F.col(key).asc_nulls_first(), "_h", *(F.xxhash64(c) for c in carried[1:]))
+    return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where(~F.col("_at.extra")).drop("_at", "_b", "_h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprint of its text and of its edited text, and both likenesses.
 
     Null texts count as empty. Repeated ids are taken in the order of id, then text hash; null ids come first. A single
-    row is its own next document. An empty table gives an empty result.
+    row is its own next document. An empty table gives an empty result; other columns are not read.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", fingerprint("text"))
     rows = with_next(own, "doc_id", ["text", "fingerprint"]).withColumn("n_chars", F.length("text").cast("long"))
@@ -101,4 +105,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all of `documents` and of their edited texts."""
     return fingerprints(table(spark, sf_dir, "documents"))

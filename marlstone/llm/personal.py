@@ -189,4 +189,5 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all of `documents`."""
     return find(table(spark, sf_dir, "documents"))

@@ -197,4 +197,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all of `documents`."""
     return scan(table(spark, sf_dir, "documents"))

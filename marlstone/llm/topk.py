@@ -64,6 +64,13 @@ def sorted_access(parts: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -
     return alive[best], score[best]
 
 
+def clamped(score: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers, those beyond the range as its end."""
+    if score.dtype != object:
+        return score.astype(np.int64)
+    return np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64)
+
+
 def _cell(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -83,7 +90,7 @@ def _cell(k: int):
             for i in range(len(dots[0])):
                 parts = np.stack([d[i] for d in dots]).astype(whole)
                 where, score = sorted_access(parts, c_ids, c_ids == q_ids[at + i], k)
-                found.append((np.full(len(where), q_ids[at + i]), c_ids[where], score.astype(np.int64)))
+                found.append((np.full(len(where), q_ids[at + i]), c_ids[where], clamped(score)))
         return pa.table({name: pa.array(np.concatenate([f[j] for f in found]).astype(np.int64)) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
     return run
@@ -105,7 +112,8 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     vectors: vec_id, embedding. Vectors that are null or hold null or non-finite components take no part, nor do rows with a
     null id; shorter vectors count as padded with zeros. Rows with the same vec_id are candidates each, but not for
-    each other. With fewer than k candidates all are returned; an empty table gives an empty result.
+    each other; of those that repeat a query's id the one with the smallest vector asks. With fewer than k candidates all are returned; an empty table gives an empty result. A score that a long cannot hold
+    is the nearest long; such scores tie. Other columns are not read.
     """
     e = F.col("embedding")
     ok = e.isNotNull() & F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.col("vec_id").isNotNull()
@@ -114,7 +122,8 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     n, nq = rows.agg(F.count("*"), F.count_if(is_query)).first()
     blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-(nq or 0) // QUERIES))
     place = F.monotonically_increasing_id()  # spreads rows evenly, whatever their ids; the result does not depend on it
-    left = rows.where(is_query).withColumn("q", F.pmod(F.xxhash64(place), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    left = asked.withColumn("q", F.pmod(F.xxhash64(place), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("c", F.pmod(F.xxhash64(place), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -122,6 +131,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all `embeddings` for each row whose id is divisible by 20."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 

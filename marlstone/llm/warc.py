@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
+import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,9 +81,42 @@ def derivatives(found: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _parsed(stream) -> list[dict]:
-    """Response records of one WARC file's bytes, uncompressed."""
-    out = []
+def _unchunked(body: bytes) -> bytes:
+    """The payload of a chunked body; a body that is not chunked as it says stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _text_of(http: str, payload: bytes) -> str:
+    """A payload's text: transfer and content encodings undone, in the declared character set, else UTF-8; bytes that are none become U+FFFD."""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.splitlines()[1:])}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    try:
+        for coding in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",") if x.strip()]):
+            payload = gzip.decompress(payload) if coding in ("gzip", "x-gzip") else zlib.decompress(payload) if coding == "deflate" else payload
+    except (OSError, EOFError, zlib.error):
+        pass  # what cannot be undone is read as it stands
+    named = re.search(r"charset=[\"']?([A-Za-z0-9_.:-]+)", fields.get("content-type", ""), re.I)
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _parsed(stream):
+    """Response records of one WARC file's bytes, uncompressed, one at a time. A record without a length that can be read is passed over up to the next one."""
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -89,12 +125,14 @@ def _parsed(stream) -> list[dict]:
             lines.append(line)
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        body = stream.read(int(head.get("content-length", "0")))
+        if not head.get("content-length", "").isdecimal():
+            continue
+        body = stream.read(int(head["content-length"]))
         if head.get("warc-type") == "response":
             http, _, payload = body.partition(b"\r\n\r\n")
-            out.append({"record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", NO_DATE), "http_headers": http.decode("utf-8", "replace"), "payload": payload.decode("utf-8", "replace"),
-                        "raw": payload, "warc_headers": b"".join(lines).decode("utf-8", "replace").rstrip("\r\n"), "payload_digest": head.get("warc-payload-digest", ""), "block_digest": head.get("warc-block-digest", "")})
-    return out
+            shown = http.decode("utf-8", "replace")
+            yield {"record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", NO_DATE), "http_headers": shown, "payload": _text_of(shown, payload),
+                   "raw": payload, "warc_headers": b"".join(lines).decode("utf-8", "replace").rstrip("\r\n"), "payload_digest": head.get("warc-payload-digest", ""), "block_digest": head.get("warc-block-digest", "")}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +142,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column(0).to_pylist():
                 rows = _parsed(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
-                for at in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 500], pa.schema([(c, pa.binary() if kind == "binary" else pa.string()) for c, kind in map(str.split, RESPONSE.split(", "))]))
+                while some := list(itertools.islice(rows, 200)):
+                    yield pa.RecordBatch.from_pylist(some, pa.schema([(c, pa.binary() if kind == "binary" else pa.string()) for c, kind in map(str.split, RESPONSE.split(", "))]))
 
     return mapped(spark.read.format("binaryFile").load(path).select("content"), run, RESPONSE)
 
@@ -121,6 +159,7 @@ def as_warc(records: DataFrame):
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all `pages`, taken as responses."""
     return derivatives(responses(table(spark, sf_dir, "pages")), "page_id")
 
 

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -47,6 +49,29 @@ def test_edited_text_wraps_around(spark):
         assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()
 
 
+def test_next_documents_of_null_and_repeated_ids(spark):
+    """Null ids come first in the order of their texts' hashes, however many; then ids, repeated ones likewise; the last row's next is the first."""
+    rows = [(None, f"null {i}") for i in range(40)] + [(i // 2, f"text {i}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in frame.select("text", topk.F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1]))
+    assert Counter(r.edited_sha256 for r in fingerprint.fingerprints(frame.repartition(5)).collect()) == want
+
+
+def test_likeness_estimates_the_share_of_common_shingles(spark):
+    """Against exact similarities of five-word shingles over all levels: nearly unbiased, with the spread of the bins."""
+    rng, pairs = np.random.default_rng(6), []
+    for _ in range(150):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        cut = int(rng.integers(0, 200))
+        pairs.append((" ".join(a), " ".join(a[cut:] + [f"v{x}" for x in rng.integers(0, 10**6, cut)])))
+    frame = spark.createDataFrame(pairs, "a string, b string").select(fingerprint.fingerprint("a").alias("fa"), fingerprint.fingerprint("b").alias("fb"))
+    got = np.array([r[0] for r in frame.select(fingerprint.likeness("fa", "fb")).collect()])
+    exact = np.array([len((x := _shingles(a, 5)) & (y := _shingles(b, 5))) / len(x | y) for a, b in pairs])
+    assert abs((got - exact).mean()) < 0.015 and np.sqrt(((got - exact) ** 2).mean()) < 0.06
+
+
 def _shingles(text, k=2):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -126,6 +151,17 @@ def test_top_k_equals_brute_force(spark):
     assert len(got) == 15 * 7
 
 
+def test_top_k_of_awkward_vectors(spark):
+    """Ties go to the smaller id, repeated ids are candidates each but not for each other, huge components do not stop a task."""
+    kind = "vec_id long, embedding array<double>, score long, rank int"
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0]), (2, [1.0, 5.0]), (5, []), (40, [1e300, -1e12]), (41, [1e300, 0.0]), (None, [1.0]), (60, [float("inf")])]
+    got = topk.search(spark.createDataFrame([(*r, 0, 0) for r in rows], kind), topk.F.col("vec_id") % 20 == 0, 3).collect()
+    of = lambda q: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+    assert of(20) == [(1, 40, 2**63 - 1), (2, 41, 2**63 - 1), (3, 2, 4096)]
+    assert of(40) == [(1, 3, 2**63 - 1), (2, 20, 2**63 - 1), (3, 41, 2**63 - 1)] and {r.query_id for r in got} == {20, 40}
+    assert topk.search(spark.createDataFrame([], kind), topk.F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_packing_is_gapless_and_whole(docs, empty):
     rows = packing.pack(packing.pieces(docs, packing.vocabulary())).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(x[0] for x in AWKWARD)
@@ -141,6 +177,34 @@ def test_packing_is_gapless_and_whole(docs, empty):
     assert packing.pack(packing.pieces(empty, packing.vocabulary())).count() == 0
 
 
+def test_pieces_equal_brute_force(spark):
+    """Starts, lengths, checksums and cuts of every piece against the whole tokenizer; sequences no fewer than the bound and certified."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", "a", " ".join(f"w{x}" for x in rng.integers(0, 10**5, 9_000)), *(" ".join(rng.choice(["the", "of", "naïve", "x1", "end."], int(n))) for n in rng.integers(1, 3_000, 40))]
+    rows = packing.pack(packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), packing.vocabulary())).collect()
+    whole, want = packing._tokenizer(packing.vocabulary()), set()
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, packing.END]
+        for p, at in enumerate(range(0, len(ids), packing.LENGTH)):
+            part = np.array(ids[at : at + packing.LENGTH], "<u4").tobytes()
+            want.add((i, p, at, len(part) // 4, zlib.crc32(part)))
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    bound = packing.lower_bound(np.bincount([r.length for r in rows], minlength=packing.LENGTH + 1))
+    n = len({r.sequence_id for r in rows})
+    assert bound <= n <= bound + 1 and all(r.certified for r in rows) == (n == bound)
+
+
+def test_pools_are_packed_again(spark, monkeypatch):
+    """With small partitions rounds go on until the bound of all pieces is met or the pool is one partition."""
+    monkeypatch.setattr(packing, "PARTITION_TOKENS", 150_000)
+    sizes = np.random.default_rng(9).integers(200, 3_900, 300).tolist()
+    frame = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(frame).collect()
+    bound = packing.lower_bound(np.bincount(sizes, minlength=packing.LENGTH + 1))
+    alone = packing.best_fit(np.array(sizes))[2]
+    assert sorted(r.length for r in rows) == sorted(sizes) and bound <= len({r.sequence_id for r in rows}) <= 1.03 * alone
+
+
 def test_tokens_equal_the_tokenizer():
     texts = ["It's <|endoftext|> a b, c\x1cd 12 été!", "", "a  b\n", "DON'T it's. a.'s A,'T x'S", "İstanbul ΣΑΣ", "á.b e.́ a≠b", "x`{y}[z]@*** ...e"]
     ids = packing.Ids(packing.vocabulary())
@@ -269,3 +333,24 @@ def test_warc_headers_and_digests_are_kept(spark, tmp_path):
     assert lines["source-digest"] == meta.source_digest and lines["source-warc-headers"] == head.replace("\r\n", " | ")
     plain = warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"))).where("record_type = 'metadata'").first()
     assert "warc-headers" not in plain.block and "payload-digest" not in plain.block
+
+
+def test_payloads_are_decoded_as_they_say(spark, tmp_path):
+    page = "<p>café</p>"
+    packed = gzip.compress(page.encode("latin-1"))
+    chunked = b"5\r\n" + packed[:5] + b"\r\n%x;x=y\r\n" % (len(packed) - 5) + packed[5:] + b"\r\n0\r\n\r\n"
+    bodies = [
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked,
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nonsense\r\nContent-Encoding: gzip\r\n\r\n" + page.encode(),
+    ]
+    record = lambda n, body, length: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %s\r\n\r\n" % (n, length) + body + b"\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record(0, bodies[0], b"many") + record(1, bodies[0], str(len(bodies[0])).encode()) + record(2, bodies[1], str(len(bodies[1])).encode())))
+    rows = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert rows.keys() == {"<1>", "<2>"} and rows["<1>"].payload == rows["<2>"].payload == page and bytes(rows["<1>"].raw) == chunked
+
+
+def test_warc_of_awkward_pages(spark):
+    kind = "page_id long, url string, html string, block string, record_id int"
+    rows = warc.derivatives(warc.responses(spark.createDataFrame([(None, None, None, "x", 1), (1, "u", "a" * 300_000, "x", 1), (1, "u", "a" * 300_000, "x", 1)], kind)), "page_id").collect()
+    assert Counter((r.page_id, r.record_type) for r in rows) == {(None, "metadata"): 1, (None, "conversion"): 1, (1, "metadata"): 2, (1, "conversion"): 2}
+    assert warc.derivatives(warc.responses(spark.createDataFrame([], kind)), "page_id").count() == 0
