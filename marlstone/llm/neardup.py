@@ -33,7 +33,7 @@ MARGIN = 0.17
 #: Shingles, about, and texts that are sketched or sent at a time; a larger set is sketched in parts.
 BATCH_HASHES, BATCH_TEXTS, PART_HASHES = 100_000, 400, 200_000
 #: Shingles of the members that a block compares, and of the partners that a cell compares them with, about.
-BLOCK_HASHES, CELL_HASHES = 100_000, 1_000_000
+BLOCK_HASHES, CELL_HASHES = 100_000, 250_000
 #: Bytes of the words whose hashes a task keeps, about, with what the table itself takes for each.
 _KNOWN_BYTES, _ENTRY_BYTES = 40_000_000, 150
 _MUL = np.uint64(0x9E3779B97F4A7C15)

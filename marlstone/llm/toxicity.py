@@ -295,12 +295,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, share: float, ridge:
 def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, max_toxic: int = 20_000, max_clean: int = 40_000) -> dict:
     """Language model over all of corpus (default: docs); lexicon and logistic model on about max_toxic and max_clean labelled rows.
 
-    Without labels of both classes the lexicon is empty and every score is the share of label 1 (0.0 if unknown).
+    Without labels of both classes, or without words that tell them apart, the lexicon is empty and every score is 0.0: nothing speaks against any text.
     """
     model = language_model(docs if corpus is None else corpus)
     rows, share = sample(docs, labels, max_toxic, max_clean)
     words = lexicon(rows, model)
-    out = {"lm": model, "words": words, "theta": None, "share": share}
+    out = {"lm": model, "words": words, "theta": None}
     if words:
         held = docs.sparkSession.sparkContext.broadcast((model, words))
 
@@ -327,7 +327,7 @@ def judged(docs: DataFrame, model: dict, name: str = "toxicity_score") -> DataFr
         scorer = Scorer(m["lm"], m["words"])
         for b in batches:
             x = np.array([scorer.features(t) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, 4)
-            p = np.full(len(x), m["share"]) if m["theta"] is None else 1 / (1 + np.exp(-(x @ m["theta"][:-1] + m["theta"][-1]).clip(-30, 30)))
+            p = np.zeros(len(x)) if m["theta"] is None else 1 / (1 + np.exp(-(x @ m["theta"][:-1] + m["theta"][-1]).clip(-30, 30)))
             yield b.append_column(name, pa.array(p))
 
     return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -73,3 +73,50 @@ def test_fits_do_not_depend_on_partitions(spark):
     assert words[0].keys() == words[1].keys() and all(words[0][k] == pytest.approx(words[1][k]) for k in words[0])
     a, b = ({r.doc_id: r.score for r in quality.score(x, quality.train(x, labels)).collect()} for x in map(quality.featured, (docs, moved)))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-3
+
+
+def test_viterbi_equals_brute_force():
+    """Every reading of short tokens, scored by the same costs: the decoder's is the cheapest."""
+    model = toxicity.smoothed(toxicity.gram_counts(["some toxic loser is a stupid idiot and so on, total fool " * 20]).astype(float))
+    read, rng = toxicity.Decoder(model), np.random.default_rng(2)
+
+    def best(token):
+        text, found = toxicity.fold(token), {}
+
+        def go(i, context, reading, total):
+            if i == len(text):
+                end = total + (model[context << 5] if context & 31 else 0)
+                found[reading.strip()] = min(end, found.get(reading.strip(), np.inf))
+                return
+            c, arcs = text[i], []
+            same = i and text[i - 1] == c
+            if "a" <= c <= "z":
+                arcs = [(c, 0.0), *([("", toxicity.COST_REPEAT if i < 2 or text[i - 2] != c else 0.05)] if same else [])]
+            elif c in toxicity.LOOKALIKES:
+                arcs = [(x, toxicity.COST_LOOK) for x in toxicity.LOOKALIKES[c]] + [("", toxicity.COST_LOOK + 1.5), (" ", 3.0), *([("", 0.3)] if same else [])]
+            else:
+                arcs = [("", toxicity.COST_DROP), (" ", 1.0)]
+            for x, extra in arcs:
+                code = 0 if x in ("", " ") else ord(x) - 96
+                if x == "" or code == 0 and context & 31 == 0:
+                    go(i + 1, context, reading, total + extra)
+                else:
+                    go(i + 1, ((context << 5) | code) & 32767, reading + x, total + extra + model[(context << 5) | code])
+
+        go(0, 0, "", 0.0)
+        return found
+
+    for _ in range(150):
+        token = "".join(rng.choice(list("ltsdoe01!$*.-"), rng.integers(1, 7)))
+        found = best(token)
+        assert found[read(token)] == pytest.approx(min(found.values()), abs=1e-4), token
+
+
+def test_restored_words_raise_the_score(spark):
+    """Disguises of lexicon words score like the words; switched off, the restoring misses them."""
+    rows = [(i, f"the report of the meeting number {i} " + ("what a stupid pathetic loser you are" if i % 4 == 0 else "was read and agreed on by all")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    tried = ["what a stup1d pathet!c l0ser", "what a s t u p i d one", "you p.a.t.h.e.t.i.c one", "stuuupid and looooser", "$tupid", "the report was agreed on", "meeting 2024, 12:30 - 13:45", "", None]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(got[:5]) >= toxicity.THRESHOLD > max(got[5:])

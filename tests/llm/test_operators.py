@@ -354,3 +354,81 @@ def test_warc_of_awkward_pages(spark):
     rows = warc.derivatives(warc.responses(spark.createDataFrame([(None, None, None, "x", 1), (1, "u", "a" * 300_000, "x", 1), (1, "u", "a" * 300_000, "x", 1)], kind)), "page_id").collect()
     assert Counter((r.page_id, r.record_type) for r in rows) == {(None, "metadata"): 1, (None, "conversion"): 1, (1, "metadata"): 2, (1, "conversion"): 2}
     assert warc.derivatives(warc.responses(spark.createDataFrame([], kind)), "page_id").count() == 0
+
+
+#: Personal data that the base patterns miss, and look-alikes of them that are none.
+HIDDEN = ["write to joe at example dot com", "mail: anna [at] mail [dot] org", "call (415) 555-2671", "phone 415-555-2671", "SSN 219-09-9999", "social security 078-05-1120", "IBAN: DE89370400440532013000", "bank account GB29 6016 1331 9268 1900"]
+HARMLESS = ["we met at noon in the house", "version 2.10.3 build 7", "order 000-12-3456", "part 900-11-2222", "see page 123 456 7890x", "score 3-2, ratio 10:4", "code AB12", "look at work dot"]
+
+
+def test_added_personal_spans(spark):
+    """Precision and recall of what the trees select beyond the base patterns."""
+    texts = [f"{a} words before {t}, and words after." for a in ("some", "other", "more") for t in HIDDEN + HARMLESS]
+    rows = {r.doc_id: r for r in personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = {i for i, r in rows.items() if r.n_email + r.n_ip + r.n_card + r.n_phone}
+    wanted = {i for i in rows if i % 16 < 8 and i not in base}
+    found = {i for i, r in rows.items() if r.spans and i not in base}
+    assert len(wanted) >= 15 and len(found & wanted) / len(wanted) >= 0.8 and len(found & wanted) / len(found) >= 0.9
+
+
+def test_base_spans_equal_brute_force(spark):
+    """Counts and digests of the base kinds by Python's own patterns."""
+    rng, parts = np.random.default_rng(3), ["a@b.c", "x.y+z@q-r.co.uk", "@", "1.2.3.4", "256.1.1.1", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234567", "+1 2", "é", " ", "  ", "12", ".", "-", "\n", "a@b", "5500005555555559", "+442071838750."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(300)] + [None]
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+    got = {r.doc_id: r for r in personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = {k: [m.span() for m in re.finditer(p, t or "") if holds(k, m[0])] for k, p in patterns.items()}
+        assert [got[i][f"n_{k}"] for k in patterns] == [len(x) for x in spans.values()], t
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in patterns for s, e in spans[k]).encode()).hexdigest(), t
+
+
+def test_added_secrets(spark):
+    """Precision and recall of random strings among identifiers that no base pattern finds."""
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    random_ = ["".join(rng.choice(alphabet, rng.integers(24, 48))) for _ in range(200)]
+    words = np.array(["customer", "order", "total", "index", "buffer", "reader", "Handler", "Manager", "update", "status", "remote", "Window", "parse", "value"])
+    plain = [("_" if n % 2 else "").join(rng.choice(words, rng.integers(4, 7))) for n in range(200)]
+    texts = [f"the value {t} is used here and there" for t in random_ + plain]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("spans like '%random:%'").collect()}
+    assert len({i for i in found if i < 200}) / 200 >= 0.95 and len({i for i in found if i < 200}) / len(found) >= 0.95
+
+
+def test_base_secrets_equal_brute_force(spark):
+    rng, parts = np.random.default_rng(4), ["password=", "Api_Key : ", "apikey:", 'token"= "', "secret", "abc", "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "Z9", "deadbeef", "0123456789abcdef", " ", "=", "é", "\n", "passwd = '", "x.y/z+w="]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(400)] + [None]
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = {"assign": [m.span() for m in assign.finditer(t) if len(m[2]) >= 6], "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20], "hex": [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]}
+        assert [got[i][f"n_{k}"] for k in spans] == [len(x) for x in spans.values()], t
+        listed = sorted((s, n, k, e) for n, (k, v) in enumerate(spans.items()) for s, e in v)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in listed).encode()).hexdigest(), t
+
+
+def test_mixing_keeps_its_contract(spark):
+    """Sizes, sources and targets by hand; the same rows from any order and number of partitions; shards split each source's copies exactly."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(n)), ("s1", "s2", "s3", None)[i % 4]) for i, n in enumerate(rng.integers(0, 60, 900))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [{r.doc_id: tuple(map(str, r)) for r in mixing.mix(f).collect()} for f in (frame, frame.repartition(7, "text"))]
+    assert runs[0] == runs[1]
+    got = mixing.mix(frame).collect()
+    totals = Counter()
+    for _, t, s in rows:
+        totals[s] += len(t.split())
+    goal, taken = mixing.targets(list(totals.items())), Counter()
+    for r in got:
+        assert (r["size"], r.source_size) == (len(rows[r.doc_id][1].split()), totals[rows[r.doc_id][2]]) and r.target == pytest.approx(goal[rows[r.doc_id][2]]) and r.taken <= 2 * r["size"]
+        taken[rows[r.doc_id][2]] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 60 for s in totals)
+    places = [(s, o) for r in got for s, o in zip(r.shards, r.orders, strict=True)]
+    assert len({s for s, _ in places}) == mixing.LEAST_SHARDS and len({o for _, o in places}) == len(places)
