@@ -160,3 +160,18 @@ def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
 
 def _any_ends(parts: Column, suffix: str) -> Column:
     return F.exists(parts, lambda x: x.endswith(suffix))
+
+
+def folder(path: Column) -> Column:
+    """What stands before the last slash; empty without one."""
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def extension(path: Column) -> Column:
+    """From the last point of the file name on; names that only begin with a point have none."""
+    return F.regexp_extract(path, r"[^./]([.][^./]*)$", 1)
+
+
+def stem(path: Column) -> Column:
+    """The file name without its extension."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"([^.])[.][^.]*$", "$1")

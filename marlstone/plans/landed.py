@@ -389,13 +389,13 @@ def ranked_findings(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("pos"), "l_returnflag", "l_partkey")
 
 
-@query("SELECT l_orderkey AS release, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS downloads, CAST(count(*) AS BIGINT) AS assets, floor(sum(CAST(l_extendedprice AS BIGINT) * 100) / 1048576.0 * 100 + 0.5) / 100 AS mb FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS release, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS downloads, CAST(count(*) AS BIGINT) AS assets, floor(CAST(sum(CAST(floor(l_extendedprice) AS BIGINT) * 100) AS DOUBLE) / 1048576 * 100 + 0.5) / 100 AS mb FROM lineitem GROUP BY l_orderkey")
 def asset_downloads(spark, sf_dir):
     """Releases with an array of assets each, as they come from an interface; assets are exploded and summed."""
-    asset = F.struct(F.col("l_quantity").cast("long").alias("download_count"), (F.col("l_extendedprice").cast("decimal(20,0)").cast("long") * 100).alias("size"))
+    asset = F.struct(F.col("l_quantity").cast("long").alias("download_count"), (F.floor("l_extendedprice") * 100).alias("size"))
     releases = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("release")).agg(F.to_json(F.struct(F.collect_list(asset).alias("assets"))).alias("body"))
     rows = releases.select("release", F.explode(F.from_json("body", "assets array<struct<download_count:bigint,size:bigint>>")["assets"]).alias("a"))
-    return rows.groupBy("release").agg(F.sum("a.download_count").alias("downloads"), F.count("*").alias("assets"), (F.floor(F.sum("a.size") / 1048576.0 * 100 + 0.5) / 100).alias("mb"))
+    return rows.groupBy("release").agg(F.sum("a.download_count").alias("downloads"), F.count("*").alias("assets"), (F.floor(F.sum("a.size").cast("double") / 1048576 * 100 + 0.5) / 100).alias("mb"))
 
 
 # Rules
@@ -624,3 +624,90 @@ def tolerant_lines(spark, sf_dir):
     e.select(line.alias("value")).write.text(path)
     good, _ = files.tolerant_json_lines(spark, path, "id string, score long")
     return good.groupBy("id", "score").agg(F.count("*").alias("n"))
+
+
+# Series, orders, dimensions
+
+
+@query("SELECT strftime(coalesce(v.d, c.d, p.d), '%Y-%m-%d') AS day, CAST(coalesce(v.n, 0) AS INTEGER) AS views, CAST(coalesce(c.n, 0) AS INTEGER) AS clicks, CAST(coalesce(p.n, 0) AS INTEGER) AS commits FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) v FULL JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 3 = 0 GROUP BY 1) c ON v.d = c.d FULL JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1) p ON p.d = coalesce(v.d, c.d)")
+def series_joined(spark, sf_dir):
+    """Series of different days, outer-joined by day one after the other, gaps as 0."""
+    e = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "event_id")
+    views = e.where("event_type = 'view'").groupBy("day").agg(F.count("*").alias("views"))
+    clicks = e.where("event_type = 'click' and event_id % 3 = 0").groupBy("day").agg(F.count("*").alias("clicks"))
+    commits = _table(spark, sf_dir, "orders").where("year(o_orderdate) = 1998").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("commits"))
+    rows = views.join(clicks, "day", "full_outer").join(commits, "day", "full_outer").na.fill(0)
+    return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), *(F.col(c).cast("int").alias(c) for c in ("views", "clicks", "commits")))
+
+
+@query("""SELECT strftime(day, '%Y-%m-%d') AS day, CAST(max_by(n, snap) AS BIGINT) AS n, CAST(max(snap) AS INTEGER) AS snap FROM (SELECT d AS day, snap, c + snap AS n FROM (SELECT CAST(ts AS DATE) AS d, s.snap AS snap, count(*) AS c FROM events, (VALUES (1), (2), (3)) s(snap) WHERE day(ts) % 3 <> s.snap % 3 GROUP BY 1, 2)) GROUP BY day""")
+def traffic_history(spark, sf_dir):
+    """Snapshots of a rolling series, days as mm/dd in the year of the snapshot's folder; the last snapshot of a day counts."""
+    days = _table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+    snapshots = days.select("d", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("snap")).where("day(d) % 3 != snap % 3")
+    files_ = snapshots.select(F.format_string("2024-03-%02d_%d", F.lit(28), "snap").alias("folder"), F.concat(F.date_format("d", "MM/dd"), F.lit(';"'), F.col("n") + F.col("snap"), F.lit('"')).alias("line"))
+    cells = F.from_csv("line", F.lit("day string, n long"), {"sep": ";"})
+    rows = files_.select("folder", cells.alias("c")).select(text.snapshot_date(F.col("c.day"), F.to_date(F.substring("folder", 1, 10))).alias("day"), "c.n", "folder").where("day is not null")
+    last = rows.groupBy("day").agg(F.max(F.struct("folder", "n")).alias("x"))
+    return last.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "x.n", F.substring_index("x.folder", "_", -1).cast("int").alias("snap"))
+
+
+@query(r"SELECT page_id, href, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first) AS INTEGER) AS pos FROM (SELECT page_id, href, min(i) AS first FROM (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href=.([^ >]+).>', 1) AS l FROM pages)) GROUP BY ALL)")
+def ordered_distinct(spark, sf_dir):
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit("href=.([^ >]+).>"), F.lit(1)))
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("i", "href")).select("page_id", "href", (F.col("i") + 1).alias("pos"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, regexp_replace(name, '([^.])[.][^.]*$', '\\1') AS stem, regexp_extract(name, '[^.]([.][^.]*)$', 1) AS extension FROM (SELECT page_id, path, regexp_extract(path, '[^/]*$') AS name FROM (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://', '') AS path FROM pages))""".replace("\\\\", "\\"))
+def path_parts(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.split("url", "[?#]")[0], "^[a-z]+://", "").alias("path"))
+    return p.select("page_id", text.folder(F.col("path")).alias("folder"), text.stem(F.col("path")).alias("stem"), text.extension(F.col("path")).alias("extension"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'candidate' WHEN p_size > 20 THEN 'clear' ELSE 'fine' END AS rating, p_size >= 30 AS slow, p_retailprice > 950 AND p_size > 20 AS listed FROM part")
+def threshold_ratings(spark, sf_dir):
+    size = F.col("p_size")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.when(size > 40, "candidate").when(size > 20, "clear").otherwise("fine").alias("rating"), (size >= 30).alias("slow"), ((F.col("p_retailprice") > 950) & (size > 20)).alias("listed"))
+
+
+@query("SELECT l_suppkey, min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS best, bool_or(l_returnflag = 'R' AND l_linestatus NOT IN ('F')) AS drift, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS allowed, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey")
+def status_by_module(spark, sf_dir):
+    """Best rank, drift outside an allow-list, and counters per module."""
+    rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    allowed = F.col("l_linestatus").isin("F")
+    return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min(rank).alias("best"), F.bool_or((F.col("l_returnflag") == "R") & ~allowed).alias("drift"), F.count_if(allowed).alias("allowed"), F.count("*").alias("n"))
+
+
+@query("""SELECT c_nationkey, CASE WHEN count(*) FILTER (WHERE c_custkey % 4 <> 0) > 0 THEN sha256(string_agg(c_custkey || ':' || CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE sha256(c_name) END, '|' ORDER BY c_custkey)) END AS composite FROM customer WHERE c_custkey < 1000 AND (c_nationkey <> 3 OR c_custkey % 4 = 0) GROUP BY c_nationkey""")
+def composite_hash(spark, sf_dir):
+    """One hash over a module's members in order, with a placeholder for a member that is missing; null if all are. A module has few members."""
+    c = _table(spark, sf_dir, "customer").where("c_custkey < 1000 and (c_nationkey != 3 or c_custkey % 4 = 0)")
+    present = c.where("c_custkey % 4 != 0").select(F.col("c_custkey").alias("_key"), F.sha2(F.col("c_name").cast("binary"), 256).alias("h"))
+    rows = c.select("c_nationkey", "c_custkey").join(present, F.col("c_custkey") == F.col("_key"), "left")
+    member = F.concat(F.col("c_custkey").cast("string"), F.lit(":"), F.coalesce("h", F.lit("missing")))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", member.alias("m")))), lambda x: x["m"]), "|")
+    return rows.groupBy("c_nationkey").agg(F.count("h").alias("n"), joined.alias("j")).select("c_nationkey", F.when(F.col("n") > 0, F.sha2(F.col("j").cast("binary"), 256)).alias("composite"))
+
+
+@query("SELECT 'cat' || n_regionkey AS catalogue, m.model, n_name AS question, CAST(row_number() OVER (ORDER BY n_regionkey, m.ix, n_nationkey) AS INTEGER) AS pos FROM nation, (VALUES ('m1', 1), ('m2', 2)) m(model, ix) WHERE n_regionkey <> 4")
+def catalogue_grid(spark, sf_dir):
+    """Question catalogues found as files, each crossed with the models, in the order of catalogue, model and question."""
+    root = sinks.landing(spark, "catalogues")
+    n = _table(spark, sf_dir, "nation")
+    body = F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("questions")))
+    n.groupBy(F.when(F.col("n_regionkey") == 4, F.lit("other")).otherwise(F.concat(F.lit("cat"), "n_regionkey")).alias("catalogue")).agg(body.alias("value")).write.partitionBy("catalogue").text(root)
+    found = files.text_files(spark, root, "*.txt").select(F.regexp_extract("path", "catalogue=([^/]+)/", 1).alias("catalogue"), F.posexplode(F.from_json("text", "questions array<string>")["questions"]).alias("ix", "question")).where("catalogue like 'cat%'")
+    models = spark.createDataFrame([("m1", 1), ("m2", 2)], "model string, m int")
+    pos = F.row_number().over(Window.orderBy("catalogue", "m", "ix"))  # a grid of a few dimensions
+    return found.crossJoin(F.broadcast(models)).select("catalogue", "model", "question", pos.alias("pos"))
+
+
+@query("SELECT DISTINCT p_brand AS module FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')")
+def resume_by_file(spark, sf_dir):
+    """Modules without a result file of their own; an empty file is no result."""
+    modules = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("module")).distinct()
+    root = sinks.landing(spark, "results")
+    done = modules.where("module in ('Brand#1', 'Brand#2', 'Brand#3')").select(F.replace("module", F.lit("#"), F.lit("_")).alias("name"), F.lit('{"killed": 1}').alias("value"))
+    done.write.partitionBy("name").text(root)
+    present = files.text_files(spark, root, "*.txt").where("length > 0").select(F.replace(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit("_"), F.lit("#")).alias("done")).distinct()
+    return modules.join(present, F.col("module") == F.col("done"), "left_anti")
