@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import table
 
-LISTS, CANDIDATES, QUERIES = 4, 16_384, 1_024
+#: Lists, and rows of a block of candidates and of queries: large blocks of queries, so that candidates are seldom copied.
+LISTS, CANDIDATES, QUERIES = 4, 8_192, 16_384
 
 
 def sorted_access(parts: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
