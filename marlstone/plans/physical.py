@@ -160,3 +160,12 @@ def contains_longest(spark, sf_dir):
 def _runs(m: int):
     """Hashes of all runs of m words of the array column w."""
     return F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(m))))
+
+
+@query
+def superset_label(spark, sf_dir):
+    """Short texts, and whether they are the last of their kind; texts are compared by their hashes."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.length("text").alias("n"))
+    last = d.groupBy("k").agg(F.max("doc_id").alias("last")).select("last")
+    rows = d.where("n < 500").join(last, F.col("doc_id") == F.col("last"), "left")
+    return rows.select("doc_id", F.when(F.col("last").isNull(), "test_only").otherwise("everywhere").alias("status"))
