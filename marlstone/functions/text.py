@@ -7,7 +7,13 @@ import fnmatch
 from pyspark.sql import Column, functions as F
 
 #: What counts as white space between words (Unicode, with the separators U+001C to U+001F).
-WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+#: What exported titles begin with, and where the site's name begins in exported file names.
+TITLE_PREFIXES, SITE = ("Unterhaltung mit Gemini", "Chat with Gemini", "Gemini"), " -  ?Google Gemini.*$"
+#: What a changed line holds when only its form or logging changed.
+FORMAT_HINTS = ("indent", "ensure_ascii", "sort_keys", "log.", "logger.", "logging.", "print(")
 
 
 def words(c: Column) -> Column:
@@ -43,7 +49,7 @@ def file_name(c: Column) -> Column:
     return _or_unknown(_without_ends(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|]', "_"), rf"[{WHITE}_]+", "_")))
 
 
-def export_name(c: Column, prefixes: tuple[str, ...] = ("Unterhaltung mit Gemini", "Chat with Gemini", "Gemini")) -> Column:
+def export_name(c: Column, prefixes: tuple[str, ...] = TITLE_PREFIXES) -> Column:
     """As file_name, after the first of the prefixes that fit in turn is cut off; underscores that were there stay."""
     t = F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+$", "")
     for p in prefixes:
@@ -59,7 +65,7 @@ def plain_name(c: Column) -> Column:
 def export_title(c: Column) -> Column:
     """The title in the name of an exported file: underscores as spaces, up to the site's name."""
     t = F.regexp_replace(F.regexp_replace(c, r"\.[^./]+$", ""), "_", " ")
-    return F.trim(F.regexp_replace(t, " -  ?Google Gemini.*$", ""))
+    return F.trim(F.regexp_replace(t, SITE, ""))
 
 
 def stamp(c: Column) -> Column:
@@ -123,7 +129,7 @@ def diff_side(c: Column, sign: str) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.trim(F.substring(x, F.lit(2), F.length(x)))), " ")
 
 
-def diff_kind(c: Column, hints: tuple[str, ...] = ("indent", "ensure_ascii", "sort_keys", "log.", "logger.", "logging.", "print(")) -> Column:
+def diff_kind(c: Column, hints: tuple[str, ...] = FORMAT_HINTS) -> Column:
     """format/log if a changed line holds a hint, else behaviour."""
     changed = F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
     text = F.array_join(F.transform(changed, lambda x: F.substring(x, F.lit(2), F.length(x))), " ")
