@@ -53,13 +53,33 @@ def _uuid(*parts: str) -> str:
     return f"concat('<urn:uuid:', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-5', substr({h}, 14, 3), '-8', substr({h}, 18, 3), '-', substr({h}, 21, 12), '>')"
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """Response records of a table of pages (page_id, url, html)."""
-    return pages.select(
-        F.col("page_id"), F.expr(_uuid("'response'", "coalesce(cast(page_id as string), '')", "coalesce(url, '')", "sha2(coalesce(html, ''), 256)")).alias("record_id"),
-        F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(NO_DATE).alias("date"), F.lit("Content-Type: text/html; charset=utf-8").alias("http_headers"), F.coalesce("html", F.lit("")).alias("payload"),
-        F.coalesce("html", F.lit("")).cast("binary").alias("raw"), *(F.lit("").alias(c) for c in ("warc_headers", "payload_digest", "block_digest")),
+#: The block of a page's response, before its payload.
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
+
+
+def response_records(pages: DataFrame) -> DataFrame:
+    """page_id and record: a whole WARC response record of each row of pages (page_id, url, html), with its declared payload digest. Null fields count as empty; line ends in a url end it."""
+    payload, uri = F.coalesce("html", F.lit("")), F.coalesce(F.regexp_extract("url", "^[^\r\n]*", 0), F.lit(""))
+    rows = pages.select("page_id", payload.alias("_payload"), uri.alias("_uri"), F.sha2(payload.cast("binary"), 256).alias("_digest"))
+    rows = rows.withColumn("_id", F.expr(_uuid("'response'", "coalesce(cast(page_id as string), '')", "_uri", "_digest")))
+    line = lambda name, *c: F.concat(F.lit(f"{name}: "), *c, F.lit("\r\n"))
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\n"), line("WARC-Record-ID", "_id"), line("WARC-Target-URI", "_uri"), line("WARC-Date", F.lit(NO_DATE)), line("WARC-Payload-Digest", F.lit("sha256:"), "_digest"),
+        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", (F.octet_length("_payload") + len(_HTTP) + 4).cast("string")), F.lit("\r\n"),
     )
+    return rows.select("page_id", F.concat(head, F.lit(_HTTP + "\r\n\r\n"), "_payload", F.lit("\r\n\r\n")).alias("record"))
+
+
+def responses(records: DataFrame, *keys: str) -> DataFrame:
+    """Responses (see RESPONSE) of records that each are one whole WARC record in UTF-8 (record): the header ends at the first blank line, the block is as long as it says."""
+    cut = "instr(record, '\\r\\n\\r\\n')"
+    rows = records.select(*keys, F.expr(f"substring(record, 1, {cut} - 1)").alias("_head"), F.expr(f"substring(record, {cut} + 4)").alias("_rest"))
+    of = lambda name: F.regexp_extract("_head", rf"(?im)^{name}: *([^\r\n]*)", 1)
+    rows = rows.withColumn("_block", F.expr("if(right(_rest, 4) = '\\r\\n\\r\\n', substring(_rest, 1, length(_rest) - 4), _rest)"))
+    payload = F.expr("if(instr(_block, '\\r\\n\\r\\n') > 0, substring(_block, instr(_block, '\\r\\n\\r\\n') + 4), '')")
+    http = F.expr("substring_index(_block, '\\r\\n\\r\\n', 1)")
+    rows = rows.where(of("WARC-Type") == "response").select(*keys, of("WARC-Record-ID").alias("record_id"), of("WARC-Target-URI").alias("target_uri"), of("WARC-Date").alias("date"), http.alias("http_headers"), payload.alias("payload"), F.col("_head").alias("warc_headers"), of("WARC-Payload-Digest").alias("payload_digest"), of("WARC-Block-Digest").alias("block_digest"))
+    return rows.withColumn("raw", F.col("payload").cast("binary"))
 
 
 def derivatives(found: DataFrame, *keys: str) -> DataFrame:
@@ -159,8 +179,8 @@ def as_warc(records: DataFrame):
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of all `pages`, taken as responses."""
-    return derivatives(responses(table(spark, sf_dir, "pages")), "page_id")
+    """Metadata and conversion records of all `pages`, each written as a WARC response record and read back from it."""
+    return derivatives(responses(response_records(table(spark, sf_dir, "pages")), "page_id"), "page_id")
 
 
 def _oracle() -> str:
@@ -171,15 +191,17 @@ def _oracle() -> str:
     uuid = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, {text} AS txt FROM pages),
-h AS (SELECT *, sha256('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri || '|' || sha256(payload)) AS hh FROM p),
-b AS (SELECT *, {uuid("hh")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest FROM h),
+h AS (SELECT *, sha256(payload) AS ph, sha256('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri || '|' || sha256(payload)) AS hh FROM p),
+b AS (SELECT *, {uuid("hh")} AS refers_to, 'sha256:' || ph AS source_digest, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' AS source_headers FROM h),
 r AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-    'source-record: ' || refers_to || chr(10) || 'source-uri: ' || target_uri || chr(10) || 'source-digest: ' || source_digest || chr(10) || 'source-length: ' || strlen(payload) || chr(10) || 'text-length: ' || strlen(txt) || chr(10) || 'source-headers: Content-Type: text/html; charset=utf-8' || chr(10) AS block FROM b
+    'source-record: ' || refers_to || chr(10) || 'source-uri: ' || target_uri || chr(10) || 'source-digest: ' || source_digest || chr(10) || 'source-length: ' || strlen(payload) || chr(10) || 'text-length: ' || strlen(txt) || chr(10)
+    || 'source-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8' || chr(10) || 'source-payload-digest: ' || source_digest || chr(10)
+    || 'source-warc-headers: WARC/1.1 | WARC-Type: response | WARC-Record-ID: ' || refers_to || ' | WARC-Target-URI: ' || target_uri || ' | WARC-Date: {NO_DATE} | WARC-Payload-Digest: ' || source_digest || ' | Content-Type: application/http; msgtype=response | Content-Length: ' || (strlen(payload) + 59) || chr(10) AS block FROM b
   UNION ALL SELECT *, 'conversion', 'text/plain', txt FROM b
 ), i AS (SELECT *, sha256(record_type || '|' || refers_to || '|' || sha256(block)) AS rh FROM r)
 SELECT page_id, record_type, {uuid("rh")} AS record_id, refers_to, target_uri, '{NO_DATE}' AS date, content_type,
-  'Content-Type: text/html; charset=utf-8' AS source_headers, source_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+  source_headers, source_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
 FROM i"""
 
 
