@@ -152,3 +152,12 @@ def test_files_and_json_lines(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{"a": \n\n{"a": 2}\n')
     good, bad = files.tolerant_json_lines(spark, str(tmp_path / "l.jsonl"), "a long")
     assert (good.count(), bad.count()) == (2, 1)
+
+
+def test_daily_counts_of_a_stream(spark, tmp_path):
+    rows = spark.sql("select timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id, 0, 0) as ts, if(id % 3 = 0, 'a', 'b') as event_type from range(60)")
+    rows.write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/events")
+    progress.daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r.day)[:10], r.event_type): r.n for r in spark.table("daily").collect()}
+    assert got == {(f"2024-01-0{d + 1}", t): sum(1 for i in range(60) if i // 24 == d and (i % 3 == 0) == (t == "a")) for d in range(3) for t in "ab"}
