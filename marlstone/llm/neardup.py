@@ -97,7 +97,7 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     start, stride = (element & np.uint64(REGISTERS - 1)).astype(np.int64), ((element >> np.uint64(8)) & np.uint64(REGISTERS - 1)).astype(np.int64) | 1
     for j in range(REGISTERS):
-        u = ((_mix(element + np.uint64(j + 1) * _MUL) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+        u = ((_mix(element + np.uint64((j + 1) * int(_MUL) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
         low, high = _ENDS[j], _ENDS[j + 1]
         value = low - np.log1p(u * np.expm1(low - high))  # exponential, truncated to the interval
         np.minimum.at(best.ravel(), owner * REGISTERS + ((start + j * stride) & (REGISTERS - 1)), value)
