@@ -316,7 +316,8 @@ def _across(rooted: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     kind = rooted.schema["id"].dataType.simpleString()
     per_root = rooted.groupBy("band", "root").agg(F.count("*").alias("c"))
     split = per_root.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1 and size > 2")
-    open_ = stored(rooted.join(split.select(F.col("band").alias("_band"), "main"), F.col("band") == F.col("_band")).where("id != hub").drop("_band"), "open")
+    split = stored(split.select(F.col("band").alias("_band"), "main"), "split")  # cut off, so that the join below may split hot bands
+    open_ = stored(rooted.join(bounded_broadcast(split), F.col("band") == F.col("_band")).where("id != hub").drop("_band"), "open")
     minor = open_.where("root != main")
     blocks = stored(minor.select("main", "id", "n").distinct().groupBy(F.col("main").alias("_main")).agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("_blocks")), "block_counts")
     minor = minor.join(bounded_broadcast(blocks), F.col("main") == F.col("_main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks"))).drop("_main", "_blocks")
