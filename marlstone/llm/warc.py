@@ -40,12 +40,18 @@ def _quoted(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r")
 
 
-def plain_text(html: str):
-    """Column: the page's text."""
-    e = f"coalesce({html}, '')"
-    for pattern, to in TO_TEXT:
-        e = f"regexp_replace({e}, '{_quoted(pattern)}', '{_quoted(to)}')"
-    return F.expr(e)
+def with_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """rows with the page's text, as the rewrites of TO_TEXT in turn make it; one that cannot match, as a plain search shows, is left out, and ends are trimmed without a pattern."""
+    again = lambda rows, n, needed=None: rows.withColumn(name, F.expr(f"regexp_replace({name}, '{_quoted(TO_TEXT[n][0])}', '{_quoted(TO_TEXT[n][1])}')") if needed is None else F.when(needed, F.expr(f"regexp_replace({name}, '{_quoted(TO_TEXT[n][0])}', '{_quoted(TO_TEXT[n][1])}')")).otherwise(F.col(name)))
+    rows = again(rows.withColumn(name, F.coalesce(html, F.lit(""))), 0, F.contains(name, F.lit("<!--")))
+    for n in range(1, 6):
+        rows = again(rows, n)
+    rows = rows.withColumn("_low", F.lower(name))
+    for n in range(6, 14):  # entities
+        rows = again(rows, n, F.contains("_low", F.lit(TO_TEXT[n][0].removeprefix("(?i)"))))
+    rows = rows.drop("_low").withColumn(name, F.translate(name, "\t\r", "  "))
+    rows = rows.withColumn(name, F.when(F.contains(name, F.lit("  ")), F.regexp_replace(name, "  +", " ")).otherwise(F.col(name)))
+    return again(rows, 15, F.contains(name, F.lit("\n"))).withColumn(name, F.expr(f"trim(both ' \\n' from {name})"))
 
 
 def _uuid(*parts: str) -> str:
@@ -74,11 +80,12 @@ def responses(records: DataFrame, *keys: str) -> DataFrame:
     """Responses (see RESPONSE) of records that each are one whole WARC record in UTF-8 (record): the header ends at the first blank line, the block is as long as it says."""
     cut = "instr(record, '\\r\\n\\r\\n')"
     rows = records.select(*keys, F.expr(f"substring(record, 1, {cut} - 1)").alias("_head"), F.expr(f"substring(record, {cut} + 4)").alias("_rest"))
+    rows = rows.withColumn("_block", F.expr("if(right(_rest, 4) = '\\r\\n\\r\\n', substring(_rest, 1, length(_rest) - 4), _rest)")).withColumn("_at", F.expr("instr(_block, '\\r\\n\\r\\n')"))
     of = lambda name: F.regexp_extract("_head", rf"(?im)^{name}: *([^\r\n]*)", 1)
-    rows = rows.withColumn("_block", F.expr("if(right(_rest, 4) = '\\r\\n\\r\\n', substring(_rest, 1, length(_rest) - 4), _rest)"))
-    payload = F.expr("if(instr(_block, '\\r\\n\\r\\n') > 0, substring(_block, instr(_block, '\\r\\n\\r\\n') + 4), '')")
-    http = F.expr("substring_index(_block, '\\r\\n\\r\\n', 1)")
-    rows = rows.where(of("WARC-Type") == "response").select(*keys, of("WARC-Record-ID").alias("record_id"), of("WARC-Target-URI").alias("target_uri"), of("WARC-Date").alias("date"), http.alias("http_headers"), payload.alias("payload"), F.col("_head").alias("warc_headers"), of("WARC-Payload-Digest").alias("payload_digest"), of("WARC-Block-Digest").alias("block_digest"))
+    http, payload = F.expr("if(_at > 0, substring(_block, 1, _at - 1), _block)"), F.expr("if(_at > 0, substring(_block, _at + 4), '')")
+    found = F.struct(of("WARC-Record-ID").alias("record_id"), of("WARC-Target-URI").alias("target_uri"), of("WARC-Date").alias("date"), http.alias("http_headers"), payload.alias("payload"), F.col("_head").alias("warc_headers"), of("WARC-Payload-Digest").alias("payload_digest"), of("WARC-Block-Digest").alias("block_digest"))
+    # other records go by an empty array: a filter would be moved below and make each record twice
+    rows = rows.select(*keys, F.explode(F.when(of("WARC-Type") == "response", F.array(found))).alias("r")).select(*keys, "r.*")
     return rows.withColumn("raw", F.col("payload").cast("binary"))
 
 
@@ -91,7 +98,8 @@ def derivatives(found: DataFrame, *keys: str) -> DataFrame:
     text = lambda c: F.coalesce(c, F.lit(""))
     declared = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(c, "\r?\n", " | "), F.lit("\n"))).otherwise(F.lit(""))
     base = found.select(*keys, *(text(c).alias(c) for c in ("record_id", "target_uri", "http_headers", "payload", "warc_headers")), text(F.col("payload_digest")).alias("_payload_digest"), text(F.col("block_digest")).alias("_block_digest"), F.coalesce("raw", text(F.col("payload")).cast("binary")).alias("raw"), F.coalesce("date", F.lit(NO_DATE)).alias("date"))
-    base = base.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2("raw", 256))).withColumn("_text", plain_text("payload"))
+    base = base.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2("raw", 256)))
+    base = with_text(base, "payload", "_text")
     fields = F.concat(F.lit("source-record: "), "record_id", F.lit("\nsource-uri: "), "target_uri", F.lit("\nsource-digest: "), "source_digest", F.lit("\nsource-length: "), F.octet_length("raw").cast("string"), F.lit("\ntext-length: "), F.octet_length("_text").cast("string"), F.lit("\nsource-headers: "), F.regexp_replace("http_headers", "\r?\n", " | "), F.lit("\n"), declared("source-payload-digest", "_payload_digest"), declared("source-block-digest", "_block_digest"), declared("source-warc-headers", "warc_headers"))
     record = lambda kind, mime, block: F.struct(F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     rows = base.select("*", F.explode(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("_text")))).alias("r"))
