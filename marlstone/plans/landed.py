@@ -282,6 +282,11 @@ def tool_calls(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", jsonx.is_tool_call(F.get(F.array(*map(F.lit, replies)), (F.col("turn") % 9).cast("int"))).alias("accepted"))
 
 
+@query("SELECT event_id, regexp_replace(props, ': *-?[0-9]+', ':0') AS props FROM events")
+def json_anonymize(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", jsonx.anonymized("props").alias("props"))
+
+
 # Mutation results
 
 

@@ -407,11 +407,6 @@ def json_fields(d):
     return f"select event_id, {d.json_long('props', 'k')} as k from {d.table('events')}"
 
 
-@plan
-def json_anonymize(d):
-    return f"select event_id, {d.replace_all('props', ': *-?[0-9.]+', ': 0')} as props from {d.table('events')}"
-
-
 @plan
 def log_category(d):
     return f"select conv_id, turn, case when {d.matches('lower(text)', 'error|fail')} then 'error' when {d.matches('text', '[0-9]+')} then 'calls' when {d.matches('text', '[#=]')} then 'section' else 'other' end as category from {d.table('conversations')}"
