@@ -232,7 +232,7 @@ def _configs(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     sep = F.when(k % 2 == 0, ";").otherwise(",")
-    row = lambda *cells: F.concat(F.concat_ws(sep, *cells) if False else F.array_join(F.array(*cells), "\x01"), F.lit("\n"))
+    row = lambda *cells: F.concat(F.array_join(F.array(*cells), "\x01"), F.lit("\n"))
     name = F.when(k % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit("doc"), k % 9))
     body = F.concat(row(F.lit("Quelle"), F.lit("S1"), F.lit("TARGET")), row(name, F.concat(F.lit('"m'), sep, F.lit('""1"""')), F.lit(" FR ")), F.lit("\n"), row(F.lit("doc1"), F.lit(""), F.lit("")))
     return c.select(k.cast("string").alias("path"), F.concat(F.when(k % 3 == 0, F.concat(F.lit("﻿sep="), sep, F.lit("\n"))).otherwise(F.when(k % 3 == 1, F.lit("﻿")).otherwise(F.lit(""))), F.replace(body, F.lit("\x01"), sep)).alias("text"))
