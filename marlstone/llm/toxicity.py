@@ -251,7 +251,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
     ids = known.where(((F.col("y") == 1) & keep(max_toxic, ones)) | ((F.col("y") == 0) & keep(max_clean, n - ones)))
     texts = docs.select("doc_id", "text")
     hashes = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "y", F.xxhash64("text").alias("h"))
-    picked = stored(hashes.groupBy("h").agg(F.min("doc_id").alias("_id"), F.max("y").alias("y"))  , "picked").select("_id", "y")
+    picked = stored(hashes.groupBy("h").agg(F.min("doc_id").alias("_id"), F.max("y").alias("y")), "picked").select("_id", "y")
     return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "y"), ones / n if n else 0.0
 
 
