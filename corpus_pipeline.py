@@ -48,7 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at, nth, places, place = (_free(x, docs) for x in ("row_at", "row_nth", "row_places", "row_place"))
     taken = mixing.mix(docs, hashed=True).select("row_hash", F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("shard_order")).alias("p"))
     taken = taken.groupBy(F.col("row_hash").alias(at)).agg(F.sort_array(F.collect_list("p")).alias(places))
-    rows = docs.withColumn(nth, F.row_number().over(Window.partitionBy(mixing.row_hash()).orderBy(F.xxhash64(*docs.columns)))).withColumn(f"{at}_", mixing.row_hash())
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # what can be hashed
+    rows = docs.withColumn(nth, F.row_number().over(Window.partitionBy(mixing.row_hash()).orderBy(F.xxhash64(*plain)))).withColumn(f"{at}_", mixing.row_hash())
     rows = rows.join(taken, F.col(f"{at}_") == F.col(at)).withColumn(place, F.explode(F.get(places, F.col(nth) - 1)))
     return rows.select(*docs.columns, F.col(f"{place}.shard").alias(_free("shard", docs)), F.col(f"{place}.shard_order").alias(_free("shard_order", docs)))
 
