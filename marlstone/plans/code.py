@@ -76,6 +76,7 @@ def _filled(template: str) -> str:
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: one module a part."""
     keys = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as k", "p_size as s", "p_partkey % 50 as j", "p_partkey % 50 % 5 as m", "p_partkey % 30 as i")
+    keys = keys.repartition(spark.sparkContext.defaultParallelism, "k")  # a small table of keys stands for many sources to parse
     chosen = lambda options, n: f"element_at(array({', '.join(map(repr, options))}), cast(k % {n} + 1 as int))"
     keys = keys.selectExpr("*", f"{chosen(HANDLERS, 6)} as handler", f"{chosen(BODIES, 7)} as body")
     text = f"case when k % 23 = 0 then 'def (' when k % 29 = 0 then null when k % 10 = 3 then {_filled(FACADE)} else {_filled(MODULE)} end"

@@ -4,7 +4,7 @@
 class Spark:
     nl, null_safe, day = "'\\n'", "<=>", "to_date"
     table = staticmethod(lambda name: "{" + name + "}")
-    words = staticmethod(lambda x: f"cast(regexp_count({x}, '[^\\t-\\r\\u001c- \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+') as bigint)")
+    words = staticmethod(lambda x: f"cast(regexp_count(translate({x}, '\\u001c\\u001d\\u001e\\u001f\\u0085\\u00a0\\u1680\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000', '{' ' * 23}'), '\\\\S+') as bigint)")
     bytes = staticmethod(lambda x: f"octet_length({x})")
     sha1_blob = staticmethod(lambda x: f"sha1(concat(encode(concat('blob ', octet_length({x})), 'utf-8'), X'00', encode({x}, 'utf-8')))")
     sha256 = staticmethod(lambda x: f"sha2({x}, 256)")
