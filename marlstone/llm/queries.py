@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import topk, warc
+from . import branches, periodic, repeats, topk, warc
 from .fingerprint import op3_fingerprints
 from .mixing import op9_mixing
 from .neardup import op4_neardup
@@ -21,5 +21,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op11_merge": branches.op11_merge,
+    "op12_runs": periodic.op12_runs,
+    "op13_repeats": repeats.op13_repeats,
 }
-ORACLE_SQL = {"op5_topk": topk.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op5_topk": topk.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op11_merge": branches.ORACLE_SQL, "op12_runs": periodic.ORACLE_SQL, "op13_repeats": repeats.ORACLE_SQL}
