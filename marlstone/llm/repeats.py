@@ -14,7 +14,8 @@ all columns gives each row its matching statistics: where its prefix of WIDTH by
 are neighbours, and all but the one that starts first in the corpus are repeats.
 
 An anchor with more than HOT places could fill a task. Such anchors, known from the count, send a row for each of their
-strings instead, a hash of 128 bits, whose first place is found by an aggregation that combines before it shuffles.
+strings instead, a hash of 128 bits, whose first place is found by an aggregation; equal strings of a batch are
+settled there, so that a string sends a row a batch at most.
 """
 
 from __future__ import annotations
@@ -158,9 +159,10 @@ def _contexts(held, hot, batches):
 
 
 def _strings(hot, batches):
-    """Each string of hot anchors: the text's key, where it starts, and 128 bits of hash."""
+    """Strings of hot anchors: the text's key, where one starts, 128 bits of hash, and whether it is settled. Of a batch's equal strings the first goes on; the others are repeats, whatever else the corpus holds."""
     for b in batches:
         data, starts = _bytes_of(b.column(2))
+        parts: list[list] = [[] for _ in range(4)]
         for g, first, at, begin, end in anchors(data, starts):
             keep = np.asarray(in_bit_table(hot.value, pa.array(g[at - first].view(np.int64))))
             begin, end = begin[keep], end[keep]
@@ -169,10 +171,20 @@ def _strings(hot, batches):
             n = end - begin + 1
             place = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             chunk = data[first : first + CHUNK + WIDTH - 1]
-            w1, w2 = (gram_hashes(chunk, seed)[1][place - first].view(np.int64) for seed in (1, 0x5851F42D))
             doc = np.searchsorted(starts, place, "right") - 1
-            where = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), *(pa.array(x) for x in (place - starts[doc], w1, w2))], ["doc", "tie", "start", "w1", "w2"])
+            for part, x in zip(parts, (doc, place - starts[doc], *(gram_hashes(chunk, seed)[1][place - first].view(np.int64) for seed in (1, 0x5851F42D)))):
+                part.append(x)
+        if not parts[0]:
+            continue
+        doc, start, w1, w2 = (np.concatenate(p) for p in parts)
+        key, tie = (np.asarray(b.column(i))[doc] for i in (0, 1))
+        by = np.lexsort([start, tie, key, w2, w1])
+        key, tie, start, w1, w2 = (x[by] for x in (key, tie, start, w1, w2))
+        fresh = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        own = (key == key[head]) & (tie == tie[head]) & (start == start[head])  # rows that repeat as a whole have the same places
+        use = fresh | ~own
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[use]) for x in (key, tie, start, w1, w2)), pa.array(~fresh[use])], ["doc", "tie", "start", "w1", "w2", "settled"])
 
 
 def _between(least: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -345,10 +357,11 @@ def long_repeats(docs: DataFrame, hot_places: int = HOT) -> DataFrame:
     found = mapped(keyed, partial(_contexts, held, hot), "doc long, tie long, h long, h2 int, at long, lo byte, hi byte, context binary")
     marks = mapped(found.repartition("h").sortWithinPartitions("h", "h2"), _indexed, "doc long, tie long, start long, end long")
     if hot is not None:
-        strings = mapped(keyed, partial(_strings, hot), "doc long, tie long, start long, w1 long, w2 long")
+        strings = stored(mapped(keyed, partial(_strings, hot), "doc long, tie long, start long, w1 long, w2 long, settled boolean"), "strings")
         place = F.struct("doc", "tie", "start")
-        firsts = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"))
-        later = strings.join(firsts, ["w1", "w2"]).where(place != F.col("first"))
+        open_ = strings.where("not settled")
+        firsts = open_.groupBy("w1", "w2").agg(F.min(place).alias("first"))
+        later = open_.join(firsts, ["w1", "w2"]).where(place != F.col("first")).select("doc", "tie", "start").unionAll(strings.where("settled").select("doc", "tie", "start"))
         marks = marks.unionByName(later.select("doc", "tie", "start", (F.col("start") + WIDTH).alias("end")))
     marks = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
