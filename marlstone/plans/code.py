@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import sinks
 from ..operators import code_graph, pyast, reports
+from ..sources import files as sources
 
 #: One module; @x@ marks stand for columns of `part`.
 MODULE = '''import os, json as js
@@ -242,6 +244,18 @@ def import_resolution(spark, sf_dir):
     return code_graph.resolved_imports(pyast.python_facts(files), files).select("path", "full", "lineno", "resolved")
 
 
+@query(f"""SELECT path, "full", CAST(lineno AS BIGINT) AS lineno, CASE WHEN "full" = 'mod' || i THEN 'pkg' || (i % 5) || '/mod' || i || '.py' WHEN "full" LIKE 'pkg%' THEN 'pkg' || m || '/mod' || j || '.py' END AS resolved FROM ({_IMPORTS}) JOIN src USING (path)""")
+def folder_imports(spark, sf_dir):
+    """The same from a folder of source files: the sources are landed as one file each, walked, parsed and resolved."""
+    root = sinks.landing(spark, "sources")
+    named = modules(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value"), F.split("path", "/")[0].alias("package"), F.regexp_extract("path", r"/(.*)\.py$", 1).alias("module"))
+    named.write.partitionBy("package", "module").text(root)
+    found = sources.text_files(spark, root, "*.txt", skip_names=("_SUCCESS",))
+    files = found.select(F.concat_ws("", F.regexp_extract("path", "package=([^/]+)/", 1), F.lit("/"), F.regexp_extract("path", "module=([^/]+)/", 1), F.lit(".py")).alias("path"), "text")
+    files = sinks.kept(files.repartition(spark.sparkContext.defaultParallelism, "path"), "files")
+    return code_graph.resolved_imports(code_graph.fact_table(files), files.select("path")).select("path", "full", "lineno", "resolved")
+
+
 _EDGES = """SELECT path, lineno, func, via, callee FROM (SELECT path, unnest([22, 41, 41]) AS lineno, unnest(['run', 'f', 'h']) AS func, unnest(['attribute', 'from-import', 'from-import']) AS via, 'pkg' || m || '/mod' || j || '.py' AS callee FROM good
   UNION ALL SELECT path, 28, '_load', 'from-import', 'pkg' || (i % 5) || '/mod' || i || '.py' FROM good) WHERE callee <> path"""
 
@@ -249,7 +263,7 @@ _EDGES = """SELECT path, lineno, func, via, callee FROM (SELECT path, unnest([22
 @query(f"SELECT path AS caller, CAST(lineno AS BIGINT) AS lineno, func, via, callee FROM ({_EDGES})")
 def call_edges(spark, sf_dir):
     files = modules(spark, sf_dir)
-    return code_graph.call_edges(pyast.python_facts(files), files)
+    return code_graph.call_edges(code_graph.fact_table(files), files)
 
 
 @query(f"SELECT callee, CAST(count(*) AS BIGINT) AS usages, CAST(count(DISTINCT path) AS BIGINT) AS n_callers FROM ({_EDGES}) GROUP BY ROLLUP (callee)")
@@ -262,7 +276,7 @@ def call_usages(spark, sf_dir):
   LEFT JOIN (SELECT t, count(DISTINCT path) AS n FROM (SELECT path, unnest([j, i]) AS t FROM good UNION ALL SELECT path, unnest([j, i]) FROM facade) GROUP BY t) i ON i.t = s.k""")
 def import_degrees(spark, sf_dir):
     files = modules(spark, sf_dir)
-    return code_graph.degrees(code_graph.resolved_imports(pyast.python_facts(files), files), files)
+    return code_graph.degrees(code_graph.resolved_imports(code_graph.fact_table(files), files), files)
 
 
 _FOUND = "i > 0 AND i % 10 <> 3 AND i NOT IN (23, 29)"
@@ -277,7 +291,7 @@ _FOUND = "i > 0 AND i % 10 <> 3 AND i NOT IN (23, 29)"
   UNION ALL SELECT f.path, 'L', CASE WHEN t.k IS NULL THEN 'unresolved' ELSE 'neighbour' END, t.path, CAST(t.s AS VARCHAR) FROM facade f LEFT JOIN good t ON t.k = f.j)""")
 def import_relations(spark, sf_dir):
     files = modules(spark, sf_dir)
-    return code_graph.import_relations(pyast.python_facts(files), files)
+    return code_graph.import_relations(code_graph.fact_table(files), files)
 
 
 @query("SELECT path, CAST(code AS BIGINT) AS code, CAST(prose AS BIGINT) AS prose, CASE WHEN code + prose = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(code AS DOUBLE) * 100 / (code + prose) END AS code_pct FROM (SELECT path, CASE v WHEN 'good' THEN 41 WHEN 'facade' THEN 3 WHEN 'broken' THEN 1 ELSE 0 END AS code, CASE v WHEN 'good' THEN 3 ELSE 0 END AS prose FROM src)")
@@ -294,4 +308,4 @@ def signature_check(spark, sf_dir):
     k = F.regexp_extract("path", r"mod(\d+)\.py$", 1)
     listed = F.array(*map(F.lit, (" def main(", "class Widget(Base):", "def inner")), F.concat(F.lit("LIMIT_"), k, F.lit(" =")), *map(F.lit, ("def Widget()", "class Nope", "nothing like it")))
     wanted = files.select(F.when(k.cast("long") % 19 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")).alias("path"), F.explode(listed).alias("signature"))
-    return code_graph.signatures(wanted, files, pyast.python_facts(files))
+    return code_graph.signatures(wanted, files, code_graph.fact_table(files))

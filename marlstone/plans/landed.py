@@ -683,17 +683,6 @@ def status_by_module(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min(rank).alias("best"), F.bool_or((F.col("l_returnflag") == "R") & ~allowed).alias("drift"), F.count_if(allowed).alias("allowed"), F.count("*").alias("n"))
 
 
-@query("""SELECT c_nationkey, CASE WHEN count(*) FILTER (WHERE c_custkey % 4 <> 0) > 0 THEN sha256(string_agg(c_custkey || ':' || CASE WHEN c_custkey % 4 = 0 THEN 'missing' ELSE sha256(c_name) END, '|' ORDER BY c_custkey)) END AS composite FROM customer WHERE c_custkey < 1000 AND (c_nationkey <> 3 OR c_custkey % 4 = 0) GROUP BY c_nationkey""")
-def composite_hash(spark, sf_dir):
-    """One hash over a module's members in order, with a placeholder for a member that is missing; null if all are. A module has few members."""
-    c = _table(spark, sf_dir, "customer").where("c_custkey < 1000 and (c_nationkey != 3 or c_custkey % 4 = 0)")
-    present = c.where("c_custkey % 4 != 0").select(F.col("c_custkey").alias("_key"), F.sha2(F.col("c_name").cast("binary"), 256).alias("h"))
-    rows = c.select("c_nationkey", "c_custkey").join(present, F.col("c_custkey") == F.col("_key"), "left")
-    member = F.concat(F.col("c_custkey").cast("string"), F.lit(":"), F.coalesce("h", F.lit("missing")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", member.alias("m")))), lambda x: x["m"]), "|")
-    return rows.groupBy("c_nationkey").agg(F.count("h").alias("n"), joined.alias("j")).select("c_nationkey", F.when(F.col("n") > 0, F.sha2(F.col("j").cast("binary"), 256)).alias("composite"))
-
-
 @query("SELECT 'cat' || n_regionkey AS catalogue, m.model, n_name AS question, CAST(row_number() OVER (ORDER BY n_regionkey, m.ix, n_nationkey) AS INTEGER) AS pos FROM nation, (VALUES ('m1', 1), ('m2', 2)) m(model, ix) WHERE n_regionkey <> 4")
 def catalogue_grid(spark, sf_dir):
     """Question catalogues found as files, each crossed with the models, in the order of catalogue, model and question."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import sinks
 from ..functions import text
-from ..operators import chunks, ranking, rules
+from ..operators import automaton, chunks, intervals, merkle, phrases, ranking, rules
 
 QUERIES: dict = {}
 
@@ -75,29 +78,42 @@ def hit_context(spark, sf_dir):
     return _hits(spark, sf_dir).select("doc_id", "lineno", "target", (F.regexp_count("context", F.lit("\n")) + 1).cast("long").alias("n"), "context")
 
 
+def _versions(spark, sf_dir):
+    """Two versions of the documents of each source: source, doc_id, hash."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text"))
+    hashed = lambda rows: rows.select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return hashed(d.where("doc_id % 10 != 1")), hashed(d.where("doc_id % 10 != 2").withColumn("text", edited))
+
+
 @query
 def hash_status(spark, sf_dir):
-    """Member hashes are put together by buckets of ids, and the buckets' hashes by source: no row holds more than a bucket's, or one a bucket."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    hashed = lambda order, x: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, x.alias("x")))), lambda s: s["x"]), "|").cast("binary"), 256)
+    """Roots of two versions of each source's hash tree."""
+    one, two = _versions(spark, sf_dir)
+    return merkle.status(merkle.tree(one, "source", "doc_id", "hash"), merkle.tree(two, "source", "doc_id", "hash")).withColumnRenamed("group", "source")
 
-    def by_source(rows, name):
-        buckets = rows.withColumn("b", F.expr("doc_id div 64")).groupBy("source", "b").agg(hashed("doc_id", F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
-        return buckets.groupBy(F.col("source").alias(f"{name}_source")).agg(hashed("b", F.col("h")).alias(name))
 
-    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text"))
-    one = by_source(d.where("doc_id % 10 != 1"), "x")
-    two = by_source(d.where("doc_id % 10 != 2").withColumn("text", edited), "y")
-    rows = one.join(two, F.col("x_source") == F.col("y_source"), "full_outer")
-    return rows.select(F.coalesce("x_source", "y_source").alias("source"), F.when(F.col("x").isNull(), "new").when(F.col("y").isNull(), "unreadable").when(F.col("x") == F.col("y"), "unchanged").otherwise("changed").alias("status"))
+@query
+def hash_changed(spark, sf_dir):
+    """The members that differ between two versions, found from the roots of their trees."""
+    return merkle.changed_members(*_versions(spark, sf_dir), "source", "doc_id", "hash")
+
+
+@query
+def composite_hash(spark, sf_dir):
+    """One hash over all members of a nation in order, with a placeholder for a member that is missing; null if all are."""
+    c = _table(spark, sf_dir, "customer").where("c_nationkey != 3 or c_custkey % 4 = 0")
+    members = c.select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.sha2(F.col("c_name").cast("binary"), 256)).alias("hash"))
+    return merkle.roots(merkle.tree(members, "c_nationkey", "c_custkey", "hash")).select(F.col("group").alias("c_nationkey"), F.col("hash").alias("composite"))
 
 
 @query
 def silo_gaps(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    users = lambda t, name: e.where(F.col("event_type") == t).select(F.col("user_id").alias(name)).distinct()
-    gap = lambda a, b: users(a, "user_id").join(users(b, "_user"), F.col("user_id") == F.col("_user"), "left_anti").select(F.lit(f"{a}_without_{b}").alias("gap"), "user_id")
-    return gap("view", "click").unionAll(gap("click", "view")).unionAll(gap("purchase", "click")).unionAll(gap("click", "purchase"))
+    """Users of a day with one kind of event and without another, both ways."""
+    e = _table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    seen = e.where("user_id is not null").groupBy("user_id", "day").agg(*(F.bool_or(F.col("event_type") == t).alias(t) for t in ("view", "click", "purchase")))
+    pairs = F.array(*(F.when(F.col(a) & ~F.col(b), F.lit(f"{a}_without_{b}")) for a, b in (("view", "click"), ("click", "view"), ("purchase", "click"), ("click", "purchase"))))
+    return seen.select(F.explode(F.array_compact(pairs)).alias("gap"), "user_id", "day")
 
 
 @query
@@ -118,13 +134,29 @@ def nulls_last_sort(spark, sf_dir):
 
 @query
 def interval_overlap(spark, sf_dir):
-    """Intervals of an hour meet only within the same or neighbouring hours: joined by user and hour, each pair once."""
-    v = _table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    hour = F.floor(F.col("s") / 3600)
-    a = v.select("user_id", F.col("event_id").alias("a_id"), F.col("s").alias("a_s"), hour.alias("a_hour"))
-    b = v.select(F.col("user_id").alias("_user"), F.col("event_id").alias("b_id"), F.col("s").alias("b_s"), F.explode(F.array(hour - 1, hour, hour + 1)).alias("b_hour"))
-    both = a.join(b, (F.col("user_id") == F.col("_user")) & (F.col("a_hour") == F.col("b_hour")))
-    return both.where("a_id < b_id and a_s < b_s + 3600 and b_s < a_s + 3600").select("user_id", "a_id", "b_id")
+    """Pairs of a user's views of which one begins within the hour of the other."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    v = _table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", at.alias("s"), (at + 3600).alias("e"))
+    return intervals.overlaps(v, "user_id", "event_id", "s", "e")
+
+
+@query
+def interval_any(spark, sf_dir):
+    """Overlaps of intervals from five seconds to a week."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    length = F.element_at(F.array(*map(F.lit, (5, 60, 900, 7_200, 86_400, 604_800))), (F.col("event_id") % 6 + 1).cast("int"))
+    v = _table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").select("user_id", "event_id", at.alias("s"), (at + length).alias("e"))
+    return intervals.overlaps(v, "user_id", "event_id", "s", "e")
+
+
+@query
+def phrase_coverage(spark, sf_dir):
+    """Names of all parts, and the first words of all benchmark items, and in how many documents and places they stand as phrases."""
+    index = phrases.index(_table(spark, sf_dir, "documents"), "doc_id")
+    asked = _table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).unionAll(_table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", "[^A-Za-z]+"), 1, 3), " ").alias("text"))).distinct().withColumn("phrase", F.col("text"))
+    hits = phrases.found(index, asked, "doc_id", "phrase").groupBy(F.col("phrase").alias("_phrase")).agg(F.count("*").alias("documents"), F.sum("n").alias("places"))
+    rows = asked.join(hits, F.col("phrase") == F.col("_phrase"), "left")
+    return rows.select("phrase", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "places")))
 
 
 @query
@@ -137,29 +169,17 @@ def series_retention(spark, sf_dir):
 
 @query
 def contains_longest(spark, sf_dir):
-    """Items that a document holds, found by a run of their inner words, which then stand whole in the document, and checked on the texts."""
-    d = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    b = _table(spark, sf_dir, "benchmark").where("text is not null")
-    words = lambda c: F.split(c, r"\s+", -1)
-    inner = F.slice(words(F.col("item")), F.lit(2), F.greatest(F.size(words(F.col("item"))) - 2, F.lit(0)))
-    items = b.select("item_id", F.col("text").alias("item")).withColumn("inner", inner).withColumn("m", F.least(F.size("inner"), F.lit(5)))
-    items = items.withColumn("anchor", F.xxhash64(F.slice("inner", F.lit(1), F.greatest("m", F.lit(0)))))
-    runs = d.withColumn("w", words(F.col("text")))
-    lengths = [r.m for r in items.select("m").distinct().collect()]  # 0 to 5
-    found = None
-    for m in lengths:
-        own = items.where(F.col("m") == m).select("item_id", "item", "anchor")
-        anchors = F.array(F.xxhash64(F.array().cast("array<string>"))) if m == 0 else F.array_distinct(_runs(m))
-        rows = (runs if m == 0 else runs.where(F.size("w") >= m)).select("doc_id", "text", F.explode(anchors).alias("anchor")).join(own, "anchor").where(F.contains("text", F.col("item"))).select("doc_id", "item_id", F.length("item").alias("n_item"))
-        found = rows if found is None else found.unionAll(rows)
-    if found is None:
-        return d.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n"))
-    return found.distinct().groupBy("doc_id").agg(F.max_by("item_id", F.struct("n_item", -F.col("item_id"))).alias("item_id"), F.count("*").alias("n"))
-
-
-def _runs(m: int):
-    """Hashes of all runs of m words of the array column w."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(m))))
+    """The longest item that a document holds, and how many it holds; all items are looked for in one pass over a text."""
+    found = automaton.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return found.groupBy("doc_id").agg(F.max_by("item_id", F.struct("size", -F.col("item_id"))).alias("item_id"), F.count("*").alias("n"))
+
+
+@query
+def rule_index(spark, sf_dir):
+    """Rules made of each benchmark item: its first three words as text, its last two with any blanks between them, and text that is no regular expression; the first rule of a line and target counts."""
+    items = sinks.bounded(_table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.regexp_extract("text", "^([^ \n]+ [^ \n]+ [^ \n]+)", 1).alias("head"), F.regexp_extract("text", "([a-z]+)[ ]+([a-z]+)[.]?$", 1).alias("last"), F.regexp_extract("text", "([a-z]+)[ ]+([a-z]+)[.]?$", 2).alias("end")).orderBy("item_id"))
+    listed = [(f"t{r.item_id % 3}", p) for r in items for p in (re.sub(r"([.+*?()\[\]{}|^$\\])", r"\\\1", r.head) if r.head else None, f"{r.last}[ ]+{r.end}" if r.last else None, f"({r.item_id}(") if p]
+    return rules.indexed_hits(_table(spark, sf_dir, "documents"), listed, key="doc_id").select("doc_id", "lineno", "target", "pattern")
 
 
 @query

@@ -269,10 +269,23 @@ def sync_plan(d):
 
 @plan
 def hash_status(d):
-    bar = "'|'"
-    buckets = lambda t: f"(select source, doc_id // 64 as b, {d.sha256(d.joined('doc_id', d.sha256('text'), bar))} as h from {t} join (select doc_id as i, source from {d.table('documents')}) s on {t}.doc_id = s.i group by source, doc_id // 64)"
-    both = lambda t: f"(select source, {d.sha256(d.joined('b', 'h', bar))} as h from {buckets(t)} k group by source)"
-    return f"{_snapshots(d)} select coalesce(x.source, y.source) as source, case when x.h is null then 'new' when y.h is null then 'unreadable' when x.h = y.h then 'unchanged' else 'changed' end as status from {both('a')} x full outer join {both('b')} y on x.source = y.source"
+    whole = lambda t: f"(select source, {d.joined('doc_id', d.sha256('text'), chr(39) + '|' + chr(39))} as h from {t} join (select doc_id as i, source from {d.table('documents')}) s on {t}.doc_id = s.i group by source)"
+    return f"{_snapshots(d)} select coalesce(x.source, y.source) as source, case when x.h is null then 'new' when y.h is null then 'unreadable' when x.h = y.h then 'unchanged' else 'changed' end as status from {whole('a')} x full outer join {whole('b')} y on x.source = y.source"
+
+
+@plan
+def hash_changed(d):
+    at = f"join (select doc_id as i, source from {d.table('documents')}) s on doc_id = s.i"
+    return f"{_snapshots(d)} select s.source, doc_id, status from (select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'new' when b.doc_id is null then 'gone' else 'changed' end as status from a full outer join b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null or a.text <> b.text) x {at}"
+
+
+@plan
+def composite_hash(d):
+    node = lambda child, rows: f"(select c_nationkey, {child} >> 6 as k, case when count(*) = 1 then min(h) else sha256(string_agg(h, '|' order by {child})) end as h, sum(p) as p from {rows} x group by 1, 2)"
+    rows = f"(select c_nationkey, c_custkey as k, sha256(c_custkey || ':' || case when c_custkey % 4 = 0 then 'missing' else sha256(c_name) end) as h, case when c_custkey % 4 = 0 then 0 else 1 end as p from {d.table('customer')} where c_nationkey <> 3 or c_custkey % 4 = 0)"
+    for _ in range(5):  # enough for keys below 2^30: a node with one child has its hash
+        rows = node("k", rows)
+    return f"select c_nationkey, case when p > 0 then h end as composite from {rows} r"
 
 
 def _daily(d):
@@ -358,9 +371,9 @@ def backfill_candidates(d):
 
 @plan
 def silo_gaps(d):
-    u = lambda t: f"select distinct user_id from {d.table('events')} where event_type = '{t}' and event_id % 20 = 0"
-    gap = lambda a, b: f"select '{a}_without_{b}' as gap, user_id from ({u(a)} except {u(b)}) x"
-    return " union all ".join(gap(a, b) for a, b in (("view", "click"), ("click", "view"), ("purchase", "click"), ("click", "purchase")))
+    seen = f"(select user_id, {d.ord_day('ts')} as day, max(case when event_type = 'view' then 1 else 0 end) as view, max(case when event_type = 'click' then 1 else 0 end) as click, max(case when event_type = 'purchase' then 1 else 0 end) as purchase from {d.table('events')} where user_id is not null group by 1, 2)"
+    gap = lambda a, b: f"select '{a}_without_{b}' as gap, user_id, day from {seen} {a}_{b} where {a} = 1 and {b} = 0"
+    return " union all ".join(gap(*p) for p in (("view", "click"), ("click", "view"), ("purchase", "click"), ("click", "purchase")))
 
 
 @plan
@@ -415,3 +428,24 @@ def log_category(d):
 @plan
 def contains_longest(d):
     return f"select doc_id, {d.max_by('item_id', 'length(b) * 100000 - item_id')} as item_id, count(*) as n from (select d.doc_id, k.item_id, k.text as b from {d.table('documents')} d join {d.table('benchmark')} k on contains(d.text, k.text)) x group by doc_id"
+
+
+@plan
+def rule_index(d):
+    b, lines = d.table("benchmark"), f"(select doc_id, unnest(range(1, len(l) + 1)) as lineno, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from {d.table('documents')}))"
+    tail = "'([a-z]+)[ ]+([a-z]+)[.]?$'"
+    kinds = f"select item_id, 1 as k, regexp_extract(text, '^([^ \n]+ [^ \n]+ [^ \n]+)', 1) as p, p as r, regexp_replace(p, '([.+*?()\\[\\]{{}}|^$\\\\])', '\\\\\\1', 'g') as pattern from {b} where p <> '' union all select item_id, 2, regexp_extract(text, {tail}, 1) as p, p || '[ ]+' || regexp_extract(text, {tail}, 2), p || '[ ]+' || regexp_extract(text, {tail}, 2) from {b} where p <> ''"
+    return f"select doc_id, lineno, target, arg_min(pattern, item_id * 10 + k) as pattern from (select doc_id, lineno, 't' || (item_id % 3) as target, item_id, k, pattern from {lines} x join ({kinds}) y on case when k = 1 then contains(line, p) else regexp_matches(line, r) end) z group by doc_id, lineno, target"
+
+
+@plan
+def interval_any(d):
+    v = f"(select user_id, event_id, {d.seconds('ts')} as s, {d.seconds('ts')} + case event_id % 6 when 0 then 5 when 1 then 60 when 2 then 900 when 3 then 7200 when 4 then 86400 else 604800 end as e from {d.table('events')} where event_type in ('click', 'purchase'))"
+    return f"select a.user_id, a.event_id as a_id, b.event_id as b_id from {v} a join {v} b on a.user_id = b.user_id and a.event_id < b.event_id and a.s < b.e and b.s < a.e"
+
+
+@plan
+def phrase_coverage(d):
+    spaced = lambda x: f"concat(' ', array_to_string(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), '  '), ' ')"
+    asked = f"(select distinct text as phrase from (select p_name as text from {d.table('part')} union all select array_to_string(string_split_regex(text, '[^A-Za-z]+')[1:3], ' ') from {d.table('benchmark')}) u)"
+    return f"select phrase, cast(count(distinct doc_id) as bigint) as documents, cast(coalesce(sum(n), 0) as bigint) as places from {asked} p left join (select q, doc_id, (length(t) - length(replace(t, k, ''))) // length(k) as n from (select phrase as q, {spaced('phrase')} as k from {asked} z) y join (select doc_id, {spaced('text')} as t from {d.table('documents')}) x on contains(t, k) and k <> '  ') h on p.phrase = h.q group by phrase"

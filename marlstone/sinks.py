@@ -27,6 +27,13 @@ def landing(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/marlstone/{uuid.uuid4().hex}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: what several jobs read is made once."""
+    path = landing(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def flat(df: DataFrame, *columns: str, sep: str = ", ") -> DataFrame:
     """The named columns only; lists of strings joined, so that they fit a CSV cell."""
     kinds = dict(df.dtypes)
