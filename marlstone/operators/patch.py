@@ -5,47 +5,85 @@ Blocks are compared with plain lines (see functions.text.plain_lines). The files
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import plain_lines
 
-#: What a delivery is written in.
+#: What a delivery is written in. A file's part begins with a line FILE; in it, lines that begin with a head open a block of
+#: that kind, whose text stands between its marks or else in a fence of three or more backticks.
+FILE, OLD, NEW = "## FILE:", "### ALT", "### NEU"
+MARKS = {OLD: ("<<<ALT>>>", "<<<ALT_END>>>"), NEW: ("<<<NEU>>>", "<<<NEU_END>>>")}
 DELETE = "#DELETE"
-_MARKED = {k: re.compile(rf"<<<{k}>>>[ \t]*\n(.*?)\n[ \t]*<<<{k}_END>>>", re.S) for k in ("ALT", "NEU")}
-_FENCED = re.compile(r"^(`{3,})[^\n]*\n(.*?)^\1[ \t]*$", re.S | re.M)
-_HEADS = re.compile(r"^### (ALT|NEU)", re.M)
 
 
-def _block(section: str, kind: str) -> str | None:
-    """A block between its marks, else between fences of equal length."""
-    if found := _MARKED[kind].search(section):
-        return found[1]
-    found = _FENCED.search(section)
-    return found[2] if found else None
+class _Reader:
+    """Reads a delivery line by line. It is between blocks, in one whose text has not begun, or inside marks or a fence, which end at a line of their own."""
+
+    def __init__(self):
+        self.files: list[tuple[str, list]] = []  # each with its blocks (kind, marked text, fenced text)
+        self.ends: tuple[str, int] | None = None  # what ends the text that is being read: a mark, or a fence of so many backticks
+        self.text: list[str] = []
+
+    def _closes(self, line: str) -> bool:
+        mark, ticks = self.ends
+        return line.strip() == mark if mark else line.rstrip(" \t") == "`" * ticks
+
+    def _keep(self) -> None:
+        block = self.files[-1][1][-1]
+        at = 1 if self.ends[0] else 2
+        if block[at] is None:  # the first counts, marks before fences
+            block[at] = "\n".join(self.text)
+
+    def line(self, line: str) -> None:
+        if self.ends:
+            if self._closes(line):
+                self._keep()
+                self.ends = None
+            else:
+                self.text.append(line)
+        elif line.startswith(FILE):
+            self.files.append((line[len(FILE) :].strip(), []))
+        elif self.files:
+            self._within(line)
+
+    def _within(self, line: str) -> None:
+        blocks = self.files[-1][1]
+        kind = OLD if line.startswith(OLD) else NEW if line.startswith(NEW) else None
+        if kind:
+            blocks.append([kind, None, None])
+        elif blocks:
+            opens, closes = MARKS[blocks[-1][0]]
+            ticks = len(line) - len(line.lstrip("`"))
+            if line.strip() == opens:
+                self.ends, self.text = (closes, 0), []
+            elif ticks >= 3:
+                self.ends, self.text = ("", ticks), []
 
 
 def anchors_of(text: str) -> list[tuple]:
-    """(file, ix, old, new, error) of a delivery; ix counts from 1; an error row has no blocks, and a delivery with one is not applied."""
+    """(file, ix, old, new, error) of a delivery; ix counts from 1; an error row has no blocks, and a delivery with one is not applied.
+
+    Old and new blocks of a file take turns. Text before the first file is a remark. Heads inside a block's text are part of it; a text that does not end is none.
+    """
+    reader = _Reader()
+    for line in text.split("\n"):
+        reader.line(line)
     out: list[tuple] = []
-    for section in re.split(r"^## FILE:\s*", text, flags=re.M):
-        if not section.strip():
-            continue
-        file, _, body = section.partition("\n")
-        heads = [(m[1], m.start()) for m in _HEADS.finditer(body)]
-        olds, news = ([at for k, at in heads if k == kind] for kind in ("ALT", "NEU"))
-        if len(olds) != len(news):
-            out.append((file.strip(), None, None, None, "blocks do not pair"))
+    for file, blocks in reader.files:
+        kinds = [b[0] for b in blocks]
+        if kinds != [OLD, NEW] * (len(kinds) // 2):
+            out.append((file, len(out) + 1, None, None, "blocks do not pair"))
             continue
-        for old_at, new_at in zip(olds, news, strict=True):
-            old = _block(body[old_at:new_at], "ALT")
-            new = _block(body[new_at : next((at for at in olds if at > new_at), len(body))], "NEU")
-            wrong = "no old block" if old is None else "no new block" if new is None else "empty new block" if not new.strip() else None
-            blocks = (None, None) if wrong else (old, DELETE if new.strip() == DELETE else new)
-            out.append((file.strip(), None, *blocks, wrong))
-    return [(f, n, *rest) for n, (f, _, *rest) in enumerate(out, 1)]
+        for (_, *olds), (_, *news) in zip(blocks[::2], blocks[1::2]):
+            old, new = (next((x for x in texts if x is not None), None) for texts in (olds, news))
+            wrong = "no old block" if old is None else "no new block" if new is None else None if new.strip() else "empty new block"
+            if wrong:
+                old = new = None
+            elif new.strip() == DELETE:
+                new = DELETE
+            out.append((file, len(out) + 1, old, new, wrong))
+    return out
 
 
 def deliveries(texts: DataFrame) -> DataFrame:

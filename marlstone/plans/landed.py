@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .. import sinks
+from .. import sinks, snapshots
 from ..functions import jsonx, text
 from ..operators import audit, chat, deltas, patch, reports, rules
-from ..sources import files
+from ..sources import files, sqlite
 from ..streaming import progress
 
 QUERIES: dict = {}
@@ -312,6 +312,29 @@ def mutation_outcomes(spark, sf_dir):
     return counts.withColumn("rate", F.when(judged > 0, F.floor(1000.0 * (F.col("killed") + F.col("timeout")).cast("double") / judged.cast("double") + 0.5) / 10))
 
 
+def _sqlite_specs(spark, sf_dir):
+    """The same tables through SQLite files."""
+    root = sinks.landing(spark, "sqlite")
+    return (sqlite.read(spark, sqlite.write(df, f"{root}/{t}", t), t, 5_000) for df, t in zip(_specs(spark, sf_dir), ("specs", "results")))
+
+
+@query(f"SELECT module, CAST(count(*) AS BIGINT) AS mutants, {_COUNTS} FROM (SELECT o_custkey % 10 AS module, {_OUTCOME} AS o FROM orders) GROUP BY module")
+def sqlite_outcomes(spark, sf_dir):
+    """Outcomes by module from SQLite files: specifications with and without a result."""
+    specs, results = _sqlite_specs(spark, sf_dir)
+    rows = specs.join(results.select(F.col("job").alias("_job"), "outcome"), F.col("job") == F.col("_job"), "left").withColumn("o", F.coalesce("outcome", F.lit("PENDING")))
+    return rows.groupBy("module").agg(F.count("*").alias("mutants"), *(F.count_if(F.col("o") == x.upper()).alias(x) for x in ("killed", "survived", "timeout", "incompetent", "pending")))
+
+
+@query("SELECT o_orderkey AS job, o_custkey % 10 AS module, CAST(row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS INTEGER) AS pos FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderstatus = 'O' AND o_orderkey > 500")
+def sqlite_survivors(spark, sf_dir):
+    """Survivors with their specifications, in order within a module; both conditions run in SQLite."""
+    specs, results = _sqlite_specs(spark, sf_dir)
+    kept = results.where("outcome = 'SURVIVED' and job > 500").select(F.col("job").alias("_job"))
+    rows = specs.join(kept, F.col("job") == F.col("_job"))
+    return rows.select("job", "module", F.row_number().over(Window.partitionBy("module").orderBy("job")).alias("pos"))
+
+
 @query(f"""SELECT o_orderkey AS job, 'x = ' || o_custkey AS removed, CASE WHEN o_custkey % 4 = 0 THEN 'log.info(x)' ELSE 'x = 0' END AS added, CASE WHEN o_custkey % 4 = 0 THEN 'format/log' ELSE 'behaviour' END AS kind FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderstatus = 'O'""")
 def mutation_survivors(spark, sf_dir):
     _, results = _specs(spark, sf_dir)
@@ -528,8 +551,28 @@ def sink_csv(spark, sf_dir):
 def sink_snapshots(spark, sf_dir):
     path, o = sinks.landing(spark, "snapshots"), _table(spark, sf_dir, "orders").select("o_orderkey")
     for n in (9, 11, 10):
-        sinks.write_snapshot(o.where(F.col("o_orderkey") % 2 == n % 2), path, n, 2)
-    return sinks.latest_snapshot(spark, path).select("o_orderkey", F.col("snapshot_id").cast("int").alias("snapshot_id"), "version")
+        snapshots.write(o.where(F.col("o_orderkey") % 2 == n % 2), path, n, 2)
+    return snapshots.read(spark, path).select("o_orderkey", F.col("snapshot_id").cast("int").alias("snapshot_id"), "version")
+
+
+@query("""SELECT CAST(v AS INTEGER) AS as_of, snapshot_id, CAST(n AS BIGINT) AS n, complete FROM (
+  SELECT 1 AS v, 1 AS snapshot_id, count(*) AS n, true AS complete FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 1, count(*), true FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 2, count(*), false FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT 3, 1, count(*), true FROM orders UNION ALL SELECT 3, 2, count(*), false FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 4, 1, count(*), true FROM orders UNION ALL SELECT 4, 2, count(*), true FROM orders WHERE o_orderstatus = 'O')""")
+def snapshot_versions(spark, sf_dir):
+    """Each version of a table of snapshots as it was: written, added to, replaced, marked as complete."""
+    path, o = sinks.landing(spark, "versions"), _table(spark, sf_dir, "orders")
+    snapshots.write(o.where("o_orderstatus = 'F'"), path, 1)
+    snapshots.write(o.where("o_orderstatus = 'O'"), path, 2, complete=False)
+    snapshots.write(o, path, 1)
+    snapshots.mark_complete(spark, path, 2)
+    out = None
+    for v in snapshots.versions(spark, path):
+        listed = snapshots.entries(spark, path, v)
+        for n in (1, 2) if v > 1 else (1,):
+            counted = snapshots.read(spark, path, n, v).groupBy().agg(F.count("*").alias("n"))
+            rows = listed.where(F.col("snapshot_id") == n).crossJoin(F.broadcast(counted)).select(F.lit(v).alias("as_of"), F.col("snapshot_id").cast("int").alias("snapshot_id"), "n", "complete")  # one row each
+            out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 @query("SELECT model, question, CAST(max(n) AS BIGINT) AS n FROM (SELECT event_type AS model, user_id % 20 AS question, event_id AS n FROM events) GROUP BY ALL")
@@ -555,13 +598,37 @@ def stream_resume(spark, sf_dir):
 def stream_merge(spark, sf_dir):
     """A rolling source of daily values in two files, merged into a history by day."""
     e = _table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
-    path, target, state = (sinks.landing(spark, x) for x in ("rolling", "history", "state"))
+    path, state = (sinks.landing(spark, x) for x in ("rolling", "state"))
     for part in (e.where("event_id % 2 = 0"), e):
         part.groupBy("day").agg(F.max("event_id").alias("n")).write.mode("append").parquet(path)
-        out = progress.merged_series(spark, spark.readStream.schema("day string, n long").parquet(path), target, state, "day", "n")
+        out = progress.merged_series(spark.readStream.schema("day string, n long").parquet(path), state, "day", "n")
     return out
 
 
+@query("SELECT CAST(event_id % 3 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS input_rows, CAST(count(DISTINCT event_type || user_id) AS BIGINT) AS updated_rows FROM events GROUP BY 1")
+def stream_listener(spark, sf_dir):
+    """What a listener has recorded of a stream over a table that grows twice: each batch works on the new rows only."""
+    e = _table(spark, sf_dir, "events").selectExpr("event_type as model", "user_id as question", "event_id as n")
+    path, state, table = (sinks.landing(spark, x) for x in ("growing", "state", "progress"))
+    with progress.listening(spark, progress.ProgressTable(spark, table)):
+        for k in range(3):
+            e.where(F.col("n") % 3 == k).write.mode("append").parquet(path)
+            progress.last_records(spark.readStream.schema(e.schema).parquet(path), state, ("model", "question"), "n")
+    return progress.progress_table(spark, table).where("event = 'progress' and input_rows > 0").select("batch", "input_rows", "updated_rows")
+
+
+@query("SELECT event_type AS model, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_watch(spark, sf_dir):
+    """Finished results counted while their table grows, as often as the trigger says."""
+    e = _table(spark, sf_dir, "events").selectExpr("event_type as model", "event_id as n")
+    path, state = sinks.landing(spark, "results"), sinks.landing(spark, "state")
+    e.where("n % 2 = 0").write.mode("append").parquet(path)
+    query = progress.counted(spark.readStream.schema(e.schema).parquet(path), state, "model", every="1 second")
+    e.where("n % 2 = 1").write.mode("append").parquet(path)
+    progress.wait(query, lambda: query.lastProgress is not None and query.lastProgress["numInputRows"] == 0)
+    return progress.counts_so_far(spark, state)
+
+
 @query("SELECT '| p_size | n |' AS line UNION ALL SELECT '|---|---:|' UNION ALL SELECT '| ' || p_size || ' | ' || count(*) || ' |' FROM part GROUP BY p_size")
 def sink_markdown(spark, sf_dir):
     return sinks.markdown_rows(_table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).orderBy("p_size"), ("n",))
@@ -582,11 +649,10 @@ def sink_merged_chats(spark, sf_dir):
     return back.select("source_file", F.size("messages").cast("long").alias("messages"), F.array_join("messages.sender", ",").alias("senders"))
 
 
-@query("SELECT n_regionkey, n_name || ' in ' || n_regionkey AS value FROM nation")
+@query("SELECT c_nationkey, c_name || ' in ' || c_nationkey AS value FROM customer")
 def sink_entities(spark, sf_dir):
-    path = sinks.write_entities(_table(spark, sf_dir, "nation"), sinks.landing(spark, "entities"), "n_regionkey", F.concat("n_name", F.lit(" in "), "n_regionkey"))
-    sinks.mark_complete(spark, sinks.landing(spark, "marked"))
-    return spark.read.schema("value string, n_regionkey int").text(path)
+    path = sinks.write_entities(_table(spark, sf_dir, "customer"), sinks.landing(spark, "entities"), "c_nationkey", F.concat("c_name", F.lit(" in "), "c_nationkey"))
+    return spark.read.schema("value string, c_nationkey int").text(path)
 
 
 @query("SELECT 'lauf_' || (max(s_suppkey) + 1) || '_20260101_next' AS name, CAST(max(s_suppkey) + 1 AS INTEGER) AS number FROM supplier")

@@ -46,19 +46,6 @@ def write_csv(df: DataFrame, path: str, *columns: str, sep: str = ",") -> str:
     return path
 
 
-def write_snapshot(df: DataFrame, path: str, snapshot_id: int, version: int) -> str:
-    """Records of one snapshot below a folder of snapshots, with their version; an earlier snapshot of that number is replaced, others stay."""
-    df.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/snapshot_id={int(snapshot_id)}")
-    return path
-
-
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the snapshot with the greatest number, compared as numbers."""
-    every = spark.read.parquet(path)
-    last = every.agg(F.max(F.col("snapshot_id").cast("long")).alias("_last"))
-    return every.join(F.broadcast(last), F.col("snapshot_id").cast("long") == F.col("_last")).drop("_last")
-
-
 def append_records(df: DataFrame, path: str) -> str:
     """JSON lines, added to what is there."""
     df.write.mode("append").json(path)
@@ -121,13 +108,3 @@ def merged_chats(turns: DataFrame) -> DataFrame:
     """source_file, title, messages of chats (source_file, title, n, sender, text) that have any message with text."""
     kept = turns.where("text is not null and trim(text) != ''")
     return kept.groupBy("source_file", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "sender", "text"))), lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("text"))).alias("messages"))
-
-
-def mark_complete(spark: SparkSession, path: str) -> None:
-    """A marker that everything below path is written."""
-    spark.createDataFrame([("complete",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_COMPLETE")
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_COMPLETE/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -78,6 +78,17 @@ def test_delivery_errors():
     assert patch.anchors_of("## FILE: a\n### ALT\n```\nx\n```\n### NEU\n```\n \n```\n")[0][-1] == "empty new block"
 
 
+def test_delivery_blocks():
+    """Marks count before fences, fences end with as many backticks, heads inside a block are text, files without blocks have no rows."""
+    text = "\n".join([
+        "remark", "## FILE: a.py ", "### ALT 1", "```py", "fenced", "```", "<<<ALT>>>", "x = 1", "### NEU inside", "  <<<ALT_END>>>", "### NEU 1", "````", "a", "```", "b", "```` ", "```", "late", "```",
+        "## FILE: b.py", "nothing", "## FILE: c.py", "### ALT", "```", "y", "```", "### NEU", "```", " #DELETE", "```", "## FILE: d.py", "### NEU", "```", "z", "```", "### ALT", "```", "z", "```",
+        "## FILE: e.py", "### ALT", "```", "open", "### NEU", "```", "x",
+    ])
+    assert patch.anchors_of(text) == [("a.py", 1, "x = 1\n### NEU inside", "a\n```\nb", None), ("c.py", 2, "y", patch.DELETE, None), ("d.py", 3, None, None, "blocks do not pair"), ("e.py", 4, None, None, "blocks do not pair")]
+    assert patch.anchors_of("") == [] == patch.anchors_of("no file\n### ALT\n")
+
+
 def test_tool_calls_and_json(spark):
     assert jsonx._shape({"a": [1, 2], "b": True, "c": None, "d": "x"}) == {"a": [0], "b": False, "c": None, "d": "..."}
     assert jsonx._short({"a": [1, 2, 3, 4], "b": [[1, 2, 3, 4]]}) == {"a": [1, 2, 3], "b": [[1, 2, 3]]}
@@ -113,10 +124,6 @@ def test_reports_as_files(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string").orderBy("n")
     path = sinks.write_markdown(frame, str(tmp_path / "r" / "t.md"), ("n",))
     assert open(path).read() == "| n | s |\n|---:|---|\n| 1 | a\\|b |\n| 2 |  |\n"
-    folder = f"file://{tmp_path}/done"
-    assert not sinks.is_complete(spark, folder)
-    sinks.mark_complete(spark, folder)
-    assert sinks.is_complete(spark, folder)
 
 
 def test_rules_and_verdicts(spark):
