@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
+import re
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: What counts as white space between words (Unicode, with the separators U+001C to U+001F).
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -16,11 +19,26 @@ TITLE_PREFIXES, SITE = ("Unterhaltung mit Gemini", "Chat with Gemini", "Gemini")
 FORMAT_HINTS = ("indent", "ensure_ascii", "sort_keys", "log.", "logger.", "logging.", "print(")
 
 
+_GAPS, _SIGNS = re.compile(r"[\s_-]+"), re.compile(r"[^\w ]")
+
+
 def words(c: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(c, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
 
 
+@F.pandas_udf(T.LongType())
+def word_counts(texts: pd.Series) -> pd.Series:
+    """As words, for long texts: white space is what Python splits at, and a batch of texts is split in a fraction of the time that a regular expression takes."""
+    return pd.Series([len(t.split()) if t else 0 for t in texts], dtype="int64")
+
+
+@F.pandas_udf(T.StringType())
+def title_hashes(texts: pd.Series) -> pd.Series:
+    """SHA-256 of title_key, for long texts; null for null."""
+    return pd.Series([None if t is None else hashlib.sha256(_SIGNS.sub("", _GAPS.sub(" ", t.lower())).strip(" ").encode()).hexdigest() for t in texts], dtype="object")
+
+
 def one_spaced(c: Column) -> Column:
     """Words joined by single spaces."""
     return F.trim(F.regexp_replace(c, f"[{WHITE}]+", " "))

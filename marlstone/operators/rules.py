@@ -1,7 +1,6 @@
 """Line scans by rules, their context, and verdicts by a function that the caller gives.
 
-Rules are parameters of a scan: a few are compiled into its plan; many are sent to the workers, where an automaton over the strings that
-the rules require picks those worth trying on a line.
+Rules are parameters of a scan, sent to the workers, where an automaton over the strings that the rules require picks those worth trying on a line.
 """
 
 from __future__ import annotations
@@ -17,45 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import automaton
 
-#: Up to so many rules are part of the plan; beyond, each line would be tried by each of them.
-INLINE_RULES = 32
 #: Rules of a scan, at most: they are broadcast.
 MOST_RULES = 200_000
 
 
-def _holds(line: Column, pattern: str) -> Column:
-    """The pattern is found; one that is no regular expression counts as plain text."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return F.contains(line, F.lit(pattern))
-    return line.rlike(pattern)
-
-
-def hits(texts: DataFrame, rules: list[tuple[str, str]], key: str = "path", around: int = 3) -> DataFrame:
-    """key, lineno, target, pattern, line, context: of each line and target the first rule (target, pattern) that holds.
-
-    context holds the lines up to `around` before and after, the hit marked with "> ". One pass over a text: its lines are never rows of their own.
-    Classes such as \\d and \\w are of ASCII. A pattern that is no regular expression counts as plain text.
-    """
-    if len(rules) > INLINE_RULES:
-        return indexed_hits(texts, rules, key, around)
-    targets: dict[str, list[str]] = {}
-    for target, pattern in rules:
-        targets.setdefault(target, []).append(pattern)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-
-    def found(target, patterns):
-        at = lambda x: F.coalesce(*(F.when(_holds(x, p), F.lit(p)) for p in patterns))
-        every = F.transform("lines", lambda x, i: F.struct((i + 1).alias("lineno"), F.lit(target).alias("target"), at(x).alias("pattern"), x.alias("line")))
-        return F.filter(every, lambda h: h["pattern"].isNotNull())
-
-    rows = texts.select(key, lines.alias("lines")).select(key, "lines", F.explode(F.concat(*(found(t, p) for t, p in targets.items()))).alias("h"))
-    first = F.greatest(F.col("h.lineno") - around, F.lit(1))
-    near = F.transform(F.slice("lines", first, F.col("h.lineno") + around - first + 1), lambda x, i: F.concat(F.when(first + i == F.col("h.lineno"), "> ").otherwise("  "), x))
-    return rows.select(key, F.col("h.lineno").cast("long").alias("lineno"), "h.target", "h.pattern", "h.line", F.array_join(near, "\n").alias("context"))
-
-
 class _Index:
     """Rules, and which of them a line may satisfy."""
 
@@ -105,8 +69,13 @@ class _Index:
         return lines, out
 
 
-def indexed_hits(texts: DataFrame, rules: list[tuple[str, str]], key: str = "path", around: int = 3) -> DataFrame:
-    """hits for any number of rules up to MOST_RULES: a line is tried only by rules of which it holds a required string, and by those that require none."""
+def hits(texts: DataFrame, rules: list[tuple[str, str]], key: str = "path", around: int = 3) -> DataFrame:
+    """key, lineno, target, pattern, line, context: of each line and target the first rule (target, pattern) that holds.
+
+    context holds the lines up to `around` before and after, the hit marked with "> ". One pass over a text: a line is tried only by rules of
+    which it holds a required string, and by those that require none. Classes such as \\d and \\w are of ASCII. A pattern that is no
+    regular expression counts as plain text. A null text counts as empty. At most MOST_RULES rules.
+    """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     held, name = texts.sparkSession.sparkContext.broadcast(rules), uuid.uuid4().hex

@@ -34,9 +34,28 @@ def doc_chunk_merge(spark, sf_dir):
     return chunks.summarised(_table(spark, sf_dir, "documents").where("length(text) > 8000"))
 
 
+def _stats(spark, sf_dir):
+    """Of each document: its language and source, and its lines, words and characters."""
+    t = F.coalesce("text", F.lit(""))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"))) + F.when((t != "") & (F.right(t, F.lit(1)) != "\n"), 1).otherwise(0)
+    return _table(spark, sf_dir, "documents").select("lang", "source", lines.cast("long").alias("n_lines"), text.word_counts("text").alias("n_words"), F.length(t).cast("long").alias("n_chars"))
+
+
+@query
+def text_stats_by_lang(spark, sf_dir):
+    sums = [F.count("*").alias("n_files"), *(F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_chars"))]
+    return _stats(spark, sf_dir).rollup("lang").agg(*sums).select(F.coalesce("lang", F.lit("TOTAL")).alias("label"), "n_files", "n_lines", "n_words", "n_chars")
+
+
+@query
+def text_stats_by_source_top(spark, sf_dir):
+    sums = [F.count("*").alias("n_files"), *(F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_chars"))]
+    return _stats(spark, sf_dir).groupBy("source").agg(*sums).orderBy(F.desc("n_chars"), "source")
+
+
 def _titles(spark, sf_dir):
     """doc_id and a hash of the normalized text, so that texts are not shuffled."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.title_key(F.col("text")).cast("binary"), 256).alias("k"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.title_hashes("text").alias("k"))
 
 
 @query
@@ -179,7 +198,7 @@ def rule_index(spark, sf_dir):
     """Rules made of each benchmark item: its first three words as text, its last two with any blanks between them, and text that is no regular expression; the first rule of a line and target counts."""
     items = sinks.bounded(_table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.regexp_extract("text", "^([^ \n]+ [^ \n]+ [^ \n]+)", 1).alias("head"), F.regexp_extract("text", "([a-z]+)[ ]+([a-z]+)[.]?$", 1).alias("last"), F.regexp_extract("text", "([a-z]+)[ ]+([a-z]+)[.]?$", 2).alias("end")).orderBy("item_id"))
     listed = [(f"t{r.item_id % 3}", p) for r in items for p in (re.sub(r"([.+*?()\[\]{}|^$\\])", r"\\\1", r.head) if r.head else None, f"{r.last}[ ]+{r.end}" if r.last else None, f"({r.item_id}(") if p]
-    return rules.indexed_hits(_table(spark, sf_dir, "documents"), listed, key="doc_id").select("doc_id", "lineno", "target", "pattern")
+    return rules.hits(_table(spark, sf_dir, "documents"), listed, key="doc_id").select("doc_id", "lineno", "target", "pattern")
 
 
 @query

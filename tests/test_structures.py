@@ -72,11 +72,14 @@ def test_five_thousand_rules(spark):
     assert sorted(((r.path, r.lineno, r.target, r.pattern) for r in got.collect()), key=str) == _first_hits(texts, listed)
 
 
-def test_few_and_many_rules_agree(spark):
+def test_few_rules_and_their_context(spark):
     listed = [("a", "fox"), ("a", "f.x"), ("b", "(("), ("b", "[0-9]+"), ("c", "^$")]
-    texts = spark.createDataFrame([("p", "a fox\nfix 12 ((\n\nlast"), ("q", ""), ("r", None)], "path string, text string")
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(rules.hits(texts, listed)) == rows(rules.indexed_hits(texts, listed))
+    texts = [("p", "a fox\nfix 12 ((\n\nlast"), ("q", ""), ("r", None)]
+    got = rules.hits(spark.createDataFrame(texts, "path string, text string"), listed, around=1).collect()
+    assert sorted((r.path, r.lineno, r.target, r.pattern) for r in got) == _first_hits(texts, listed)
+    assert {r.context for r in got if r.lineno == 2} == {"  a fox\n> fix 12 ((\n  "}
+    with pytest.raises(ValueError):
+        rules.hits(spark.createDataFrame(texts, "path string, text string"), [("a", "b")] * (rules.MOST_RULES + 1))
 
 
 def _root(rows):
