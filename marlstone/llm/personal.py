@@ -42,16 +42,47 @@ _FOR = "(?i)(mail|contact|write|reach|address|call|phone|tel|mobile|fax|cell|ssn
 _AGAINST = "(?i)(version|build|order|invoice|isbn|issue|page|chapter|total|price|code|serial|part|sku|ratio|score|line|section|figure)"
 
 
+#: Elements of an array that a fold goes through at a time.
+BLOCK = 128
+
+
+def fold_sql(values: str, start: str, step: str, out: str, kind: str = "int") -> str:
+    """SQL: an array with out for each element of an array, from the state t before it and the element y; step is the state after it, start the first.
+
+    A fold that appends to its result copies it each time. Here blocks of elements append to results of their own, so that long arrays take
+    time in proportion to their length, but for one copy of block references a block.
+    """
+    inner = f"aggregate(b, named_struct('t', a.t, 'o', cast(array() as array<{kind}>)), (c, y) -> transform(array(c.t), t -> named_struct('t', {step}, 'o', concat(c.o, array({out}))))[0])"
+    whole = f"aggregate(bs, named_struct('t', {start}, 'o', cast(array() as array<array<{kind}>>)), (a, b) -> transform(array({inner}), r -> named_struct('t', r.t, 'o', concat(a.o, array(r.o))))[0], a -> flatten(a.o))"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {BLOCK}), i -> slice(v, cast(i * {BLOCK} + 1 as int), {BLOCK}))"
+    return f"transform(array({values}), v -> transform(array({blocks}), bs -> {whole})[0])[0]"
+
+
 def spans_sql(text: str, pattern: str, needs: str, kind: str) -> str:
     """Array of structs (k, s, e, m, l, r) of a pattern's matches in order: kind, code point span, match, text at either side."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     gaps, hits = f"split({text}, '{p}', -1)", f"regexp_extract_all({text}, '{p}', 0)"
-    step = "named_struct('at', a.at + length(g[i]) + length(m[i]), 'out', concat(a.out, array(named_struct('k', '{k}', 's', a.at + length(g[i]), 'e', a.at + length(g[i]) + length(m[i]), 'm', m[i], 'l', right(g[i], {w}), 'r', left(g[i + 1], {w})))))".format(k=kind, w=WINDOW)
     none = "cast(array() as array<struct<k:string,s:int,e:int,m:string,l:string,r:string>>)"
-    walk = f"if(size(m) = 0, {none}, aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', {none}), (a, i) -> {step}, a -> a.out))"
+    ends = fold_sql("transform(m, (x, i) -> length(g[i]) + length(x))", "0", "t + y", "t + y")
+    found = f"transform(m, (x, i) -> named_struct('k', '{kind}', 's', ends[i] - length(x), 'e', ends[i], 'm', x, 'l', right(g[i], {WINDOW}), 'r', left(g[i + 1], {WINDOW})))"
+    walk = f"if(size(m) = 0, {none}, transform(array({ends}), ends -> {found})[0])"
     return f"if({needs.format(t=text)}, transform(array({hits}), m -> transform(array({gaps}), g -> {walk})[0])[0], {none})"
 
 
+def free_sql(base: str, more: str) -> str:
+    """SQL: the spans of more that overlap no span of base and, in the order of their starts, none that was taken before; arrays of structs with s and e, and k in more.
+
+    One sort and three folds: the furthest end of a base span before each span, the start of the next one after it, and the end of the last span taken.
+    """
+    events = f"array_sort(concat(transform({base}, x -> named_struct('s', x.s, 'more', 0, 'e', x.e, 'k', x.k)), transform({more}, x -> named_struct('s', x.s, 'more', 1, 'e', x.e, 'k', x.k))))"
+    before = fold_sql("ev", "0", "if(y.more = 0, greatest(t, y.e), t)", "t")
+    after = f"reverse({fold_sql('reverse(ev)', '2147483647', 'if(y.more = 0, y.s, t)', 't')})"
+    open_ = "filter(ev, (x, i) -> x.more = 1 and fwd[i] <= x.s and bwd[i] >= x.e)"
+    taken = fold_sql("op", "0", "if(y.s >= t, y.e, t)", "if(y.s >= t, 1, 0)")
+    bound = f"transform(array({events}), ev -> transform(array({before}), fwd -> transform(array({after}), bwd -> transform(array({open_}), op -> transform(array({taken}), tk -> filter(op, (x, i) -> tk[i] = 1))[0])[0])[0])[0])[0]"
+    return f"if(size({more}) = 0, cast(array() as array<struct<s:int,more:int,e:int,k:string>>), {bound})"
+
+
 def _luhn(digits: str) -> str:
     """SQL: the digits of the string expression pass Luhn's test."""
     value = f"cast(substring({digits}, i, 1) as int)"
@@ -169,7 +200,7 @@ def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
     Spans are in code points, end exclusive, by kind, then start. Added spans that overlap a base span, or
-    repeat an earlier added one, go. Null text counts as empty; a text without findings has the hash of the empty string
+    an added one that starts before them and is kept, go; the time is in proportion to the number of spans. Null text counts as empty; a text without findings has the hash of the empty string
     and empty spans. Repeated rows each get a row.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
@@ -179,8 +210,8 @@ def find(docs: DataFrame) -> DataFrame:
     base = "concat(" + ", ".join(f"b_{k}" for k in BASE) + ")"
     text = lambda a: f"array_join(transform({a}, x -> concat(x.k, ':', x.s, ':', x.e)), ',')"
     rank = "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k)"
-    extra = "filter(more, (x, i) -> not exists(base, y -> x.s < y.e and y.s < x.e) and not exists(slice(more, 1, i), y -> x.s < y.e and y.s < x.e))"
-    every = f"transform(array_sort(transform(concat(base, {extra}), x -> struct({rank} as o, x.s as s, x.e as e, x.k as k))), x -> struct(x.k as k, x.s as s, x.e as e))"
+    extra = free_sql("base", "more")
+    every = f"transform(array_sort(transform(concat(transform(base, x -> struct(x.s as s, x.e as e, x.k as k)), transform({extra}, x -> struct(x.s as s, x.e as e, x.k as k))), x -> struct({rank} as o, x.s as s, x.e as e, x.k as k))), x -> struct(x.k as k, x.s as s, x.e as e))"
     rows = rows.withColumn("base", F.expr(base))
     return rows.select(
         "doc_id", *(F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in BASE),

@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-Two second-order models over character classes and letters are trained from labelled samples: random strings in the
-alphabets that keys use, and ordinary identifiers. A token whose mean log-likelihood ratio per character favours
-the random model by more than a threshold is a secret, whatever its prefix.
+Two second-order character models, of random strings and of ordinary identifiers, are each an even mixture of a model of a
+labelled sample that a generator makes and of one of the corpus itself: the values of all secrets that the fixed patterns find, and
+all distinct words of letters. So what the corpus tells never weighs more than half, however large it is. A token whose mean
+log-likelihood ratio per character favours the random model by more than a threshold is a secret, whatever its prefix; the threshold
+is where no more than MOST_WRONG of a further sample of ordinary identifiers would be taken for one.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as of [0-9a-f]+ with 24 or more
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+#: What the generated sample counts in the corpus's model: after two characters that the corpus seldom holds, its shares stand.
+UNSEEN = 50.0
 _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 _SIZE = len(_ALPHABET) + 2
-#: Threshold on the mean ratio in nats a character, and on the total.
-MIN_MEAN, MIN_TOTAL = 0.55, 16.0
-#: The corpus's words weigh at most as much as so many of them.
-WORDS_WEIGHT = 4_000
+#: Least threshold on the mean ratio in nats a character, threshold on the total, and share of ordinary identifiers that may pass both.
+MIN_MEAN, MIN_TOTAL, MOST_WRONG = 0.3, 16.0, 0.001
 #: Ordinary words that identifiers are made of, for the labelled sample.
 _WORDS = """access account action active add address alias all any api app apply array async auth back base batch begin block body bool buffer build
 byte cache call cancel cell change char check child class clean clear client clock close cluster code collect color column command commit config
@@ -68,21 +70,33 @@ def trigrams(samples) -> np.ndarray:
     return counts
 
 
-class Markov:
-    """Second-order character model with interpolated lower orders; natural logarithms."""
+def _shares(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
+    """Second-order character model of trigram counts, interpolated with lower orders."""
+    p = np.full(_SIZE, 1 / _SIZE)
+    for n in (counts.sum((0, 1)), counts.sum(0), counts):
+        p = (n + strength * p) / (n.sum(-1, keepdims=True) + strength)
+    return p
 
-    def __init__(self, counts: np.ndarray, strength: float = 4.0):
-        p = np.full(_SIZE, 1 / _SIZE)
-        for n in (counts.sum((0, 1)), counts.sum(0), counts):
-            p = (n + strength * p) / (n.sum(-1, keepdims=True) + strength)
-        self.log = np.log(p)
 
+class Model:
+    """ratios: log-likelihood ratios of a character after two, random over ordinary. threshold: of the mean ratio. recall: share of a further sample of random strings that pass."""
 
-def models(words: np.ndarray | None = None) -> np.ndarray:
-    """The table of log-likelihood ratios, random over ordinary; words: counts of further ordinary words."""
-    secret, plain = labelled_samples()
-    counts = trigrams(plain)
-    return Markov(trigrams(secret)).log - Markov(counts if words is None else counts + words).log
+    def __init__(self, random_counts: np.ndarray | None = None, ordinary_counts: np.ndarray | None = None):
+        sides = []
+        for sample, corpus in zip(labelled_samples(), (random_counts, ordinary_counts)):
+            own = _shares(trigrams(sample))
+            if corpus is not None:
+                own = (own + (corpus + UNSEEN * own) / (corpus.sum(-1, keepdims=True) + UNSEEN)) / 2
+            sides.append(own)
+        self.ratios = np.log(sides[0]) - np.log(sides[1])
+        secret, plain = ([(t, ratio(t, self.ratios)) for t in side if len(t) >= 20] for side in labelled_samples(2_000, 12))
+        means = np.array([r / len(t) for t, r in plain if r >= MIN_TOTAL] + [MIN_MEAN] * sum(r < MIN_TOTAL for _, r in plain))
+        self.threshold = max(MIN_MEAN, float(np.nextafter(np.quantile(means, 1 - MOST_WRONG, method="higher"), np.inf)))
+        self.recall = sum(self.random(t) for t, _ in secret) / len(secret)
+
+    def random(self, token: str) -> bool:
+        got = ratio(token, self.ratios)
+        return got >= MIN_TOTAL and got / len(token) >= self.threshold
 
 
 def ratio(token: str, table: np.ndarray) -> float:
@@ -91,19 +105,16 @@ def ratio(token: str, table: np.ndarray) -> float:
     return float(table[c[:-2], c[1:-1], c[2:]].sum())
 
 
-def ordinary(docs: DataFrame) -> np.ndarray:
-    """Trigram counts of the distinct words of letters only, of 4 or more, of all documents, for the ordinary side.
-
-    More than WORDS_WEIGHT words weigh together as much as so many, so that the generated sample keeps its share.
-    """
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w rlike '^[A-Za-z]{4,}$'").distinct()
+def _counted(words: DataFrame) -> np.ndarray:
+    """Trigram counts of a column of words of ASCII characters."""
 
     def run(batches):
         total = np.zeros(_SIZE**3)
         for b in batches:
-            codes = np.zeros(256, np.int64)
+            codes = np.full(256, _SIZE - 1, np.int64)
             codes[[ord(c) for c in _ALPHABET]] = [_CODE[c] for c in _ALPHABET]
-            code = codes[np.frombuffer("".join(f"  {w}" for w in b.column(0).to_pylist()).encode("ascii"), np.uint8)]
+            codes[0] = 0
+            code = codes[np.frombuffer("".join(f"\0\0{w}" for w in b.column(0).to_pylist()).encode("ascii"), np.uint8)]
             code = (code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:]
             total += np.bincount(code[code % _SIZE > 0], minlength=_SIZE**3)
         at = np.flatnonzero(total)
@@ -112,8 +123,36 @@ def ordinary(docs: DataFrame) -> np.ndarray:
     total = np.zeros(_SIZE**3)
     for batch in mapped(words, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most 70 ** 3 rows
         total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    total = total.reshape((_SIZE,) * 3)
-    return total * min(1.0, WORDS_WEIGHT / max(1.0, total[0, 0].sum()))
+    return total.reshape((_SIZE,) * 3)
+
+
+def ordinary(docs: DataFrame) -> np.ndarray:
+    """Trigram counts of the distinct words of letters only, of 4 or more, of all documents."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w rlike '^[A-Za-z]{4,}$'").distinct()
+    return _counted(words)
+
+
+def known(docs: DataFrame) -> np.ndarray:
+    """Trigram counts of the distinct values of secrets that the fixed patterns find in all documents."""
+
+    def run(batches):
+        for b in batches:
+            found = {v for text in b.column(0).to_pylist() if text for v in _values(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
+
+    return _counted(mapped(docs.select("text"), run, "w string").distinct())
+
+
+def _values(text: str):
+    """What base spans hold: of an assignment the value alone, if it is as long as a token and not a word."""
+    for kind, s, e in base_spans(text):
+        value = _ASSIGN.match(text, s, e)[1] if kind == "assign" else text[s:e]
+        if len(value) >= 16 and not value.isalpha():
+            yield value
+
+
+def model(docs: DataFrame) -> Model:
+    return Model(known(docs), ordinary(docs))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -128,7 +167,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], table: np.ndarray) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], found: Model) -> list[tuple[str, int, int]]:
     """Tokens that the models call random and that overlap no base span."""
     out = []
     taken = sorted((s, e) for _, s, e in base)
@@ -140,8 +179,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], table: np.ndarray)
         at = bisect.bisect_left(taken, (e, 0))
         if any(x < e and s < y for x, y in taken[max(0, at - 3) : at]):
             continue
-        got = ratio(m[0], table)
-        if got >= MIN_TOTAL and got / len(m[0]) >= MIN_MEAN:
+        if found.random(m[0]):
             out.append(("random", s, e))
     return out
 
@@ -150,14 +188,14 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
-def scan(docs: DataFrame, words: np.ndarray | None = None) -> DataFrame:
+def scan(docs: DataFrame, trained: Model | None = None) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are in code points, end exclusive. Null text counts as empty; a text without findings has the
     hash of the empty string and empty spans. Repeated rows each get a row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(models(ordinary(docs) if words is None else words))
+    held = docs.sparkSession.sparkContext.broadcast(trained or model(docs))
 
     def run(batches):
         extra = held.value
@@ -178,7 +216,7 @@ def scan(docs: DataFrame, words: np.ndarray | None = None) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the same columns, secrets in text replaced by [SECRET]."""
     schema, at = docs.schema, docs.columns.index("text")
-    held = docs.sparkSession.sparkContext.broadcast(models(ordinary(docs)))
+    held = docs.sparkSession.sparkContext.broadcast(model(docs))
 
     def run(batches):
         for b in batches:

@@ -122,9 +122,9 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     rows = rows.select("vec_id", F.transform(e, lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"))
     n, nq = rows.agg(F.count("*"), F.count_if(is_query)).first()
     blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-(nq or 0) // QUERIES))
-    place = F.monotonically_increasing_id()  # spreads rows evenly, whatever their ids; the result does not depend on it
+    place = F.monotonically_increasing_id()  # spreads rows evenly, whatever their ids; the same when a task over the input is repeated
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    left = asked.withColumn("q", F.pmod(F.xxhash64(place), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("c", F.pmod(F.xxhash64(place), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,5 +1,7 @@
 """The two classifiers: held-out accuracy on the given tables, and awkward rows."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,64 @@ def test_the_risk_stays_non_negative():
     assert quality._state(quality.sums(x, own, base | {"w": w}), w, 0.9)[1] >= 0
 
 
+def test_risk_gradient_and_curvature_by_a_plain_loop():
+    """The sums of a pass, and the state they give, against the risk's formula row by row and its differences."""
+    rng, n, prior = np.random.default_rng(3), 80, 0.4
+    x, own = rng.normal(0, 2, (n, quality.SIZE)), rng.random(n) < 0.4
+    base = {"mean": x.mean(0), "scale": x.std(0)}
+    w = rng.normal(0, 0.3, quality._TERMS)
+
+    def parts(w):
+        good = bad = loss = 0.0
+        for row, positive in zip(x, own):
+            phi = []
+            z = [min(quality.LIMIT, max(-quality.LIMIT, (v - m) / s)) for v, m, s in zip(row, base["mean"], base["scale"])]
+            for f in (lambda v: v, *(lambda v, t=t: max(0.0, v - t) for t in quality.HINGES)):
+                phi += [f(v) for v in z]
+            g = sum(a * b for a, b in zip([*phi, 1.0], w))
+            loss += math.log1p(math.exp(-abs(g))) + max(g, 0.0)  # log(1 + e^g): the loss of label -1
+            if positive:
+                good += math.log1p(math.exp(-abs(g))) + max(-g, 0.0)
+                bad += math.log1p(math.exp(-abs(g))) + max(g, 0.0)
+        return good / own.sum(), bad / own.sum(), loss / n
+
+    def risk(w):
+        good, bad, loss = parts(w)
+        return prior * good + max(0.0, loss - prior * bad) + quality.RIDGE * sum(v * v for v in w) / 2
+
+    good, bad, loss = parts(w)
+    found, bracket, step = quality._state(quality.sums(x, own, base | {"w": w}), w, prior)
+    assert found == pytest.approx(risk(w)) and bracket == pytest.approx(loss - prior * bad) and bracket > 0
+    h, eye = 1e-4, np.eye(len(w))
+    slope = np.array([(risk(w + h * e) - risk(w - h * e)) / (2 * h) for e in eye])
+    along = (risk(w - h * step) - risk(w + h * step)) / (2 * h)
+    assert along == pytest.approx(-slope @ step, rel=1e-3) and along < 0  # a step downhill
+    curve = np.array([(slope_of(risk, w + h * e, e, h) - slope_of(risk, w - h * e, e, h)) / (2 * h) for e in eye[:6]])
+    split = np.array_split(np.arange(n), 3)
+    total = sum(quality.sums(x[i], own[i], base | {"w": w}) for i in split)
+    assert np.allclose(total, quality.sums(x, own, base | {"w": w}))
+    hess = total[2 + quality._TERMS : 2 + quality._TERMS + quality._TERMS**2].reshape(quality._TERMS, -1) / n + quality.RIDGE * eye
+    assert np.allclose(curve, np.diag(hess)[:6], rtol=1e-2, atol=1e-4) and np.allclose(hess @ step, slope, atol=1e-4)
+
+
+def slope_of(f, w, e, h):
+    return (f(w + h * e) - f(w - h * e)) / (2 * h)
+
+
+def test_class_prior_by_a_plain_loop():
+    rng = np.random.default_rng(4)
+    g, own = np.concatenate([rng.normal(2, 1, 600), rng.normal(-2, 1, 400)]), np.arange(1_000) < 300
+    bins = quality.bins_of(g)
+    best = 1.0
+    for cut in range(quality.BINS + 1):
+        p, u = (bins[own] >= cut).mean(), (bins >= cut).mean()
+        low, high = p - quality.ERRORS * math.sqrt(p * (1 - p) / own.sum()), u + quality.ERRORS * math.sqrt(u * (1 - u) / len(g))
+        if p >= quality.LEAST and low > 0:
+            best = min(best, high / low)
+    counts = [np.bincount(bins[k], minlength=quality.BINS + 1) for k in (own, slice(None))]
+    assert quality.class_prior(*counts) == pytest.approx(best)
+
+
 def test_features_of_any_text():
     assert all(len(quality.features(t)) == quality.SIZE and np.isfinite(quality.features(t)).all() for t in (None, " ", "\n", "a" * 100_000, "\ud800"))
 

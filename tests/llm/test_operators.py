@@ -1,12 +1,14 @@
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import fingerprint, mixing, neardup, packing, personal, secrets, toxicity, topk, warc
 
@@ -283,16 +285,36 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(docs).where("spans != ''").count() == 0 and secrets.scan(empty).count() == 0
 
 
-def test_ordinary_words_are_those_of_all_documents(spark):
-    """More words than any bound: the counts are of all distinct ones, whatever the order of rows."""
-    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(90_000)]
-    texts = [(i, " ".join([*words[i : i + 900], "x1", "abc", words[0]])) for i in range(0, len(words), 900)]
-    want = secrets.trigrams(words)
-    for rows in (texts, texts[::-1]):
-        got = secrets.ordinary(spark.createDataFrame([*rows, (-1, None)], "doc_id long, text string"))
-        assert np.allclose(got, want * secrets.WORDS_WEIGHT / len(words))
-    few = secrets.ordinary(spark.createDataFrame([(1, "some words some"), (2, "other words")], "doc_id long, text string"))
-    assert (few == secrets.trigrams(["some", "words", "other"])).all()
+def test_secret_models_count_all_documents(spark):
+    """Distinct words, and distinct values of what the fixed patterns find, of all documents, whatever the order of rows; how often the corpus repeats them changes nothing."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(30_000)]
+    values = ["AKIA" + "ABCDEFGHIJKLMNOP7"[i:] + "QRSTUVWXYZ123" for i in range(8)] + ["0123456789abcdef" * 2, "Zz9/aB3+cD5=eF7.gH"]
+    texts = [(i, " ".join([*words[i : i + 900], "x1", "abc", words[0], values[i // 900 % 8], values[8], "token=" + values[9], "secret: shortone", "password=onlylettersinthisone"])) for i in range(0, len(words), 900)]
+    for rows in (texts, texts[::-1] * 2):
+        frame = spark.createDataFrame([*rows, (-1, None)], "doc_id long, text string")
+        assert (secrets.ordinary(frame) == secrets.trigrams([*words, "shortone"])).all()
+        assert (secrets.known(frame) == secrets.trigrams(values)).all()
+    assert not secrets.known(spark.createDataFrame([(1, None)], "doc_id long, text string")).any()
+
+
+def test_secret_model_learns_from_the_corpus():
+    """An even mixture: what the generator lacks comes from the corpus, and the corpus's size does not count; thresholds keep ordinary identifiers out."""
+    rng = np.random.default_rng(6)
+    odd = ["".join(rng.choice(list("qxzjkvw"), 30)) for _ in range(400)]
+    plain, taught = secrets.Model(), secrets.Model(secrets.trigrams(odd[:300]))
+    mean = lambda m, side: np.mean([secrets.ratio(t, m.ratios) / len(t) for t in side])
+    assert mean(taught, odd[300:]) > mean(plain, odd[300:]) + 0.3
+    assert abs(mean(taught, odd[300:]) - mean(secrets.Model(secrets.trigrams(odd[:300]) * 50), odd[300:])) < 0.3
+    for m in (plain, taught):
+        sample = secrets.labelled_samples(2_000, 12)
+        assert sum(m.random(t) for t in sample[1] if len(t) >= 20) <= 0.002 * len(sample[1]) and m.recall > 0.98
+
+
+def test_without_a_model_nothing_is_added(spark):
+    off = secrets.Model()
+    off.ratios = np.zeros_like(off.ratios)
+    frame = spark.createDataFrame([(1, "the value 16C7e42F292c6912E7710c838347Ae178B4a here")], "doc_id long, text string")
+    assert secrets.scan(frame, off).first().spans == "" and "random:" in secrets.scan(frame).first().spans
 
 
 def test_disguised_words_are_restored():
@@ -444,3 +466,45 @@ def test_records_are_read_the_same_from_rows_and_files(spark, tmp_path):
     key = lambda frame: sorted(str([bytes(v) if isinstance(v, bytearray) else v for v in r]) for r in frame.select(*columns).collect())
     assert key(warc.responses(records)) == key(warc.read_warc(spark, str(tmp_path)))
     assert [bytes(r.raw).decode() for r in warc.responses(records, "page_id").orderBy("page_id").collect()] == ["<p>é\r\n\r\nb</p>\r\n\r\n", "", "x"]
+
+
+def test_added_spans_by_brute_force(spark):
+    """Spans that are added: in the order of their starts, those that overlap no base span and none taken before."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        spans = lambda n, kinds: [{"k": str(rng.choice(kinds)), "s": int(s), "e": int(s + rng.integers(1, 40))} for s in rng.integers(0, 900, n)]  # noqa: B023, E731
+        rows.append((i, spans(rng.integers(0, 40), ["email", "ip"]), spans(rng.integers(0, 400), ["phone", "iban"])))
+    rows += [(150, [], []), (151, [{"k": "ip", "s": 5, "e": 9}], []), (152, [], [{"k": "phone", "s": 0, "e": 1}])]
+    frame = spark.createDataFrame(rows, "id int, base array<struct<k:string,s:int,e:int>>, more array<struct<k:string,s:int,e:int>>")
+    got = {r.id: [(x.s, x.e, x.k) for x in r.free] for r in frame.selectExpr("id", personal.free_sql("base", "more") + " as free").collect()}
+    for i, base, more in rows:
+        want = []
+        for x in sorted(more, key=lambda x: (x["s"], x["e"], x["k"])):
+            if not any(x["s"] < y["e"] and y["s"] < x["e"] for y in base) and not any(x["s"] < e and s < x["e"] for s, e, _ in want):
+                want.append((x["s"], x["e"], x["k"]))
+        assert got[i] == want
+
+
+def test_folds_of_any_length(spark):
+    lengths = [0, 1, personal.BLOCK - 1, personal.BLOCK, personal.BLOCK + 1, 5 * personal.BLOCK + 3]
+    frame = spark.createDataFrame([(list(range(n)),) for n in lengths], "v array<int>")
+    got = frame.selectExpr("v as x", f"{personal.fold_sql('v', '0', 't + y', 't + y')} as sums").collect()
+    assert [list(r.sums) for r in got] == [list(np.cumsum(r.x)) for r in got]
+
+
+def test_texts_of_many_spans(spark):
+    """Ten thousand addresses and telephone numbers in one text, in time in proportion to them."""
+    n = 10_000
+    text = "\n".join(f"u{i}@host{i % 7}.org call (555) 123-{i:04d}" for i in range(n))
+    began = time.time()
+    r = personal.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_email, r.spans.count("phone:")) == (n, n) and time.time() - began < 30
+    assert r.spans.split(",")[:2] == ["email:0:12", "email:33:45"]
+
+
+def test_queries_keep_their_blocks_when_a_task_is_repeated(spark):
+    """Where a query is dealt depends on its id alone, not on the order in which an aggregation gives its rows."""
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    plan = topk.search(frame, F.col("vec_id") % 20 == 0)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("monotonically_increasing_id") == 1
