@@ -13,10 +13,7 @@ from . import pyast
 
 def fact_table(files: DataFrame) -> DataFrame:
     """The facts of files (path, text), written once to the shared folder by kind and read from there: relations share one parse, and each reads only the kinds that it names."""
-    facts = pyast.python_facts(files)
-    path = sinks.landing(files.sparkSession, "facts")
-    facts.write.partitionBy("kind").parquet(path)
-    return files.sparkSession.read.schema(facts.schema).parquet(path)
+    return sinks.kept(pyast.python_facts(files), "facts", "kind")
 
 
 def module_index(files: DataFrame) -> DataFrame:

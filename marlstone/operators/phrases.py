@@ -20,9 +20,7 @@ def words(text: Column) -> Column:
 def index(texts: DataFrame, key: str) -> DataFrame:
     """word, key, pos (from 0) of all words of texts (key, text), stored; repeated rows are kept."""
     rows = texts.select(key, F.posexplode(words(F.col("text"))).alias("pos", "word")).select("word", key, "pos")
-    path = sinks.landing(texts.sparkSession, "index")
-    rows.repartition("word", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("word", key, "pos").write.parquet(path)  # a frequent word is spread over 16 parts
-    return texts.sparkSession.read.schema(rows.schema).parquet(path)
+    return sinks.kept(rows.repartition("word", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("word", key, "pos"), "index")  # a frequent word is spread over 16 parts
 
 
 def found(index: DataFrame, phrases: DataFrame, key: str, phrase: str) -> DataFrame:

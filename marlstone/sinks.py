@@ -27,11 +27,13 @@ def landing(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/marlstone/{uuid.uuid4().hex}/{name}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read from there: what several jobs read is made once."""
-    path = landing(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df, written to the shared folder (partitioned by the named columns) and read from there: what several jobs read is made once. It goes when the driver ends."""
+    spark, path = df.sparkSession, landing(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def flat(df: DataFrame, *columns: str, sep: str = ", ") -> DataFrame:
