@@ -180,3 +180,35 @@ def test_restored_words_raise_the_score(spark):
     tried = ["what a stup1d pathet!c l0ser", "what a s t u p i d one", "you p.a.t.h.e.t.i.c one", "stuuupid and looooser", "$tupid", "the report was agreed on", "meeting 2024, 12:30 - 13:45", "", None]
     got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
     assert min(got[:5]) >= toxicity.THRESHOLD > max(got[5:])
+
+
+def test_lexicon_by_a_plain_loop(spark):
+    """Counts, likelihood ratios and weights of words and beginnings, entry by entry."""
+    rng = np.random.default_rng(7)
+    words = ["meeting", "report", "agreed", "reader", "idiot", "idiotic", "moron", "loser", "losers", "fine", "table"]
+    rows = []
+    for i in range(300):
+        y = int(i % 3 == 0)
+        p = np.array([1.0] * 4 + ([2.0] * 5 if y else [0.02] * 5) + [1.0] * 2)
+        rows.append((" ".join(rng.choice(words, rng.integers(3, 12), p=p / p.sum())), y))
+    rows += [("", 0), (None, 1)]
+    model = toxicity.smoothed(toxicity.gram_counts([t for t, _ in rows if t]).astype(float))
+    read, counts = toxicity.Reader(model), {}
+    for text, y in rows:
+        for w in read(text):
+            counts.setdefault(w, [0, 0])[y] += 1
+    clean, toxic = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    entries: dict = {}
+    for w, c in counts.items():
+        for e in {f"^{w}$", *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) > k)}:
+            have = entries.setdefault(e, [0, 0])
+            have[0], have[1] = have[0] + c[0], have[1] + c[1]
+    want = {}
+    for e, (a, b) in entries.items():
+        ea, eb = (a + b) * clean / (clean + toxic), (a + b) * toxic / (clean + toxic)
+        ratio = 2 * ((a * math.log(a / ea) if a else 0) + (b * math.log(b / eb) if b else 0))
+        weight = math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1))
+        if b >= toxicity.MIN_COUNT and ratio >= toxicity.MIN_RATIO and weight > 2:
+            want[e] = weight
+    got = toxicity.lexicon(spark.createDataFrame(rows, "text string, y int").repartition(3), model)
+    assert got.keys() == want.keys() and len(want) > 3 and all(got[k] == pytest.approx(want[k]) for k in want)
