@@ -3,7 +3,8 @@
 Fixed patterns give the base spans, which always stay. High-recall generators propose further, possibly overlapping spans
 (spelled-out addresses, national telephone numbers, social security and bank account numbers). Boosted
 trees over format and context features score each; a threshold calibrated on held-out samples selects
-what is redacted. The trees are fitted on the driver from generated, labelled samples and run as SQL expressions.
+what is redacted. The trees are fitted on the driver from two labelled samples, and run as SQL expressions: candidates of a
+bounded sample of the corpus, labelled by checksums and formats, and generated ones for the kinds that a corpus may lack.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import table
 
@@ -96,6 +98,21 @@ _PASSES = {
     "phone": "(length(regexp_replace(x.m, '[^0-9]', '')) between 9 and 15)",
 }
 
+#: Digits of an account number's checksum, in the order of their values.
+_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: SQL: x.m is a bank account number whose remainder by 97 is 1.
+_CHECKED = f"(x.k = 'iban' and transform(array(replace(x.m, ' ', '')), c -> aggregate(sequence(1, length(c)), 0, (n, i) -> transform(array(locate(substring(concat(substring(c, 5), left(c, 4)), i, 1), '{_ALNUM}') - 1), v -> (if(v < 10, 10, 100) * n + v) % 97)[0]))[0] = 1)"
+#: A digit right before or after: the span may be a part of a longer number.
+_DIGIT_BEFORE, _DIGIT_AFTER = "[0-9][ ./]?$", "^[ ./]?[0-9]"
+#: Social security numbers that are never given.
+_NEVER = "^(000|666|9)|-00-|-0000$"
+
+
+def remainder_97(account: str) -> int:
+    c = account.replace(" ", "")
+    return functools.reduce(lambda n, ch: (n * (10 if ch.isdigit() else 100) + _ALNUM.index(ch)) % 97, c[4:] + c[:4], 0)
+
+
 #: Features of a candidate span x: SQL, and the same in Python for fitting.
 _FEATURES: list[tuple[str, object]] = [
     ("cast(length(x.m) as double)", lambda k, m, l, r: len(m)),
@@ -107,7 +124,9 @@ _FEATURES: list[tuple[str, object]] = [
     (f"if(x.l rlike '{_AGAINST}', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search(_AGAINST, l)))),
     ("if(x.l rlike '[:=] ?$', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search("[:=] ?$", l)))),
     ("if(x.m rlike '(?i)(dot|@)', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search("(?i)(dot|@)", m)))),
-    ("if(x.m rlike '^(000|666|9)|-00-|-0000$', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search("^(000|666|9)|-00-|-0000$", m)))),
+    (f"if(x.m rlike '{_NEVER}', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search(_NEVER, m)))),
+    (f"if({_CHECKED}, 1.0D, 0.0D)", lambda k, m, l, r: float(k == "iban" and remainder_97(m) == 1)),
+    (f"if(x.l rlike '{_DIGIT_BEFORE}' or x.r rlike '{_DIGIT_AFTER}', 1.0D, 0.0D)", lambda k, m, l, r: float(bool(re.search(_DIGIT_BEFORE, l) or re.search(_DIGIT_AFTER, r)))),
     *((f"if(x.k = '{kind}', 1.0D, 0.0D)", lambda k, m, l, r, kind=kind: float(k == kind)) for kind in MORE),
 ]
 
@@ -134,17 +153,76 @@ def labelled_samples(n: int = 6_000, seed: int = 3) -> list[tuple[str, str, str,
             m = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" if y else rng.choice([f"000-{digits(2)}-{digits(4)}", f"9{digits(2)}-{digits(2)}-{digits(4)}", f"{digits(3)}-00-{digits(4)}"])
         else:
             body = digits(rng.randint(12, 20)) if y else "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123", k=rng.randint(12, 20)))
-            m = rng.choice(["DE", "FR", "ES", "GB"]) + digits(2) + body
+            land = rng.choice(["DE", "FR", "ES", "GB"])
+            m = land + (f"{98 - remainder_97(f'{land}00{body}'):02d}" if y and rng.random() < 0.9 else digits(2)) + body
         out.append((kind, m, left[-WINDOW:], " " + word(), y))
     return out
 
 
-@functools.cache
-def trees(n_trees: int = 30, depth: int = 3, rate: float = 0.3) -> tuple[list, float, float]:
-    """(trees, start, threshold): gradient boosting of the logistic loss; the threshold keeps precision at 0.95 or more on samples held out."""
-    rows = labelled_samples()
-    x, y = np.array([[float(f(*r[:4])) for _, f in _FEATURES] for r in rows]), np.array([r[4] for r in rows], float)
-    held = np.arange(len(x)) % 4 == 0
+def corpus_samples(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 500) -> list[tuple[str, str, str, str, int]]:
+    """(kind, match, left, right, label) of candidates in about max_docs documents, at most max_spans different ones of a kind and label.
+
+    Labels come from what a span itself proves. Accounts: the remainder by 97. Social security numbers: ranges that are never given.
+    Telephone numbers: the national part of an international one is one, a stretch of a longer number is none. Addresses: one that
+    the base pattern finds is one, and stands here spelled out; plain prose around "at" is none. Candidates that prove nothing are left out.
+    """
+    n = docs.count()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    if n > max_docs:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    base = lambda k: f"filter({spans_sql('t', BASE[k], _NEEDS[k], k)}, x -> {_PASSES[k]})"
+    more = lambda k: spans_sql("t", MORE[k], _MORE_NEEDS[k], k)
+    row = lambda k, m, y: f"named_struct('k', '{k}', 'm', {m}, 'l', x.l, 'r', x.r, 'y', {y})"
+    form = "abs(xxhash64(x.m)) % 3"
+    at, dot = f"element_at(array(' at ', '[at]', ' (at) '), cast({form} as int) + 1)", f"element_at(array(' dot ', '[dot]', '(dot)'), cast({form} as int) + 1)"
+    host = r"regexp_extract(x.m, '@(?:.*[.])?([^.]+)[.]([^.]+)$', {})"
+    national = r"regexp_replace(x.m, '^[+][0-9]{1,3}[ .-]?', '')"
+    apart = f"(x.l rlike '{_DIGIT_BEFORE}' and not x.l rlike '[+][0-9]{{1,3}}[ .-]?$' or x.r rlike '{_DIGIT_AFTER}')"
+    whole = lambda k: f"y -> y.m rlike '^(?:{MORE[k]})$'".replace("\\", "\\\\")
+    spelled = f"concat(substring_index(x.m, '@', 1), {at}, {host.format(1)}, {dot}, {host.format(2)})"
+    parts = [
+        f"filter(transform({base('email')}, x -> {row('email', spelled, 1)}), {whole('email')})",
+        f"transform(filter({more('email')}, x -> not x.m rlike '(?i)[@(<{{\\\\[]|[^a-z]dot[^a-z]'), x -> {row('email', 'x.m', 0)})",
+        f"filter(transform({base('phone')}, x -> {row('phone', national, 1)}), {whole('phone')})",
+        f"transform(filter({more('phone')}, x -> {apart}), x -> {row('phone', 'x.m', 0)})",
+        f"transform({more('ssn')}, x -> {row('ssn', 'x.m', f"if(x.m rlike '{_NEVER}', 0, 1)")})",
+        f"transform({more('iban')}, x -> {row('iban', 'x.m', f'if({_CHECKED}, 1, 0)')})",
+    ]
+    found = rows.select(F.explode(F.expr(f"concat({', '.join(parts)})")).alias("x")).select("x.*").distinct()
+    order = Window.partitionBy("k", "y").orderBy(F.xxhash64("m", "l", "r"), "m", "l", "r")
+    found = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_spans)
+    return sorted((r.k, r.m, r.l, r.r, r.y) for r in found.collect())  # at most 2 * max_spans a kind
+
+
+#: The last word before a span, and the words whose weight is kept at most, each seen a few times at least.
+_WORD_BEFORE, MAX_WORDS, SEEN = "([A-Za-z]+)[^A-Za-z]*$", 256, 4
+
+
+def word_before(left: str) -> str:
+    found = re.search(_WORD_BEFORE, left)
+    return found[1].lower() if found else ""
+
+
+def word_weights(rows: list) -> dict[str, float]:
+    """How much likelier than in all rows a span is personal after each word, as a logarithm."""
+    counts = {y: Counter(word_before(r[2]) for r in rows if r[4] == y) for y in (0, 1)}
+    total = {y: sum(counts[y].values()) + 1 for y in (0, 1)}
+    seen = Counter(counts[0]) + counts[1]
+    words = sorted((w for w in seen if w and seen[w] >= SEEN), key=lambda w: (-seen[w], w))[:MAX_WORDS]
+    return {w: float(np.log((counts[1][w] + 1) / (counts[0][w] + 1) * total[0] / total[1])) for w in words}
+
+
+@functools.lru_cache(maxsize=8)
+def trees(corpus: tuple = (), n_trees: int = 30, depth: int = 3, rate: float = 0.3) -> tuple[list, float, float, dict[str, float]]:
+    """(trees, start, threshold, weights of words): gradient boosting of the logistic loss on generated and corpus samples.
+
+    The threshold keeps precision at 0.95 or more on samples held out, which neither trees nor weights have seen.
+    """
+    rows = labelled_samples() + list(corpus)
+    held = np.arange(len(rows)) % 4 == 0
+    weights = word_weights([r for r, h in zip(rows, held) if not h])
+    x = np.array([[*(float(f(*r[:4])) for _, f in _FEATURES), weights.get(word_before(r[2]), 0.0)] for r in rows])
+    y = np.array([r[4] for r in rows], float)
     xt, yt = x[~held], y[~held]
     start = float(np.log(yt.mean() / (1 - yt.mean())))
 
@@ -164,21 +242,23 @@ def trees(n_trees: int = 30, depth: int = 3, rate: float = 0.3) -> tuple[list, f
         low = xt[at, best[1]] <= best[2]
         return best[1], best[2], grow(at[low], g, h, d - 1), grow(at[~low], g, h, d - 1)
 
-    def value(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
+    def values(tree, m: np.ndarray) -> np.ndarray:
+        if not isinstance(tree, tuple):
+            return np.full(len(m), tree)
+        low, out = m[:, tree[0]] <= tree[1], np.empty(len(m))
+        out[low], out[~low] = values(tree[2], m[low]), values(tree[3], m[~low])
+        return out
 
     out, score = [], np.full(len(xt), start)
     for _ in range(n_trees):
         p = 1 / (1 + np.exp(-score))
         out.append(grow(np.arange(len(xt)), p - yt, p * (1 - p), depth))
-        score += np.array([value(out[-1], r) for r in xt])
-    got = np.array([start + sum(value(t, r) for t in out) for r in x[held]])
+        score += values(out[-1], xt)
+    got = start + sum(values(t, x[held]) for t in out)
     order = np.argsort(-got)
     precision = np.cumsum(y[held][order]) / np.arange(1, held.sum() + 1)
     fine = np.flatnonzero(precision >= 0.95)
-    return out, start, float(got[order][fine[-1]]) if len(fine) else float("inf")
+    return out, start, float(got[order][fine[-1]]) if len(fine) else float("inf"), weights
 
 
 def _tree_sql(tree) -> str:
@@ -187,11 +267,13 @@ def _tree_sql(tree) -> str:
     return f"if(f[{tree[0]}] <= {tree[1]!r}D, {_tree_sql(tree[2])}, {_tree_sql(tree[3])})"
 
 
-def _selected(text: str) -> str:
+def _selected(text: str, corpus: tuple) -> str:
     """SQL: array of structs (k, s, e, ...) of the generators' spans that the trees accept."""
-    grown, start, threshold = trees()
+    grown, start, threshold, weights = trees(corpus)
     found = "flatten(array(" + ", ".join(spans_sql(text, p, _MORE_NEEDS[k], k) for k, p in MORE.items()) + "))"
-    features = "array(" + ", ".join(sql for sql, _ in _FEATURES) + ")"
+    known = "map(" + ", ".join(f"'{w}', {v!r}D" for w, v in weights.items()) + ")"
+    before = f"coalesce(element_at({known}, lower(regexp_extract(x.l, '{_WORD_BEFORE}', 1))), 0.0D)" if weights else "0.0D"
+    features = "array(" + ", ".join([*(sql for sql, _ in _FEATURES), before]) + ")"
     score = f"transform(array({features}), f -> {start!r}D + " + " + ".join(_tree_sql(t) for t in grown) + ")[0]"
     return f"filter({found}, x -> {score} >= {threshold!r}D)"
 
@@ -201,12 +283,12 @@ def find(docs: DataFrame) -> DataFrame:
 
     Spans are in code points, end exclusive, by kind, then start. Added spans that overlap a base span, or
     an added one that starts before them and is kept, go; the time is in proportion to the number of spans. Null text counts as empty; a text without findings has the hash of the empty string
-    and empty spans. Repeated rows each get a row.
+    and empty spans. Repeated rows each get a row. The trees learn from the corpus too (corpus_samples, bounded): which spans are added depends on it, base spans do not.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     for k, p in BASE.items():
         rows = rows.withColumn(f"b_{k}", F.expr(f"filter({spans_sql('t', p, _NEEDS[k], k)}, x -> {_PASSES[k]})"))
-    rows = rows.withColumn("more", F.expr(_selected("t"))).drop("t")
+    rows = rows.withColumn("more", F.expr(_selected("t", tuple(corpus_samples(docs))))).drop("t")
     base = "concat(" + ", ".join(f"b_{k}" for k in BASE) + ")"
     text = lambda a: f"array_join(transform({a}, x -> concat(x.k, ':', x.s, ':', x.e)), ',')"
     rank = "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k)"

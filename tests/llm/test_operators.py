@@ -394,6 +394,50 @@ def test_added_personal_spans(spark):
     assert len(wanted) >= 15 and len(found & wanted) / len(wanted) >= 0.8 and len(found & wanted) / len(found) >= 0.9
 
 
+def test_trees_learn_from_the_corpus(spark):
+    """Words of an invented language, before spans that prove themselves, decide about spans that do not: with the generated sample alone both are taken."""
+    kind = "doc_id long, text string"
+    corpus = [f"lu kontakto +1 (415) 555-{n:04d} ba" for n in range(150)] + [f"lu kennung 000-12-{n:04d} ba" for n in range(1, 151)] + [f"lu kennung 901-12-{n:04d} ba" for n in range(1, 151)]
+    asked = [f"lu {w} (628) 555-{n:04d} ba" for n in range(20) for w in ("kontakto", "kennung")]
+    added = lambda docs: {r.doc_id for r in docs.where("spans like '%phone:%' and n_phone = 0").collect()}
+    got = added(personal.find(spark.createDataFrame(list(enumerate(asked + corpus)), kind)))
+    assert got == {i for i in range(40) if i % 2 == 0}
+    assert added(personal.find(spark.createDataFrame(list(enumerate(asked)), kind))) == set(range(40))
+
+
+def test_corpus_samples_equal_a_plain_loop(spark):
+    """Labels of candidates by Python's own patterns and checksums; ties, repeats, nulls and empty texts; the bound per kind and label."""
+    parts = ["a.b@mail.co.uk", "x@y.org", "that at noon. es", "joe at home dot com", "+1 (415) 555-2671", "(415) 555-2671", "12 415-555-2671", "415-555-2671 9", "219-09-9999", "900-11-2222", "123-00-1234", "DE89370400440532013000", "DE88370400440532013000", "GB29 NWBK 6016 1331 9268 19", "é", "word"]
+    rng = np.random.default_rng(8)
+    texts = [" | ".join(rng.choice(parts, rng.integers(0, 7))) for _ in range(200)] + [None, "", None]
+    got = personal.corpus_samples(spark.createDataFrame([(i % 50, t, 0) for i, t in enumerate(texts + texts)], "doc_id long, text string, k int"))
+    want = set()
+    for t in (x or "" for x in texts):
+        def matches(pattern):
+            """Matches with their contexts, which end at the neighbouring matches."""
+            found = list(re.finditer(pattern, t))
+            edges = [0, *(x for m in found for x in m.span()), len(t)]
+            return [(m, t[edges[2 * i] : m.start()][-personal.WINDOW :], t[m.end() : edges[2 * i + 3]][: personal.WINDOW]) for i, m in enumerate(found)]
+
+        for m, l, r in matches(personal.MORE["ssn"]):
+            a, g, n = m[0].split("-")
+            want.add(("ssn", m[0], l, r, int(a not in ("000", "666") and a[0] != "9" and g != "00" and n != "0000")))
+        for m, l, r in matches(personal.MORE["iban"]):
+            c = m[0].replace(" ", "")
+            want.add(("iban", m[0], l, r, int(int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1)))
+        for m, l, r in matches(personal.MORE["phone"]):
+            if re.search("[0-9][ ./]?$", l) and not re.search("[+][0-9]+ $", l) or re.match("[ ./]?[0-9]", r):
+                want.add(("phone", m[0], l, r, 0))
+        want |= {("phone", m[1], l, r, 1) for m, l, r in matches(r"\+1 (\(415\) 555-2671)")}
+        want |= {("email", m[0], l, r, 0) for m, l, r in matches(personal.MORE["email"]) if "at noon" in m[0]}
+    assert {r for r in got if (r[0], r[4]) != ("email", 1)} == want and len(got) == len(set(got))
+    spelled = {r[1] for r in got if (r[0], r[4]) == ("email", 1)}
+    assert len(spelled) == 1 and re.fullmatch(r"a[.]b( at |\[at\]| \(at\) )co( dot |\[dot\]|\(dot\))uk", spelled.pop())  # the generator takes no names of one letter
+    few = personal.corpus_samples(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), max_spans=3)
+    assert set(few) <= set(got) and max(sum(r[0] == k and r[4] == y for r in few) for k in personal.MORE for y in (0, 1)) == 3
+    assert personal.corpus_samples(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
 def test_base_spans_equal_brute_force(spark):
     """Counts and digests of the base kinds by Python's own patterns."""
     rng, parts = np.random.default_rng(3), ["a@b.c", "x.y+z@q-r.co.uk", "@", "1.2.3.4", "256.1.1.1", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234567", "+1 2", "é", " ", "  ", "12", ".", "-", "\n", "a@b", "5500005555555559", "+442071838750."]
