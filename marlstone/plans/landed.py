@@ -629,6 +629,22 @@ def stream_watch(spark, sf_dir):
     return progress.counts_so_far(spark, state)
 
 
+@query("SELECT event_type AS model, CAST(count(*) AS BIGINT) AS n, true AS stopped FROM events GROUP BY 1")
+def stream_stop(spark, sf_dir):
+    """Items worked off by a run that is asked to stop during its first batch, and by one that goes on from there: each item once."""
+    e = _table(spark, sf_dir, "events").selectExpr("event_type as model", "event_id as n")
+    path, state, out, flag = (sinks.landing(spark, x) for x in ("items", "state", "done", "stop"))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e.repartition(parts, "n").write.parquet(path)
+
+    def asking(batch: DataFrame) -> DataFrame:
+        progress.ask_to_stop(spark, flag)
+        return batch
+
+    runs = [progress.worked_off(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", parts // 4).parquet(path), state, out, flag, work) for work in (asking, lambda batch: batch)]
+    return progress.results(spark, out, e.schema).groupBy("model").agg(F.count("*").alias("n")).withColumn("stopped", F.lit(runs == [False, True]))
+
+
 @query("SELECT '| p_size | n |' AS line UNION ALL SELECT '|---|---:|' UNION ALL SELECT '| ' || p_size || ' | ' || count(*) || ' |' FROM part GROUP BY p_size")
 def sink_markdown(spark, sf_dir):
     return sinks.markdown_rows(_table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).orderBy("p_size"), ("n",))

@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -96,6 +97,44 @@ def wait(query: StreamingQuery, done: Callable[[], bool], seconds: float = 120.0
             raise query.exception()
 
 
+def ask_to_stop(spark: SparkSession, flag: str) -> None:
+    """Asks the run that watches this flag, a file on the shared file system, to stop before its next batch. Asking again changes nothing."""
+    fs, p = _path(spark, flag)
+    fs.create(p, True).close()
+
+
+def worked_off(stream: DataFrame, state: str, out: str, flag: str, work: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> bool:
+    """Works off what a stream holds, batch by batch, and stores what work makes of each below out; True if nothing is left.
+
+    Whoever sees the flag's folder may ask it to stop (ask_to_stop): the batch under way is finished and stored, the next one is not begun,
+    and the result is False. A later run with the same state goes on with that batch. Each batch has a folder by its number, so that one that is
+    repeated after a failure replaces itself; an error of work is raised. The request is taken back when the run ends, however it ends.
+    """
+    spark, halted = stream.sparkSession, []
+    fs, asked = _path(spark, flag)
+
+    def batch(rows: DataFrame, n: int) -> None:
+        if fs.exists(asked):
+            halted.append(n)
+            raise InterruptedError(f"asked to stop before batch {n}")  # not committed: the next run begins here
+        work(rows).write.mode("overwrite").parquet(f"{out}/{n:09d}")
+
+    try:
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    except StreamingQueryException:
+        if not halted:
+            raise
+    finally:
+        fs.delete(asked, False)
+    return not halted
+
+
+def results(spark: SparkSession, out: str, schema) -> DataFrame:
+    """What worked_off has stored so far; no rows before its first batch."""
+    fs, p = _path(spark, out)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
 #: Columns of a table of progress.
 PROGRESS = "event string, name string, run string, batch long, input_rows long, updated_rows long, at string"
 

@@ -132,6 +132,42 @@ def test_a_watch_goes_on_after_a_stop(spark, tmp_path):
     assert {r.k: r.n for r in progress.counts_so_far(spark, state).collect()} == {0: 4, 1: 3}
 
 
+def test_a_run_stops_between_batches(spark, tmp_path):
+    """The batch under way is finished, the next not begun; a later run goes on, and each item is worked off once, after a failure too."""
+    path, state, out, flag = (f"file://{tmp_path}/{x}" for x in ("in", "state", "out", "stop"))
+    for k in range(6):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(path)
+    seen = []
+
+    def run(work=lambda batch: batch):
+        return progress.worked_off(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(path), state, out, flag, work)
+
+    def asking(batch):
+        seen.append(sorted(r.id for r in batch.collect()))
+        if len(seen) == 2:
+            progress.ask_to_stop(spark, flag)
+            progress.ask_to_stop(spark, flag)
+        return batch
+
+    def failing(batch):
+        if len(seen) == 2:
+            seen.append([])
+            return batch
+        raise ValueError("work fails")
+
+    assert progress.results(spark, out, "id long").count() == 0
+    progress.ask_to_stop(spark, flag)
+    assert not run(asking) and seen == [] and not os.path.exists(tmp_path / "stop")  # asked before the first batch
+    assert not run(asking) and len(seen) == 2 and not os.path.exists(tmp_path / "stop")
+    assert _ids(progress.results(spark, out, "id long")) == sorted(x for s in seen for x in s) and len(seen[0] + seen[1]) == 20
+    with pytest.raises(Exception, match="work fails"):
+        run(failing)
+    assert progress.results(spark, out, "id long").count() == 30
+    assert run() and _ids(progress.results(spark, out, "id long")) == list(range(60))
+    progress.ask_to_stop(spark, flag)
+    assert run() and not os.path.exists(tmp_path / "stop") and progress.results(spark, out, "id long").count() == 60  # nothing left, nothing to stop
+
+
 def test_sqlite_there_and_back(spark, tmp_path):
     rows = [(i, i / 4 if i % 3 else None, None if i % 5 == 0 else f"t'{i}", bytes([i % 256]), i % 2 == 0) for i in range(997)]
     frame = spark.createDataFrame(rows, "a long, b double, `c d` string, e binary, f boolean").repartition(3)
