@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import sinks, snapshots
 from ..functions import jsonx, text
-from ..operators import audit, chat, deltas, patch, reports, rules
+from ..operators import audit, catalogues, chat, deltas, patch, reports, rules
 from ..sources import files, sqlite
 from ..streaming import progress
 
@@ -778,6 +778,26 @@ def catalogue_grid(spark, sf_dir):
     return found.crossJoin(F.broadcast(models)).select("catalogue", "model", "question", pos.alias("pos"))
 
 
+@query("""SELECT catalogue, variant, n_prompt, model, conv_id, turn, pos FROM (
+  SELECT 'question_catalog_' || (conv_id % 7) AS catalogue, 'system_prompt_' || r_regionkey AS variant, CAST(length(trim(r_name)) AS INTEGER) AS n_prompt, m.model, conv_id, turn,
+    CAST(row_number() OVER (ORDER BY conv_id % 7, r_regionkey, m.ix, conv_id, turn) AS INTEGER) AS pos
+  FROM conversations, region, (VALUES ('small', 1), ('large', 2)) m(model, ix) WHERE role = 'user' AND conv_id % 7 <> 6 AND r_regionkey <> 4
+) WHERE NOT (model = 'small' AND turn = 0)""")
+def catalogue_runs(spark, sf_dir):
+    """Questions of all catalogues that are found, under each prompt variant and model, in the order of the whole plan; what has a record is not asked again."""
+    root = sinks.landing(spark, "catalogues")
+    named = lambda name, key, other: F.concat(F.when(other, F.lit("draft_")).otherwise(F.lit("")), F.lit(name), key.cast("string"))
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked.select(named("question_catalog_", F.col("conv_id") % 7, F.col("conv_id") % 7 == 6).alias("catalogue"), F.to_json(F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))).alias("value")).write.partitionBy("catalogue").text(root)
+    regions = _table(spark, sf_dir, "region").withColumn("name", named("system_prompt_", F.col("r_regionkey"), F.col("r_regionkey") == 4))
+    sinks.write_entities(regions, f"{root}_prompts", "name", F.concat(F.lit("  "), "r_name", F.lit("\n\n")))
+    found = catalogues.questions(spark, root, "conv_id long, turn long, question string", "question")
+    plan = catalogues.runs(found, catalogues.prompts(spark, f"{root}_prompts"), ["small", "large"], "conv_id", "turn")
+    done = asked.where("turn = 0").selectExpr("conv_id", "turn", "'small' as model")
+    left = progress.open_items(plan, done, ("conv_id", "turn", "model"))
+    return left.select("catalogue", "variant", F.length("prompt").alias("n_prompt"), "model", "conv_id", "turn", "pos")
+
+
 @query("SELECT DISTINCT p_brand AS module FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')")
 def resume_by_file(spark, sf_dir):
     """Modules without a result file of their own; an empty file is no result."""

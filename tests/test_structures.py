@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
-from marlstone.operators import automaton, code_graph, intervals, merkle, phrases, rules
+from marlstone.operators import automaton, catalogues, code_graph, intervals, merkle, phrases, rules
 from marlstone.plans import code
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,27 @@ def test_relations_share_one_parse(spark):
         plan = relation(facts, files)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and "PartitionFilters: [isnotnull(kind" in plan
     assert facts.where(F.col("kind") == "import").count() > 0
+
+
+def test_catalogues_found_as_files(spark, tmp_path):
+    """Files and folders that begin as agreed, in the order of the plan; faults are errors that name the catalogue; nothing found, nothing to run."""
+    root = f"file://{tmp_path}"
+    schema = "id long, question string"
+    none = catalogues.questions(spark, root, schema, "question")
+    assert none.count() == 0 and catalogues.prompts(spark, root).count() == 0
+    for name, lines in {"question_catalog_b.jsonl": ['{"id": 2, "question": "B2"}', "", '{"id": 1, "question": "B1", "more": 3}'], "question_catalog.v2.jsonl": ['{"id": 1, "question": ""}'], "my_question_catalog.jsonl": ["nonsense"], "system_prompt_x.md": ["", "  be", "brief \u00a0", ""], "system_prompt_y.md": [""], "notes.md": ["no"]}.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    (tmp_path / "question_catalog_a").mkdir()
+    for i in (0, 1):
+        (tmp_path / "question_catalog_a" / f"part-{i}").write_text(f'{{"id": {9 - i}, "question": "A{9 - i}"}}\n')
+    asked, variants = catalogues.questions(spark, root, schema, "question"), catalogues.prompts(spark, root)
+    assert {(r.variant, r.prompt) for r in variants.collect()} == {("system_prompt_x", "be\nbrief"), ("system_prompt_y", "")}
+    got = [(r.pos, r.catalogue, r.variant, r.model, r.id) for r in catalogues.runs(asked, variants, ["m2", "m1"], "id").orderBy("pos").collect()]
+    held = [("question_catalog.v2", [1]), ("question_catalog_a", [8, 9]), ("question_catalog_b", [1, 2])]
+    want = [(c, v, m, i) for c, ids in held for v in ("system_prompt_x", "system_prompt_y") for m in ("m2", "m1") for i in ids]
+    assert got == [(n + 1, *w) for n, w in enumerate(want)]
+    assert catalogues.runs(asked, variants, [], "id").count() == 0 and catalogues.runs(none, variants, ["m"], "id").count() == 0
+    for bad in ('{"id": 3}', "no json"):
+        (tmp_path / "question_catalog_b.jsonl").write_text(bad)
+        with pytest.raises(Exception, match="a question without question in question_catalog_b"):
+            catalogues.questions(spark, root, schema, "question").collect()
