@@ -1,11 +1,13 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-The dimensions are cut into LISTS groups. For a query each group gives one list of the candidates in
-descending order of their partial inner product. The lists are read in step, block by block. A
-candidate's score lies between what was read of it plus the smallest entries of the lists where it
-was not met, and what was read plus the last entry read of those lists. Reading stops when k lower
-bounds are above every other candidate's upper bound, and goes on in the same lists until the scores
-of those that remain are complete. No entry is looked up out of order.
+The dimensions are cut into LISTS groups, and the candidates of a block into runs of similar vectors. In each group a
+run has a middle and a radius, which bound the partial inner product of all its members from both sides. For a query
+each group gives one list: the runs in descending order of their bound. The lists are read in step, some runs at a
+time, and only what is read is multiplied. The score of a candidate lies between what was read of it plus the lower
+bounds of its run in the lists where it was not met, and what was read plus the upper bounds there. A run none of
+whose members reaches the k-th largest lower bound is passed over from then on, so that its entries in the remaining
+lists are never multiplied; reading stops when every run is either passed over or complete. No entry is looked up out
+of order, and the scores that remain are complete sums.
 
 Rows are dealt to blocks of candidates and blocks of queries of bounded size; each pair of blocks is one group
 of work, and the best k of every block meet in a final ranking.
@@ -21,48 +23,84 @@ from .shared import table
 
 #: Lists, and rows of a block of candidates and of queries: large blocks of queries, so that candidates are seldom copied.
 LISTS, CANDIDATES, QUERIES = 4, 8_192, 16_384
-
-
-def sorted_access(parts: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (positions, scores) of the sums over rows of parts (lists x candidates), ties to the smaller id; own: excluded."""
-    m, n = parts.shape
-    k = min(k, n - int(own.sum()))
-    if k <= 0:
-        return np.empty(0, np.int64), np.empty(0, parts.dtype)
-    small = parts.dtype != object and -(2**15) < parts.min() and parts.max() < 2**15
-    order = np.argsort(-(parts.astype(np.int16) if small else parts), axis=1, kind="stable")  # 16-bit keys are sorted by radix
-    lists = [parts[g, order[g]] for g in range(m)]
-    floor = [x[-1] for x in lists]
-    met, read = np.zeros(n, np.int64), np.zeros(n, parts.dtype)  # bit g: met in list g
-    lacks = lambda ends: np.array([sum((ends[g] for g in range(m) if not bits >> g & 1), parts.dtype.type(0) if parts.dtype != object else 0) for bits in range(1 << m)], dtype=parts.dtype)
-    below, all_met = lacks(floor), (1 << m) - 1
-    never = min(below[0], 0) * 4 - 1
-    depth, step = 0, max(64, n // 10)
-    while True:
-        end = min(n, depth + (2 * step if not depth else step))
-        for g in range(m):
-            at = order[g, depth:end]
-            met[at] |= 1 << g
-            read[at] += lists[g][depth:end]
-        depth = end
-        if depth == n:
-            break
-        low = read + below[met]
-        low[own] = never
-        kth = np.partition(low, n - k)[n - k]
-        last = [x[depth - 1] for x in lists]
-        if sum(last) >= kth and not met.all():
-            continue  # one that was met in no list may still qualify
-        alive = (read + lacks(last)[met] >= kth) & ~own
-        if (met[alive] == all_met).all():
-            break
-    alive = np.flatnonzero((met == all_met) & ~own)
-    score = read[alive]
-    if len(alive) > k:
-        near = score >= np.partition(score, len(score) - k)[len(score) - k]
-        alive, score = alive[near], score[near]
-    best = np.lexsort((ids[alive], -score))[:k]
-    return alive[best], score[best]
+#: Rows of a run, on average; queries that read their lists together; runs that the first step reads of each list (each further step trebles what was read).
+RUN, TOGETHER, FIRST = 64, 256, 16
+
+
+def runs_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the rows of c in runs of similar rows, by a few rounds of k-means; a run has at most 2 * RUN rows."""
+    n = len(c)
+    x = c.astype(np.float64)
+    middles = x[np.linspace(0, n - 1, -(-n // RUN)).astype(np.int64)]
+    for _ in range(4):
+        nearest = np.argmin((middles**2).sum(1) - 2 * (x @ middles.T), axis=1)
+        order = np.argsort(nearest, kind="stable")
+        starts = np.flatnonzero(np.diff(nearest[order], prepend=-1))
+        middles[nearest[order[starts]]] = np.add.reduceat(x[order], starts) / np.diff(starts, append=n)[:, None]
+    cuts = [np.arange(lo, hi, 2 * RUN) for lo, hi in zip(starts, np.append(starts[1:], n))]
+    return order, np.concatenate(cuts)
+
+
+class Lists:
+    """The lists of a block of candidates: for each group of dimensions, its runs with what bounds their partial inner products."""
+
+    def __init__(self, c: np.ndarray, ids: np.ndarray):
+        order, self.starts = runs_of(c)
+        self.c, self.ids = c[order], ids[order]
+        self.sizes = np.diff(self.starts, append=len(c))
+        self.groups = [g for g in np.array_split(np.arange(c.shape[1]), LISTS) if len(g)] or [np.arange(0)]
+        self.parts = [np.ascontiguousarray(self.c[:, g]) for g in self.groups]
+        x = [p.astype(np.float64) for p in self.parts]
+        self.middles = [np.add.reduceat(p, self.starts) / self.sizes[:, None] for p in x]
+        away = [np.sqrt(((p - np.repeat(m, self.sizes, axis=0)) ** 2).sum(1)) for p, m in zip(x, self.middles)]
+        self.radii = [np.maximum.reduceat(a, self.starts) for a in away]
+        self.multiplied = 0  # entries read so far, for tests
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of partial inner products: lists x queries x runs, wider by more than rounding can err."""
+        q = q.astype(np.float64)
+        slack = 1e-9 * (1 + np.abs(q).max(initial=0) * float(np.abs(self.c).max(initial=0)) * q.shape[1])
+        middle = np.stack([q[:, g] @ m.T for g, m in zip(self.groups, self.middles)])
+        reach = np.stack([np.sqrt((q[:, g] ** 2).sum(1))[:, None] * r for g, r in zip(self.groups, self.radii)]) + slack
+        return middle - reach, middle + reach
+
+    def best(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the ids and scores of its k best candidates with another id, ties to the smaller id."""
+        n, runs, k = len(self.c), len(self.starts), min(k, len(self.c))
+        low, high = self.bounds(q)
+        lists = np.argsort(-high, axis=2, kind="stable")
+        met, passed = np.zeros(high.shape, bool), np.zeros(high.shape[1:], bool)
+        read = np.zeros((len(q), n), self.c.dtype)
+        own = self.ids == q_ids[:, None]
+        depth, end = 0, FIRST
+        while depth < runs and not (passed | met.all(0)).all():
+            for g, dims in enumerate(self.groups):
+                now = np.zeros(passed.shape, bool)
+                np.put_along_axis(now, lists[g, :, depth:end], True, axis=1)
+                now &= ~passed
+                for r in np.flatnonzero(now.any(0)):
+                    who, rows = np.flatnonzero(now[:, r]), slice(self.starts[r], self.starts[r] + self.sizes[r])
+                    if len(who) == len(q):
+                        read[:, rows] += q[:, dims] @ self.parts[g][rows].T
+                    else:
+                        read[who, rows] += q[np.ix_(who, dims)] @ self.parts[g][rows].T
+                    self.multiplied += len(who) * int(self.sizes[r])
+                met[g] |= now
+            depth, end = end, 3 * end
+            least = read + np.repeat(np.where(met, 0, low).sum(0), self.sizes, axis=1)
+            least[own] = -np.inf
+            kth = np.partition(least, n - k, axis=1)[:, n - k]
+            most = np.maximum.reduceat(read, self.starts, axis=1) + np.where(met, 0, high).sum(0)
+            passed |= (most < kth[:, None]) & ~met.all(0)
+        known = np.repeat(met.all(0), self.sizes, axis=1) & ~own
+        out = []
+        for score, there in zip(read, known):
+            at = np.flatnonzero(there)
+            if len(at) > k:
+                at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+            at = at[np.lexsort((self.ids[at], -score[at]))[:k]]
+            out.append((self.ids[at], score[at]))
+        return out
 
 
 def clamped(score: np.ndarray) -> np.ndarray:
@@ -82,16 +120,12 @@ def _cell(k: int):
         q, c = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (q, c))
         top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(wide, 1)
         kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else object
-        groups = [g for g in np.array_split(np.arange(wide), LISTS) if len(g)] or [np.arange(0)]
         q, c = (np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) if kind is object else x.astype(kind) for x in (q, c))
-        whole = np.int32 if top < 2**28 else np.int64 if kind is not object else object
+        lists = Lists(c, c_ids)
         found: list[tuple] = []
-        for at in range(0, len(q), 32):
-            dots = [(q[at : at + 32, g] @ c[:, g].T) for g in groups]
-            for i in range(len(dots[0])):
-                parts = np.stack([d[i] for d in dots]).astype(whole)
-                where, score = sorted_access(parts, c_ids, c_ids == q_ids[at + i], k)
-                found.append((np.full(len(where), q_ids[at + i]), c_ids[where], clamped(score)))
+        for at in range(0, len(q), TOGETHER):
+            asking = q_ids[at : at + TOGETHER]
+            found += [(np.full(len(ids), i), ids, clamped(score)) for i, (ids, score) in zip(asking, lists.best(q[at : at + TOGETHER], asking, k))]
         return pa.table({name: pa.array(np.concatenate([f[j] for f in found]).astype(np.int64)) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
     return run

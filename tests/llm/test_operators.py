@@ -153,6 +153,25 @@ def test_top_k_equals_brute_force(spark):
     assert len(got) == 15 * 7
 
 
+def test_lists_are_multiplied_only_as_far_as_they_are_read():
+    """Groups of similar vectors: the best are exact, ties included, and most runs are passed over unmultiplied; without groups all is read and right."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 60, (40, 32))
+    for spread, share in ((2, 0.3), (80, 1.0)):  # the first step reads 16 of some 63 runs
+        c = np.floor(np.repeat(middles, 100, axis=0) + rng.normal(0, spread, (4000, 32))).astype(np.float32)
+        c[50:80] = c[10]
+        ids = rng.permutation(4000)
+        lists, asking = topk.Lists(c, ids), rng.choice(4000, 300, replace=False)
+        scores = c[asking].astype(np.int64) @ c.astype(np.int64).T
+        for at in range(0, 300, 100):
+            part = asking[at : at + 100]
+            for row, (got, score), i in zip(scores[at : at + 100], lists.best(c[part], ids[part], 20), part):
+                best = [j for j in np.lexsort((ids, -row)) if j != i][:20]
+                assert got.tolist() == ids[best].tolist() and score.astype(int).tolist() == row[best].tolist()
+        assert lists.multiplied <= share * topk.LISTS * 300 * 4000
+    assert max(topk.Lists(np.ones((1000, 3), np.float32), np.arange(1000)).sizes) <= 2 * topk.RUN  # one group of copies is many runs
+
+
 def test_top_k_of_awkward_vectors(spark):
     """Ties go to the smaller id, repeated ids are candidates each but not for each other, huge components do not stop a task."""
     kind = "vec_id long, embedding array<double>, score long, rank int"
