@@ -143,6 +143,27 @@ def test_phrases(spark):
     assert got == {("p1", 1): 2, ("p1", 4): 1, ("p2", 1): 1, ("p2", 2): 1, ("p2", 4): 1, ("p3", 1): 1, ("p6", 5): 2, ("p9", 5): 1}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_phrases_against_a_plain_search(spark, monkeypatch, limit):
+    """Broadcast or shuffled; repeated rows count once, rows that share a key add up, rows without a key take no part."""
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", limit)
+    texts = [(i % 60, " ".join("abcde"[(i * j * j + j // 3) % 5] for j in range(i % 40))) for i in range(90)] + [(None, "a b c"), (7, None), (8, ""), (61, "a b " * 3000)]
+    asked = [(p, p) for p in ("a", "a b", "b a b", "a a a", "e d c b a", "c a", "zz a", "A B a")]
+    index = phrases.index(spark.createDataFrame(texts + texts[:5], "d int, text string").repartition(3), "d")
+    got = {(r.p, r.d): r.n for r in phrases.found(index, spark.createDataFrame(asked, "p string, text string"), "d", "p").collect()}
+    want = {}
+    for d, t in set(texts):
+        has = (t or "").split()
+        for p, _ in asked:
+            x = p.lower().split()
+            n = sum(has[i : i + len(x)] == x for i in range(len(has)))
+            if n and d is not None:
+                want[p, d] = want.get((p, d), 0) + n
+    assert got == want
+    empty = phrases.index(spark.createDataFrame([], "d int, text string"), "d")
+    assert phrases.found(empty, spark.createDataFrame(asked, "p string, text string"), "d", "p").count() == 0
+
+
 def test_relations_share_one_parse(spark):
     files = code.modules(spark, SF)
     facts = code_graph.fact_table(files)
