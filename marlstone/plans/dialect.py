@@ -18,7 +18,7 @@ class Spark:
     day_of = staticmethod(lambda x: f"to_date({x})")
     last_before = staticmethod(lambda x, part, order: f"last_value({x}) ignore nulls over (partition by {part} order by {order} rows between unbounded preceding and 1 preceding)")
     recursive = "with recursive"
-    seconds = staticmethod(lambda x: f"unix_seconds(cast({x} as timestamp))")
+    seconds = staticmethod(lambda x: f"cast(rint(unix_micros(cast({x} as timestamp)) / 1e6) as bigint)")  # whole seconds to the nearest, halves to even
     ord_day = staticmethod(lambda x: f"date_format({x}, 'yyyy-MM-dd')")
     max_by = staticmethod(lambda x, o: f"max_by({x}, {o})")
     week_days = staticmethod(lambda a, b: f"explode(sequence(date_trunc('week', {a}), cast({b} as timestamp), interval 7 days))")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import sinks
 from ..functions import text
 from ..operators import automaton, chunks, intervals, merkle, phrases, ranking, rules
+from . import dialect
 
 QUERIES: dict = {}
 
@@ -162,8 +163,8 @@ def interval_overlap(spark, sf_dir):
 @query
 def interval_any(spark, sf_dir):
     """Overlaps of intervals from five seconds to a week."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    length = F.element_at(F.array(*map(F.lit, (5, 60, 900, 7_200, 86_400, 604_800))), (F.col("event_id") % 6 + 1).cast("int"))
+    at = F.expr(dialect.Spark.seconds("ts"))
+    length = F.coalesce(F.get(F.array(*map(F.lit, (5, 60, 900, 7_200, 86_400, 604_800))), (F.col("event_id") % 6).cast("int")), F.lit(604_800))  # ids below 0 too
     v = _table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").select("user_id", "event_id", at.alias("s"), (at + length).alias("e"))
     return intervals.overlaps(v, "user_id", "event_id", "s", "e")
 

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
 from marlstone.operators import automaton, catalogues, code_graph, intervals, merkle, phrases, rules
-from marlstone.plans import code
+from marlstone.plans import catalogue, code
 
 SF = "/root/testdata/sf0.001"
 
@@ -195,3 +196,22 @@ def test_catalogues_found_as_files(spark, tmp_path):
         (tmp_path / "question_catalog_b.jsonl").write_text(bad)
         with pytest.raises(Exception, match="a question without question in question_catalog_b"):
             catalogues.questions(spark, root, schema, "question").collect()
+
+
+@pytest.fixture(scope="module")
+def moments(spark, tmp_path_factory):
+    """Events at fractions of seconds; times and ids below 0 too. Returns a folder and its rows in DuckDB."""
+    folder = str(tmp_path_factory.mktemp("moments"))
+    at = ["00:00:00.500000", "00:00:01.500000", "00:00:05.499999", "00:00:05.700000", "00:00:06.500000", "00:59:59.600000", "01:00:00.400000", "01:00:00.600000", "01:00:01.600000", "01:00:02.500000"]
+    rows = [(i - 14, f"{day} {t}", 1, kind) for i, (day, kind, t) in enumerate((d, k, t) for d in ("2024-01-01", "1969-12-31") for k in ("view", "click") for t in at)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    return folder, duck
+
+
+@pytest.mark.parametrize("name", ["interval_any"])
+def test_overlaps_at_fractions_of_seconds(spark, moments, name):
+    folder, duck = moments
+    got, want = catalogue.QUERIES[name](spark, folder), duck.sql(catalogue.ORACLE_SQL[name]).fetchall()
+    assert want and sorted(map(tuple, got.select("user_id", "a_id", "b_id").collect())) == sorted(want)
