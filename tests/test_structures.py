@@ -210,7 +210,7 @@ def moments(spark, tmp_path_factory):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["interval_any"])
+@pytest.mark.parametrize("name", ["interval_any", "interval_overlap"])
 def test_overlaps_at_fractions_of_seconds(spark, moments, name):
     folder, duck = moments
     got, want = catalogue.QUERIES[name](spark, folder), duck.sql(catalogue.ORACLE_SQL[name]).fetchall()
