@@ -11,9 +11,13 @@ from .. import sinks
 from . import pyast
 
 
-def fact_table(files: DataFrame) -> DataFrame:
-    """The facts of files (path, text), written once to the shared folder by kind and read from there: relations share one parse, and each reads only the kinds that it names."""
-    return sinks.kept(pyast.python_facts(files), "facts", "kind")
+#: Keys that are looked up, at most, for which the index is broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def fact_table(files: DataFrame, *kinds: str) -> DataFrame:
+    """The facts of files (path, text), or those of the named kinds, written once to the shared folder by kind and read from there: relations share one parse, and each reads only the kinds that it names."""
+    return sinks.kept(pyast.python_facts(files, *kinds), "facts", "kind")
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -25,10 +29,16 @@ def module_index(files: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
-    """rows with target: that of the first of the named columns that is in the index, null if none is."""
-    found = rows
+    """rows with target: that of the first of the named columns that is in the index, null if none is.
+
+    The different keys of rows are stored and counted first: names repeat, so they are few beside rows, and only what the index holds of them is
+    joined. Few enough are broadcast, so that rows are not shuffled by names of which one may be in every file; for more of them the joins shuffle.
+    """
+    asked = sinks.kept(rows.select(F.explode(F.array(*keys)).alias("key")).where("key is not null").distinct(), "asked")
+    few = F.broadcast if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else lambda x: x
+    held, found = index.join(few(asked), "key", "left_semi"), rows
     for n, key in enumerate(keys):
-        found = found.join(index.select(F.col("key").alias(f"_key{n}"), F.col("target").alias(f"_target{n}")), F.col(key) == F.col(f"_key{n}"), "left")
+        found = found.join(few(held.select(F.col("key").alias(f"_key{n}"), F.col("target").alias(f"_target{n}"))), F.col(key) == F.col(f"_key{n}"), "left")
     return found.withColumn("target", F.coalesce(*(F.col(f"_target{n}") for n in range(len(keys))))).drop(*(c for n in range(len(keys)) for c in (f"_key{n}", f"_target{n}")))
 
 
@@ -54,7 +64,7 @@ def call_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     names = facts.where("kind = 'alias'").select("path", "lineno", "name", "mode", "detail", F.split("detail", r"\.")[0].alias("top"))
     known = _looked_up(names, index, "detail", "top").where("target is not null and target != path")
     last = known.groupBy(F.col("path").alias("_path"), "name").agg(F.max(F.struct("lineno", "mode", "target")).alias("a"))  # the last import of a name counts
-    direct = calls.where("mode = 'direct'").select("path", "lineno", "name").join(last, "name").where("path = _path").select("path", "lineno", F.col("a.mode").alias("func"), F.col("a.target").alias("target"), F.lit("from-import").alias("via"))
+    direct = calls.where("mode = 'direct' and array_contains(flags, 'imported')").select("path", "lineno", "name").join(last, "name").where("path = _path").select("path", "lineno", F.col("a.mode").alias("func"), F.col("a.target").alias("target"), F.lit("from-import").alias("via"))
     both = on_module.where("target is not null and target != path").select("path", "lineno", "func", "via", "target").unionByName(direct)
     return both.select(F.col("path").alias("caller"), "lineno", "func", "via", F.col("target").alias("callee"))
 

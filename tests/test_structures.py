@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
-from marlstone.operators import automaton, catalogues, code_graph, intervals, merkle, phrases, rules
+from marlstone.operators import automaton, catalogues, code_graph, intervals, merkle, phrases, pyast, rules
 from marlstone.plans import catalogue, code
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +215,41 @@ def test_overlaps_at_fractions_of_seconds(spark, moments, name):
     folder, duck = moments
     got, want = catalogue.QUERIES[name](spark, folder), duck.sql(catalogue.ORACLE_SQL[name]).fetchall()
     assert want and sorted(map(tuple, got.select("user_id", "a_id", "b_id").collect())) == sorted(want)
+
+
+def test_facts_of_named_kinds(spark):
+    """Facts of some kinds are those of all kinds, of these; what a kind does not need is not read."""
+    text = "import os, a.b as c\nfrom .m import f as g, h\nclass A(B):\n    x = [1, 'y']\n    def m(self, q: int = g(1), *r):\n        'Doc.'\n        try:\n            open(q)\n        except (E, a.F):\n            log.error(h)\n            raise\nX = lambda: load(g, 'z')\nb.c.connect(g)\n__import__('k')\n"
+    every = pyast.facts("p", text)
+    assert {r["kind"] for r in every} == set(pyast.KINDS) - {"error"}
+    assert [r["flags"] for r in every if r["kind"] == "call" and r["mode"] == "direct"] == [["imported"] if r["name"] in ("g", "h") else [] for r in every if r["kind"] == "call" and r["mode"] == "direct"]
+    files = spark.createDataFrame([("p", text), ("q", "def ("), ("r", None)], "path string, text string")
+    for kinds in [(k,) for k in pyast.KINDS] + [("call", "alias"), ("function", "error", "assign")]:
+        assert pyast.facts("p", text, frozenset(kinds)) == [r for r in every if r["kind"] in kinds]
+        assert pyast.python_facts(files, *kinds).count() == sum(r["kind"] in kinds for r in every) + ("error" in kinds)
+    with pytest.raises(ValueError):
+        pyast.python_facts(files, "imports")
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_names_looked_up_broadcast_or_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(code_graph, "BROADCAST_KEYS", limit)
+    files = spark.createDataFrame([("a/x.py", "import y, y.z, os, b.x\nfrom x import f as g, h\ng(1); k()\ny.run()"), ("b/x.py", "import q"), ("b/y.py", None)], "path string, text string")
+    facts = code_graph.fact_table(files, "import", "call", "alias")
+    got = code_graph.resolved_imports(facts, files)
+    assert limit == 0 or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.full): r.resolved for r in got.collect()} == {("a/x.py", "y"): "b/y.py", ("a/x.py", "y.z"): "b/y.py", ("a/x.py", "os"): None, ("a/x.py", "b.x"): "b/x.py", ("a/x.py", "x"): "b/x.py", ("b/x.py", "q"): None}
+    assert sorted((r.caller, r.func, r.via, r.callee) for r in code_graph.call_edges(facts, files).collect()) == [("a/x.py", "f", "from-import", "b/x.py"), ("a/x.py", "run", "attribute", "b/y.py")]
+
+
+#: Queries over sources, and the kinds of facts that each asks for.
+ASKED = {
+    "call_usages": "call alias",
+}
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_queries_ask_for_the_kinds_they_use(spark, monkeypatch, name):
+    asked, plain = [], pyast.python_facts
+    monkeypatch.setattr(pyast, "python_facts", lambda files, *kinds: (asked.append(" ".join(kinds)), plain(files, *kinds))[1])
+    assert catalogue.QUERIES[name](spark, SF).columns and asked == [ASKED[name]]
