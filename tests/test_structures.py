@@ -251,6 +251,7 @@ ASKED = {
     "ast_risk_histogram": "handler",
     "ast_io_totals": "io",
     "ast_depth": "function",
+    "ast_file_io": "io",
 }
 
 
