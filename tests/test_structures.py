@@ -254,6 +254,7 @@ ASKED = {
     "ast_file_io": "io",
     "ast_name_sets": "function class",
     "ast_symbols": "function class assign",
+    "ast_depth_by_file": "function",
 }
 
 
