@@ -259,6 +259,7 @@ ASKED = {
     "ast_errors": "error",
     "ast_dynamic_totals": "dynamic",
     "ast_handlers": "handler",
+    "ast_symbol_totals": "function class assign",
 }
 
 
