@@ -262,6 +262,7 @@ ASKED = {
     "ast_symbol_totals": "function class assign",
     "ast_calls": "call",
     "ast_bindings": "binding",
+    "call_edges": "call alias",
 }
 
 
