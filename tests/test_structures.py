@@ -263,6 +263,7 @@ ASKED = {
     "ast_calls": "call",
     "ast_bindings": "binding",
     "call_edges": "call alias",
+    "ast_dynamic_imports": "dynamic",
 }
 
 
