@@ -114,11 +114,13 @@ def signatures(wanted: DataFrame, files: DataFrame, facts: DataFrame) -> DataFra
     s = F.trim("signature")
     kind = F.when(s.startswith("def "), "function").when(s.startswith("class "), "class").otherwise("text")
     name = F.trim(F.regexp_extract(s, r"^(?:def|class) ([^(:]*)", 1))
-    rows = wanted.withColumn("_kind", kind).withColumn("_name", name)
-    named = facts.where("kind in ('function', 'class')").select(F.col("path").alias("_p"), F.col("kind").alias("_k"), F.col("name").alias("_n")).distinct()
-    broken = facts.where("kind = 'error'").select(F.col("path").alias("_b")).distinct()
-    rows = rows.join(files.select(F.col("path").alias("_file"), F.col("text").alias("_text")), F.col("path") == F.col("_file"), "left")
-    rows = rows.join(named, (F.col("path") == F.col("_p")) & (F.col("_kind") == F.col("_k")) & (F.col("_name") == F.col("_n")), "left").join(broken, F.col("path") == F.col("_b"), "left")
-    there = F.when(F.col("_kind") == "text", F.coalesce(F.contains("_text", s), F.lit(False))).otherwise(F.col("_p").isNotNull())
-    status = F.when(F.col("_file").isNull(), "file_missing").when(F.col("_b").isNull() & there, "ok").otherwise("missing")
+    # all sides are dealt by path, once each, and none is broadcast: how long texts are is not known to the plan
+    texts = files.select(F.col("path").alias("_file"), F.col("text").alias("_text"))
+    named = F.collect_set(F.when(F.col("kind") != "error", F.concat_ws(" ", "kind", "name"))).alias("_names")
+    defined = facts.where("kind in ('function', 'class', 'error')").groupBy(F.col("path").alias("_p")).agg(named, F.bool_or(F.col("kind") == "error").alias("_broken"))
+    rows = wanted.hint("merge").join(texts.hint("merge"), F.col("path") == F.col("_file"), "left")
+    rows = rows.select(*wanted.columns, "_file", kind.alias("_kind"), F.concat_ws(" ", kind, name).alias("_name"), F.when(kind == "text", F.contains("_text", s)).alias("_held"))
+    rows = rows.join(defined.hint("merge"), F.col("path") == F.col("_p"), "left")
+    there = F.coalesce(F.when(F.col("_kind") == "text", F.col("_held")).otherwise(F.array_contains("_names", F.col("_name"))), F.lit(False))
+    status = F.when(F.col("_file").isNull(), "file_missing").when(~F.coalesce("_broken", F.lit(False)) & there, "ok").otherwise("missing")
     return rows.select(*wanted.columns, status.alias("status"))

@@ -272,3 +272,14 @@ def test_queries_ask_for_the_kinds_they_use(spark, monkeypatch, name):
     asked, plain = [], pyast.python_facts
     monkeypatch.setattr(pyast, "python_facts", lambda files, *kinds: (asked.append(" ".join(kinds)), plain(files, *kinds))[1])
     assert catalogue.QUERIES[name](spark, SF).columns and asked == [ASKED[name]]
+
+
+def test_signatures_without_broadcasts(spark):
+    """Texts go to no driver; names and texts of odd files, repeated and null wishes."""
+    files = spark.createDataFrame([("a.py", "class A:\n    def f(self): pass\nX = 1"), ("b.py", "def ("), ("c.py", None)], "path string, text string")
+    want = {("a.py", "def f"): "ok", ("a.py", " class A(B):"): "ok", ("a.py", "def A"): "missing", ("a.py", "X = 1 "): "ok", ("a.py", ""): "ok", ("a.py", None): "missing", ("b.py", "def ("): "missing", ("b.py", "ef ("): "missing", ("c.py", ""): "missing", ("d.py", "x"): "file_missing", (None, "x"): "file_missing"}
+    wanted = spark.createDataFrame([(*w, n) for w in want for n in (1, 2)], "path string, signature string, n int")
+    got = code_graph.signatures(wanted, files, code_graph.fact_table(files, "function", "class", "error"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.path, r.signature, r.n, r.status) for r in got.collect()), key=str) == sorted(((*w, n, s) for w, s in want.items() for n in (1, 2)), key=str)
+    assert "Broadcast" not in catalogue.QUERIES["signature_check"](spark, SF)._jdf.queryExecution().executedPlan().toString()
