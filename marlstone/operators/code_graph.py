@@ -28,6 +28,11 @@ def module_index(files: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max("path").alias("target"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, never broadcast: the plan takes tables that are made from small ones for small."""
+    return df.hint("merge")
+
+
 def _looked_up(rows: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
     """rows with target: that of the first of the named columns that is in the index, null if none is.
 
@@ -35,7 +40,7 @@ def _looked_up(rows: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
     joined. Few enough are broadcast, so that rows are not shuffled by names of which one may be in every file; for more of them the joins shuffle.
     """
     asked = sinks.kept(rows.select(F.explode(F.array(*keys)).alias("key")).where("key is not null").distinct(), "asked")
-    few = F.broadcast if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else lambda x: x
+    few = F.broadcast if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else _dealt
     held, found = index.join(few(asked), "key", "left_semi"), rows
     for n, key in enumerate(keys):
         found = found.join(few(held.select(F.col("key").alias(f"_key{n}"), F.col("target").alias(f"_target{n}"))), F.col(key) == F.col(f"_key{n}"), "left")
@@ -53,7 +58,7 @@ def degrees(imports: DataFrame, files: DataFrame) -> DataFrame:
     inside = imports.where("resolved is not null")
     out = inside.groupBy("path").agg(F.count("*").alias("imports"))
     into = inside.groupBy(F.col("resolved").alias("path")).agg(F.count_distinct("path").alias("importers"))
-    rows = files.select("path").join(out, "path", "left").join(into, "path", "left").na.fill(0, ["imports", "importers"])
+    rows = files.select("path").join(_dealt(out), "path", "left").join(_dealt(into), "path", "left").na.fill(0, ["imports", "importers"])
     return rows.select("*", (F.col("imports") == 0).alias("is_leaf"), (F.col("importers") == 0).alias("is_entry"), (F.col("importers") >= 5).alias("coupled"))
 
 
@@ -64,7 +69,7 @@ def call_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     names = facts.where("kind = 'alias'").select("path", "lineno", "name", "mode", "detail", F.split("detail", r"\.")[0].alias("top"))
     known = _looked_up(names, index, "detail", "top").where("target is not null and target != path")
     last = known.groupBy(F.col("path").alias("_path"), "name").agg(F.max(F.struct("lineno", "mode", "target")).alias("a"))  # the last import of a name counts
-    direct = calls.where("mode = 'direct' and array_contains(flags, 'imported')").select("path", "lineno", "name").join(last, "name").where("path = _path").select("path", "lineno", F.col("a.mode").alias("func"), F.col("a.target").alias("target"), F.lit("from-import").alias("via"))
+    direct = calls.where("mode = 'direct' and array_contains(flags, 'imported')").select("path", "lineno", "name").join(_dealt(last), "name").where("path = _path").select("path", "lineno", F.col("a.mode").alias("func"), F.col("a.target").alias("target"), F.lit("from-import").alias("via"))
     both = on_module.where("target is not null and target != path").select("path", "lineno", "func", "via", "target").unionByName(direct)
     return both.select(F.col("path").alias("caller"), "lineno", "func", "via", F.col("target").alias("callee"))
 
@@ -90,18 +95,18 @@ def import_relations(facts: DataFrame, files: DataFrame) -> DataFrame:
     names = facts.where("kind = 'alias'").where(F.array_contains("flags", "top")).groupBy("path", "name").agg(F.max(F.struct("lineno", "mode", "detail", "value", F.array_contains("flags", "used").alias("used"))).alias("a")).select("path", "name", "a.*")
     per_file = names.groupBy(F.col("path").alias("_path")).agg(F.count_if(~F.col("used")).alias("unused"), F.count("*").alias("n"))
     facade = (F.col("unused") >= 3) & (F.col("unused") > 0.6 * F.col("n"))
-    wanted = names.join(per_file, F.col("path") == F.col("_path")).where(facade | F.col("used")).select("path", "name", F.col("mode").alias("original"), "used", "detail", "value")
+    wanted = names.join(_dealt(per_file), F.col("path") == F.col("_path")).where(facade | F.col("used")).select("path", "name", F.col("mode").alias("original"), "used", "detail", "value")
     module = F.replace("detail", F.lit("."), F.lit("/"))
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     below = lambda up: F.concat(F.array_join(F.slice(folders, F.lit(1), F.greatest(F.size(folders) - up, F.lit(0))), "/"), F.lit("/"), module)
     bases = F.when(F.col("value") > 0, F.array(below(F.col("value").cast("int") - 1))).otherwise(F.array(below(F.lit(0)), module))
     candidates = F.transform(F.flatten(F.transform(bases, lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py"))))), lambda p: F.ltrim(p, F.lit("/")))
-    tried = wanted.select("*", F.posexplode(candidates).alias("pos", "candidate")).join(files.select(F.col("path").alias("_file")), F.col("candidate") == F.col("_file"))
+    tried = wanted.select("*", F.posexplode(candidates).alias("pos", "candidate")).join(_dealt(files.select(F.col("path").alias("_file"))), F.col("candidate") == F.col("_file"))
     first = tried.groupBy(F.col("path").alias("_p"), F.col("name").alias("_n")).agg(F.min_by("candidate", "pos").alias("target"))
-    placed = wanted.join(first, (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")), "left").drop("_p", "_n")
+    placed = wanted.join(_dealt(first), (F.col("path") == F.col("_p")) & (F.col("name") == F.col("_n")), "left").drop("_p", "_n")
     defined = facts.where("(kind = 'assign') or (kind = 'function' and array_contains(flags, 'top') and owner = '<module>')")
     defined = defined.groupBy(F.col("path").alias("_p"), F.col("name").alias("_n")).agg(F.min_by("detail", "lineno").alias("shown"))
-    found = placed.join(defined, (F.col("target") == F.col("_p")) & (F.col("original") == F.col("_n")), "left")
+    found = placed.join(_dealt(defined), (F.col("target") == F.col("_p")) & (F.col("original") == F.col("_n")), "left")
     relation = F.when(F.col("_p").isNull(), "unresolved").when(F.col("used"), "neighbour").otherwise("facade")
     return found.select("path", "name", relation.alias("relation"), F.col("_p").alias("source"), "shown")
 
@@ -118,9 +123,9 @@ def signatures(wanted: DataFrame, files: DataFrame, facts: DataFrame) -> DataFra
     texts = files.select(F.col("path").alias("_file"), F.col("text").alias("_text"))
     named = F.collect_set(F.when(F.col("kind") != "error", F.concat_ws(" ", "kind", "name"))).alias("_names")
     defined = facts.where("kind in ('function', 'class', 'error')").groupBy(F.col("path").alias("_p")).agg(named, F.bool_or(F.col("kind") == "error").alias("_broken"))
-    rows = wanted.hint("merge").join(texts.hint("merge"), F.col("path") == F.col("_file"), "left")
+    rows = wanted.join(_dealt(texts), F.col("path") == F.col("_file"), "left")
     rows = rows.select(*wanted.columns, "_file", kind.alias("_kind"), F.concat_ws(" ", kind, name).alias("_name"), F.when(kind == "text", F.contains("_text", s)).alias("_held"))
-    rows = rows.join(defined.hint("merge"), F.col("path") == F.col("_p"), "left")
+    rows = rows.join(_dealt(defined), F.col("path") == F.col("_p"), "left")
     there = F.coalesce(F.when(F.col("_kind") == "text", F.col("_held")).otherwise(F.array_contains("_names", F.col("_name"))), F.lit(False))
     status = F.when(F.col("_file").isNull(), "file_missing").when(~F.coalesce("_broken", F.lit(False)) & there, "ok").otherwise("missing")
     return rows.select(*wanted.columns, status.alias("status"))

@@ -283,3 +283,9 @@ def test_signatures_without_broadcasts(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(((r.path, r.signature, r.n, r.status) for r in got.collect()), key=str) == sorted(((*w, n, s) for w, s in want.items() for n in (1, 2)), key=str)
     assert "Broadcast" not in catalogue.QUERIES["signature_check"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("relation", [code_graph.import_relations, lambda facts, files: code_graph.degrees(facts.selectExpr("path", "name as resolved"), files)])
+def test_tables_of_files_are_not_broadcast(spark, relation):
+    files = code.modules(spark, SF)
+    assert "Broadcast" not in relation(code_graph.fact_table(files), files)._jdf.queryExecution().executedPlan().toString()
