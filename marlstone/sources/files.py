@@ -23,6 +23,17 @@ def text_files(spark: SparkSession, root: str, glob: str = "*", skip_dirs: tuple
     return rows.select("path", "length", "modified", blob.alias("sha1"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
 
 
+def land_bundles(files: DataFrame, root: str, folder: str, most: int = 50_000) -> None:
+    """files: path (relative to the folder that the column `folder` names), text; lands them below root as bundles of many files, `most` at most, a file a line of JSON. Their number grows with the tasks and not with the files."""
+    files.select(folder, "path", "text").write.partitionBy(folder).option("maxRecordsPerFile", most).option("ignoreNullFields", False).json(root)
+
+
+def bundled_files(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """path (with its folder before it), text of the files in all bundles below root; a bundle that is no JSON stops the run."""
+    found = spark.read.schema(f"path string, text string, {folder} string").option("mode", "FAILFAST").json(root)
+    return found.select(F.concat_ws("/", folder, "path").alias("path"), "text")
+
+
 def newest(listed: DataFrame, pattern: str) -> DataFrame:
     """The one path that matches a regular expression and was modified last, ties to the greater path; no row if none does."""
     return listed.where(F.col("path").rlike(pattern)).agg(F.max_by("path", F.struct("modified", "path")).alias("path")).where("path is not null")

@@ -8,8 +8,10 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
+from marlstone import sinks
 from marlstone.operators import automaton, catalogues, code_graph, intervals, merkle, phrases, pyast, rules
 from marlstone.plans import catalogue, code
+from marlstone.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -289,3 +291,18 @@ def test_signatures_without_broadcasts(spark):
 def test_tables_of_files_are_not_broadcast(spark, relation):
     files = code.modules(spark, SF)
     assert "Broadcast" not in relation(code_graph.fact_table(files), files)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_land_in_bundles(spark, tmp_path, monkeypatch):
+    """Files of any text, in fewer files than they are; the query lands no file a source."""
+    rows = [("a", f"m{i}.py", t) for i, t in enumerate(["x\n\ty = '\u2028\0\r\n'", "", None, "\\ \"q\" \U0001f600", " lead "])] + [("b", "m0.py", "z")]
+    files.land_bundles(spark.createDataFrame(rows, "package string, path string, text string").coalesce(1), f"file://{tmp_path}/t", "package", 3)
+    assert sorted((r.path, r.text) for r in files.bundled_files(spark, f"file://{tmp_path}/t", "package").collect()) == sorted((f"{p}/{n}", t) for p, n, t in rows)
+    assert len(list((tmp_path / "t").rglob("*.json"))) == 3
+    (tmp_path / "t" / "package=b" / "x.json").write_text("no json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.bundled_files(spark, f"file://{tmp_path}/t", "package").collect()
+    monkeypatch.setattr(sinks, "landing", lambda s, name: f"file://{tmp_path}/q/{name}{len(list((tmp_path / 'q').glob('*')))}")
+    (tmp_path / "q").mkdir()
+    assert catalogue.QUERIES["folder_imports"](spark, SF).count() > 0
+    assert 0 < len([f for f in (tmp_path / "q" / "sources0").rglob("part-*") if f.is_file()]) <= 5 * spark.sparkContext.defaultParallelism
