@@ -306,3 +306,27 @@ def test_sources_land_in_bundles(spark, tmp_path, monkeypatch):
     (tmp_path / "q").mkdir()
     assert catalogue.QUERIES["folder_imports"](spark, SF).count() > 0
     assert 0 < len([f for f in (tmp_path / "q" / "sources0").rglob("part-*") if f.is_file()]) <= 5 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("text", [
+    "@load('x')\n@g(open)\ndef f() -> load(1):\n    load(2)\n",
+    "x = f'''\n{open(\n 'a')}\n'''\r\nload(y)\rdump(1)\r\n\r\nopen(z)\n",
+    "\uff4fpen('a')\nb.\uff4copen(2)\n",
+    "x\\\n.open(\n'a',\n'w'); \x0cdump(1)\n\x0bload(2)",
+    "class A:\n    _load = 1\nopen(open(x, 'r').read(), 'w')\nmatch y:\n    case 1 if stat(y):\n        pass\n",
+    "_open(1); opens(2); 'open'\na.connect(lambda: find_spec('q'))\n",
+])
+def test_calls_are_looked_for_where_their_names_stand(text, monkeypatch):
+    """Only lines that hold a name are gone into, and texts without any are not parsed; the facts are those of a whole walk."""
+    every = pyast.facts("p", text)
+    for kinds in (("io",), ("dynamic",), ("binding",), ("io", "dynamic", "binding")):
+        assert pyast.facts("p", text, frozenset(kinds)) == [r for r in every if r["kind"] in kinds]
+    monkeypatch.setattr(pyast.ast, "parse", None)
+    assert pyast.facts("p", "x = _open(1)\nreopen(load_2)\ndef (", frozenset(["io"])) == []
+
+
+def test_sources_are_parsed_in_several_parts_a_core(spark):
+    """A part a core leaves the rest waiting for the slowest."""
+    from marlstone.plans import code
+
+    assert code.modules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
