@@ -338,3 +338,14 @@ def test_lists_of_plain_values_are_shown_at_once(monkeypatch):
     assert (rows["U"]["detail"], rows["V"]["detail"], rows["A"]["names"]) == ("[u'a']", "[*a, -1]", ["self.c"])
     monkeypatch.setattr(pyast.ast, "unparse", None)
     assert pyast.facts("p", text, frozenset(["assign"]))[0]["detail"] == "['a1', 'b', 3, [None, x.y], []]"
+
+
+def test_receivers_and_modules_are_looked_up_together(spark, monkeypatch):
+    """The index of modules is made and looked through once, whatever asks for it; facts are stored by kind without a sort."""
+    files = spark.createDataFrame([("a/x.py", "from y import f as g\ng(1)\ny.run()\nz.w.run()"), ("b/y.py", "y.run()"), ("b/w.py", None)], "path string, text string")
+    stored, plain = [], code_graph.sinks.kept
+    monkeypatch.setattr(code_graph.sinks, "kept", lambda df, name, *by: (stored.append(name), plain(df, name, *by))[1])
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    got = code_graph.call_edges(code_graph.fact_table(files, "call", "alias"), files)
+    assert stored == ["facts", "asked", "held"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert sorted((r.lineno, r.func, r.via, r.callee) for r in got.collect()) == [(2, "f", "from-import", "b/y.py"), (3, "run", "attribute", "b/y.py"), (4, "run", "attribute", "b/w.py")]
