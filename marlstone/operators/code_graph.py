@@ -33,24 +33,30 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _looked_up(rows: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
-    """rows with target: that of the first of the named columns that is in the index, null if none is.
+def _held(index: DataFrame, keys: DataFrame):
+    """What the index (key, target) holds of keys (key), stored, and the hint for joins with it.
 
-    The different keys of rows are stored and counted first: names repeat, so they are few beside rows, and only what the index holds of them is
-    joined. Few enough are broadcast, so that rows are not shuffled by names of which one may be in every file; for more of them the joins shuffle.
+    The different keys are stored and counted first: names repeat, so they are few beside the rows they stand in, and only what the index holds of them
+    is joined; the index is made once for it. Few enough are broadcast, so that rows are not shuffled by names of which one may be in every file; for more of them the joins shuffle.
     """
-    asked = sinks.kept(rows.select(F.explode(F.array(*keys)).alias("key")).where("key is not null").distinct(), "asked")
+    asked = sinks.kept(keys.where("key is not null").distinct(), "asked")
     few = F.broadcast if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else _dealt
-    held, found = index.join(few(asked), "key", "left_semi"), rows
+    return sinks.kept(index.join(few(asked), "key", "left_semi"), "held"), few
+
+
+def _looked_up(rows: DataFrame, held, *keys: str) -> DataFrame:
+    """rows with target: that of the first of the named columns that is in the index, null if none is."""
+    (index, few), found = held, rows
     for n, key in enumerate(keys):
-        found = found.join(few(held.select(F.col("key").alias(f"_key{n}"), F.col("target").alias(f"_target{n}"))), F.col(key) == F.col(f"_key{n}"), "left")
+        found = found.join(few(index.select(F.col("key").alias(f"_key{n}"), F.col("target").alias(f"_target{n}"))), F.col(key) == F.col(f"_key{n}"), "left")
     return found.withColumn("target", F.coalesce(*(F.col(f"_target{n}") for n in range(len(keys))))).drop(*(c for n in range(len(keys)) for c in (f"_key{n}", f"_target{n}")))
 
 
 def resolved_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     """path, lineno, full, module, resolved: the file an import names, by its full name, else by its first part; null: external."""
     rows = facts.where("kind = 'import'").select("path", "lineno", F.col("name").alias("full"), F.col("detail").alias("module"))
-    return _looked_up(rows, module_index(files), "full", "module").withColumnRenamed("target", "resolved")
+    held = _held(module_index(files), rows.select(F.explode(F.array("full", "module")).alias("key")))
+    return _looked_up(rows, held, "full", "module").withColumnRenamed("target", "resolved")
 
 
 def degrees(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -64,10 +70,13 @@ def degrees(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def call_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     """caller, lineno, func, via, callee: calls on a receiver named like a module, and of names imported from one; not within one file."""
-    index, calls = module_index(files), facts.where("kind = 'call'")
-    on_module = _looked_up(calls.where("mode = 'attribute'").select("path", "lineno", F.col("name").alias("func"), "detail"), index, "detail").withColumn("via", F.lit("attribute"))
+    calls = facts.where("kind = 'call'")
+    on = calls.where("mode = 'attribute'").select("path", "lineno", F.col("name").alias("func"), "detail")
     names = facts.where("kind = 'alias'").select("path", "lineno", "name", "mode", "detail", F.split("detail", r"\.")[0].alias("top"))
-    known = _looked_up(names, index, "detail", "top").where("target is not null and target != path")
+    # receivers and modules are looked up together; each side's are made different first, as the union would carry them all
+    held = _held(module_index(files), on.select(F.col("detail").alias("key")).distinct().unionAll(names.select("detail").distinct().select(F.explode(F.array("detail", F.split("detail", r"\.")[0])).alias("key"))))
+    on_module = _looked_up(on, held, "detail").withColumn("via", F.lit("attribute"))
+    known = _looked_up(names, held, "detail", "top").where("target is not null and target != path")
     last = known.groupBy(F.col("path").alias("_path"), "name").agg(F.max(F.struct("lineno", "mode", "target")).alias("a"))  # the last import of a name counts
     direct = calls.where("mode = 'direct' and array_contains(flags, 'imported')").select("path", "lineno", "name").join(_dealt(last), "name").where("path = _path").select("path", "lineno", F.col("a.mode").alias("func"), F.col("a.target").alias("target"), F.lit("from-import").alias("via"))
     both = on_module.where("target is not null and target != path").select("path", "lineno", "func", "via", "target").unionByName(direct)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows of a report that is one file, at most.
 REPORT_ROWS = 100_000
+#: Folders that a task writes to at a time, up to which rows that are stored by columns need not be sorted by them.
+KEPT_FOLDERS, _WRITERS = 16, "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def landing(spark: SparkSession, name: str) -> str:
@@ -30,7 +32,12 @@ def landing(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df, written to the shared folder (partitioned by the named columns) and read from there: what several jobs read is made once. It goes when the driver ends."""
     spark, path = df.sparkSession, landing(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, KEPT_FOLDERS if by else before)
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
