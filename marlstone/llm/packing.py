@@ -28,8 +28,9 @@ LENGTH, END = 4096, 1
 #: Tokens that one partition packs, about; it holds at least so many lengths in memory at a time.
 PARTITION_TOKENS = 8_000_000
 
-#: Bytes of words and their ids that a worker keeps, about, with what the table itself takes for each; texts (or bytes of them) and new words that are tokenized in one go.
-KNOWN_BYTES, ENTRY_BYTES, BLOCK_TEXTS, BLOCK_BYTES, BLOCK_WORDS = 150_000_000, 180, 4_000, 16_000_000, 200
+#: Bytes of words and their ids that a worker keeps, about, with what the tables themselves take for each; texts (or bytes of them; one longer text is a block of its own) and new words that are tokenized in one go.
+#: A block takes some twenty times its bytes on its way, and two workers share an executor with a heap that earlier stages have filled.
+KNOWN_BYTES, ENTRY_BYTES, BLOCK_TEXTS, BLOCK_BYTES, BLOCK_WORDS = 40_000_000, 180, 4_000, 2_000_000, 200
 #: Lower-case letters up to U+00FF, and ASCII marks other than the apostrophe: the splitting rule takes a run of either as one piece, and neither changes when it is normalized.
 _LETTERS, _MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
@@ -62,10 +63,11 @@ class Ids:
 
     Words between ASCII white space, in ASCII lower case, are tokenized on their own and kept: the vocabulary ignores case and its splitting rule cuts
     there. Words of plain letters, and marks after them, go straight to the vocabulary's merges; all others through the whole tokenizer.
+    Once the table of known words has half of KNOWN_BYTES, it becomes the older one and a new one begins: words still in use move over, the others go in turn.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.held = _tokenizer(path), {}, 0
+        self.tokenizer, self.known, self.older, self.held = _tokenizer(path), {}, {}, 0
         self.merges = self.tokenizer.model.tokenize
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -107,13 +109,19 @@ class Ids:
         special = pc.fill_null(pc.match_substring(texts, "<|"), False)
         words = pc.ascii_split_whitespace(pc.if_else(special, "", pc.ascii_lower(pc.fill_null(texts, ""))))
         coded = words.flatten().dictionary_encode()
+        if self.held > KNOWN_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         distinct, known = coded.dictionary.to_pylist(), self.known
-        if self.held > KNOWN_BYTES:
-            known.clear()
-            self.held = 0
         found = list(map(known.get, distinct))
         holes = [i for i, x in enumerate(found) if x is None]
-        self._learn([distinct[i] for i in holes])
+        new = []
+        for w in (distinct[i] for i in holes):
+            if (x := self.older.pop(w, None)) is None:
+                new.append(w)
+            else:
+                known[w] = x
+                self.held += len(w) + ENTRY_BYTES
+        self._learn(new)
         for i in holes:
             found[i] = known[distinct[i]]
         pool = np.frombuffer(b"".join(found), "<u4")
@@ -122,7 +130,10 @@ class Ids:
         each, starts = lengths[at], (np.cumsum(lengths) - lengths)[at]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(starts - (ends - each), each) + np.arange(total)]
+        place = np.repeat(starts - (ends - each), each)
+        place += np.arange(total)
+        ids = pool[place]
+        del place, at, each, starts
         bounds = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
         for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
@@ -130,6 +141,17 @@ class Ids:
         return out
 
 
+def blocks(batches):
+    """Batches (of ids and texts) in parts of at most BLOCK_BYTES of text, or of one text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's pieces; null text is empty and has the end id alone."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -150,11 +172,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= BLOCK_TEXTS or sum(x.nbytes for x in held) >= BLOCK_BYTES:
+        for b in blocks(batches):
+            if held and (sum(x.num_rows for x in held) + b.num_rows > BLOCK_TEXTS or sum(x.nbytes for x in held) + b.nbytes > BLOCK_BYTES):
                 yield cut(held)
                 held = []
+            held.append(b)
         if held:
             yield cut(held)
 

@@ -2,11 +2,13 @@ import gzip
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +228,40 @@ def test_pools_are_packed_again(spark, monkeypatch):
     assert sorted(r.length for r in rows) == sorted(sizes) and bound <= len({r.sequence_id for r in rows}) <= 1.03 * alone
 
 
+def test_tokenizing_takes_little_memory_at_a_time(monkeypatch):
+    """A worker's batch of long texts goes in blocks, and the words it keeps are bounded; ids are those of the whole tokenizer."""
+    runs = []
+    monkeypatch.setattr(packing, "mapped", lambda df, run, schema, keeps: runs.append(run))
+    monkeypatch.setattr(packing, "kept", lambda key, make, made={}: made.setdefault(key, make()))
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 400_000)
+
+    class Docs:
+        schema = {"doc_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "bigint"})()})()}
+
+        def select(self, *names):
+            return self
+
+    packing.pieces(Docs(), packing.vocabulary())
+    texts = [f"the w{i}x {i * 7919} end " * 4_000 for i in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(runs[0](iter([batch]))))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100_000_000  # 24 MB of text in one go took several times that
+    ids = packing.Ids(packing.vocabulary())
+    assert set(out["doc_id"].to_pylist()) == set(range(len(texts)))
+    raw = ids.tokenizer.encode(texts[7], add_special_tokens=False).ids + [packing.END]
+    of7 = out.filter(pc.equal(out["doc_id"], 7)).to_pylist()
+    cut = [raw[i : i + packing.LENGTH] for i in range(0, len(raw), packing.LENGTH)]
+    assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in of7] == [(n, n * packing.LENGTH, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for n, c in enumerate(cut)]
+    for at in range(0, 6_000, 300):  # new words all the time: the tables stay small, and a common word is not tokenized again
+        ids(pa.array([f"common u{i}v" for i in range(at, at + 300)]))
+        assert "common" in ids.known and len(ids.known) + len(ids.older) < 400_000 / packing.ENTRY_BYTES + 1_000
+
+
 def test_tokens_equal_the_tokenizer():
     texts = ["It's <|endoftext|> a b, c\x1cd 12 été!", "", "a  b\n", "DON'T it's. a.'s A,'T x'S", "İstanbul ΣΑΣ", "á.b e.́ a≠b", "x`{y}[z]@*** ...e"]
     ids = packing.Ids(packing.vocabulary())
